@@ -60,14 +60,12 @@ def strip_title_prefix(title: Column) -> Column:
 
 def strip_summary_prefixes(summary: Column) -> Column:
     """Remove each prefix of the list in turn, so several can go."""
-    for prefix in SUMMARY_PREFIXES:
-        summary = let(
-            summary,
-            lambda s, p=prefix: F.when(
-                F.startswith(s, F.lit(p)), strip(F.substring(s, len(p) + 1, 2147483647))
-            ).otherwise(s),
-        )
-    return summary
+    return F.aggregate(
+        F.array(*[F.lit(p) for p in SUMMARY_PREFIXES]), summary,
+        lambda text, prefix: F.when(
+            F.startswith(text, prefix), strip(F.substr(text, F.length(prefix) + 1))
+        ).otherwise(text),
+    )
 
 
 def read_answer(lang: Column, answer: Column, original: Column, limit: int = SUMMARY_CHARS) -> Column:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courant.functions import answers as A
 from courant.functions import html as H
@@ -69,7 +70,10 @@ def summarize_with(
                     pass
             yield batch.drop(columns="_body")
 
-    answered = ready.mapInPandas(run, articles.withColumn("_answer", F.lit("")).schema)
+    schema = T.StructType([
+        *(T.StructField(f.name, f.dataType) for f in articles.schema), T.StructField("_answer", T.StringType()),
+    ])
+    answered = ready.mapInPandas(run, schema)
     parts = F.when(
         F.col("_answer").isNotNull(), A.read_answer(F.col("lang"), F.col("_answer"), F.col("title"), limit)
     )
