@@ -623,6 +623,11 @@ add("read_answers", f"""SELECT conv_id, turn, CASE WHEN lang = 'en' THEN {first_
     FROM ({each_prefix('a_split', 'txt')})""")
 add("build_prompt", f"""SELECT doc_id, CASE WHEN a.lang = 'en' THEN {prompt('en')} ELSE {prompt('zh')} END AS prompt
     FROM v_articles a JOIN documents d USING (doc_id)""")
+add("summarize_with", f"""
+    SELECT page_id, 'Page ' || page_id AS title, coalesce(nullif(
+        CASE WHEN length(art) >= CASE WHEN page_id % 2 = 0 THEN 50 ELSE 100 END
+             THEN {clip(f"trim(split_part({head_tail('art')}, '.', 1), {BLANKS})")} END, ''), summary) AS summary
+    FROM (SELECT page_id, {ARTICLE} AS art, {SUMMARY} AS summary FROM t_paras)""", texts("v_pages"))
 add("parse_keywords", f"""SELECT doc_id, array_to_string(must, ' ') AS must, array_to_string(must_not, ' ') AS must_not,
     array_to_string(bonus, ' ') AS bonus FROM (SELECT doc_id, {words('keywords')} FROM (
         SELECT doc_id, replace(replace(title, ' t', ' +T'), ' d', ' !d') AS keywords FROM v_articles))""")
@@ -731,14 +736,15 @@ DETAIL = {f"d_{k}": re.sub(r"\bt_(clean|area|cut|paras)\b", r"d_t_\1", v) for k,
 add("morning_brief", """
     SELECT industry_id, rank::INT AS rank, source_id, page_id, pos, title, url, summary, round(score, 6) AS score
     FROM (SELECT *, row_number() OVER (PARTITION BY industry_id ORDER BY score DESC, source_id, page_id, pos) AS rank
-          FROM brief_scored) WHERE rank <= top_n""", {
+          FROM brief_scored) WHERE rank <= top_n
+      AND industry_id IN (SELECT industry_id FROM ready_morning WHERE reason IS NULL)""", {
     **FRESH,
     "details": "SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY 1",
     **DETAIL,
     "summaries": f"SELECT url, {SUMMARY} AS summary FROM d_t_paras",
     "known": f"""SELECT f.source_id, f.page_id, f.pos, f.title, f.url, coalesce(summary, '') AS summary,
         {AS_OF} AS published_at, s.industry_id AS scope
-        FROM fresh f JOIN v_sources s ON s.id = f.source_id LEFT JOIN summaries USING (url)""",
+        FROM fresh f JOIN v_sources s ON s.id = f.source_id LEFT JOIN summaries m ON m.url = f.url""",
     "brief_first": """SELECT *, row_number() OVER (ORDER BY source_id, page_id, pos) AS id FROM (
         SELECT *, row_number() OVER (PARTITION BY scope, title ORDER BY source_id, page_id, pos) AS nth FROM known)
         WHERE nth = 1""",
