@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courant.operators.streaks import running_streak
+from courant.session import small_side
 
 # Reasons, limits and formats in the push log.
 NO_SOURCES, NO_ITEMS = "未配置新闻源", "未配置金融数据项"
@@ -98,7 +99,7 @@ def failure_alerts(counted: DataFrame, industries: DataFrame, threshold: int = A
     names = industries.select(F.col("id").alias("industry_id"), F.col("name").alias("industry_name"))
     label = F.when(F.col("push_type") == "morning", PUSH_LABELS["morning"]).otherwise(PUSH_LABELS["evening"])
     due = counted.where((F.col("status") == "failed") & (F.col("streak") >= threshold))
-    return due.join(names, "industry_id").withColumns({
+    return due.join(small_side(names), "industry_id").withColumns({
         "subject": F.format_string(ALERT_SUBJECT, "industry_name", label, "streak"),
         "error": F.substring("error_msg", 1, ALERT_ERROR_CHARS),
     })

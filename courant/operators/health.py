@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courant.operators.streaks import running_streak
+from courant.session import small_side
 
 # Thresholds, message formats and display labels.
 ALERT_AFTER = 3
@@ -53,7 +54,7 @@ def alerts(counted: DataFrame, sources: DataFrame, threshold: int = ALERT_AFTER)
         "<p><b>%s</b>: %d</p><p><code>%s</code></p><p><code>%s</code></p>",
         "source_name", "failures", "url", F.coalesce("error", F.lit("")),
     )
-    return due.join(names, "source_id").withColumns({"subject": subject, "body": body})
+    return due.join(small_side(names), "source_id").withColumns({"subject": subject, "body": body})
 
 
 def rollup(checks: DataFrame) -> DataFrame:

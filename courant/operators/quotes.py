@@ -99,7 +99,7 @@ def commodity_quotes(
         items.withColumn("_code", F.upper("symbol"))
         .withColumn("_prefix", prefix)
         .join(by_code, "_code", "left")
-        .join(by_prefix, "_prefix", "left")
+        .join(F.broadcast(by_prefix), "_prefix", "left")  # at most one row per listed prefix
         .withColumn("_row", F.coalesce("_exact", "_similar"))
         .where(F.col("_row").isNotNull())
         .withColumn("method", F.when(F.col("_exact").isNotNull(), "code").otherwise("name"))

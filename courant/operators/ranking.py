@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from courant.functions import keywords as K
 from courant.functions import scores as S
 from courant.operators.topk import top_per_group
+from courant.session import small_side
 
 
 def with_parsed_keywords(config: DataFrame, name: str, keywords: str = "keywords") -> DataFrame:
@@ -19,14 +20,14 @@ def with_parsed_keywords(config: DataFrame, name: str, keywords: str = "keywords
 def attach_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Copy name, weight, industry and parsed keywords of its source on each article.
 
-    No broadcast hint: Spark broadcasts the sources if they are small enough,
-    and splits a hot source's articles if they are not.
+    Sources are configuration: broadcast if small, so that a source with a
+    third of the articles does not gather them in one task.
     """
     side = with_parsed_keywords(sources, "source_words").select(
         F.col("id").alias("source_id"), F.col("name").alias("source_name"),
         F.col("weight").alias("source_weight"), "industry_id", "source_words",
     )
-    return articles.join(side, "source_id")
+    return articles.join(small_side(side), "source_id")
 
 
 def attach_industry(articles: DataFrame, industries: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def attach_industry(articles: DataFrame, industries: DataFrame) -> DataFrame:
         F.col("id").alias("industry_id"), F.col("name").alias("industry_name"),
         "top_n", "industry_words",
     )
-    return articles.join(side, "industry_id")
+    return articles.join(small_side(side), "industry_id")
 
 
 def keyword_verdicts(articles: DataFrame, as_of: Column) -> DataFrame:

@@ -33,12 +33,12 @@ def admit(allowed: list[int], at: int, limit: int, window: int) -> bool:
     return True
 
 
-def _stretches(attempts: DataFrame, key: str) -> DataFrame:
+def _stretches(attempts: DataFrame, key: str, window: int) -> DataFrame:
     """The first window of the run of busy windows each busy window belongs to."""
     busy = attempts.select(key, "_slot").distinct()
     by_slot = Window.partitionBy(key).orderBy("_slot")
-    starts = F.col("_slot") - F.lag("_slot").over(by_slot) == 1
-    return busy.withColumn("_begin", F.when(F.coalesce(~starts, F.lit(True)), F.col("_slot"))).select(
+    follows = F.col("_slot") - F.lag("_slot").over(by_slot) == window
+    return busy.withColumn("_begin", F.when(F.coalesce(~follows, F.lit(True)), F.col("_slot"))).select(
         key, "_slot",
         F.last("_begin", ignorenulls=True).over(by_slot.rowsBetween(Window.unboundedPreceding, 0)).alias("_stretch"),
     )
@@ -51,9 +51,11 @@ def rate_limit(
     """Add `allowed` to each attempt."""
     window = window_seconds * 1_000_000
     at = F.unix_micros(F.col(time).cast("timestamp"))
-    timed = attempts.withColumn("_at", at).withColumn("_slot", F.floor(F.col("_at") / window))
+    timed = attempts.withColumn("_at", at).withColumn(
+        "_slot", F.col("_at") - F.pmod("_at", F.lit(window))
+    )
     ordered = (
-        timed.join(_stretches(timed, key), [key, "_slot"])
+        timed.join(_stretches(timed, key, window), [key, "_slot"])
         .repartition(key, "_stretch")
         .sortWithinPartitions(key, "_stretch", "_at", tie)
         .drop("_slot")

@@ -29,35 +29,35 @@ def running_streak(
 ) -> DataFrame:
     """Add the streak after each row, rows of a key taken in (`time`, `tie`) order."""
     keys = list(keys)
-    chunk = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(chunk_seconds * 1_000_000))
-    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(time, tie)
-    so_far = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    island = Window.partitionBy(*keys, "_chunk", "_resets").orderBy(time, tie).rowsBetween(
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(time, tie).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    # Adds so far less adds up to the last reset; both windows share one sort.
     local = (
-        df.withColumn("_chunk", chunk)
-        .withColumn("_add", F.when(add, 1).otherwise(0).cast("long"))
-        .withColumn("_resets", F.sum(F.when(reset, 1).otherwise(0)).over(so_far))
-        .withColumn("_streak", F.sum("_add").over(island))
+        df.withColumn("_chunk", at - F.pmod(at, F.lit(chunk_seconds * 1_000_000)))
+        .withColumn("_adds", F.sum(F.when(add, 1).otherwise(0)).over(in_chunk))
+        .withColumn("_base", F.max(F.when(reset, F.col("_adds"))).over(in_chunk))
+        .withColumn("_streak", F.col("_adds") - F.coalesce("_base", F.lit(0)))
     )
     totals = local.groupBy(*keys, "_chunk").agg(
-        F.max("_resets").alias("_resets"),
+        F.max("_base").isNotNull().alias("_reset"),
         F.max_by("_streak", F.struct(time, tie)).alias("_tail"),
     )
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    upto = by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     chained = (
-        totals.withColumn("_run", F.sum(F.when(F.col("_resets") > 0, 1).otherwise(0)).over(by_chunk))
-        .withColumn(
-            "_out",
-            F.sum("_tail").over(Window.partitionBy(*keys, "_run").orderBy("_chunk")),
-        )
+        totals.withColumn("_sum", F.sum("_tail").over(upto))
+        .withColumn("_start", F.max(F.when(F.col("_reset"), F.col("_sum") - F.col("_tail"))).over(upto))
+        .withColumn("_out", F.col("_sum") - F.coalesce("_start", F.lit(0)))
         .withColumn("_in", F.coalesce(F.lag("_out").over(by_chunk), F.lit(0)))
-        .select(*keys, "_chunk", "_in")
+        .select(*[F.col(k).alias(f"_key_{k}") for k in [*keys, "_chunk"]], "_in")
     )
-    inherited = F.when(F.col("_resets") == 0, F.col("_in")).otherwise(F.lit(0))
+    # Null-safe, since the industry of an old log row may have been deleted.
+    same_chunk = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in [*keys, "_chunk"]]
+    inherited = F.when(F.col("_base").isNull(), F.col("_in")).otherwise(F.lit(0))
     return (
-        local.join(chained, [*keys, "_chunk"])
+        local.join(chained, same_chunk)
         .withColumn(name, F.col("_streak") + inherited)
-        .drop("_chunk", "_add", "_resets", "_streak", "_in")
+        .select(*df.columns, name)
     )

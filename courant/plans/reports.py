@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courant.functions.display import quote_display
+from courant.session import small_side
 
 # Subjects and section headings.
 MORNING_SUBJECT, EVENING_SUBJECT = "【%s】行业早报 - 今日要闻", "【%s】行业晚报 - 今日行情"
@@ -88,7 +89,7 @@ def evening_report(
             F.count("*").alias("n_items"),
             F.array_sort(F.collect_list(F.struct("section", "item_pos", "line"))).alias("_lines"),
         )
-        .join(names, "industry_id")
+        .join(small_side(names), "industry_id")
         .select(
             "industry_id", "page", F.format_string(EVENING_SUBJECT, "industry_name").alias("subject"), "n_items",
             F.concat(table(0, STOCK_HEADING), table(1, FUTURES_HEADING)).alias("body"),

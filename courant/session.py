@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings: AQE splits skewed join partitions even when that costs one
 # more shuffle, since one source or symbol may hold a large share of the rows.
@@ -39,3 +40,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="courant-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+# A side is broadcast up to this many rows and this many bytes (as JSON).
+SMALL_ROWS, SMALL_BYTES = 20_000, 8 * 1024 * 1024
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Mark a configuration table for broadcast, if it really is small.
+
+    Its size is measured first, on at most one row more than the limit. A
+    larger one is joined by shuffle, where AQE splits the hot partitions.
+    """
+    size = df.limit(SMALL_ROWS + 1).agg(
+        F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("chars")
+    ).first()
+    return F.broadcast(df) if size["n"] <= SMALL_ROWS and (size["chars"] or 0) <= SMALL_BYTES else df
