@@ -537,7 +537,7 @@ def head_tail(column: str) -> str:
 
 
 def masked(column: str) -> str:
-    for pattern, cover in Y.MASKS:
+    for pattern, cover, _ in Y.MASKS:
         column = f"regexp_replace({column}, {q(pattern)}, {q(cover.replace('$1', chr(92) + '1'))}, 'g')"
     return column
 
@@ -655,7 +655,7 @@ add("dedup_semantic", "SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN
     SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
     AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.4"""))
 add("dedup_titles", "SELECT doc_id, title FROM numbered WHERE id NOT IN (SELECT id FROM gone)", {
-    "first_titles": FIRST_TITLES, "numbered": NUMBERED, **greedy(title_edges("numbered", 0.7))})
+    "first_titles": FIRST_TITLES, "numbered": NUMBERED, **greedy(title_edges("numbered", 0.85))})
 add("dedup_with_fallback", """SELECT doc_id, title, embedding IS NOT NULL AS has_vector
     FROM with_vec WHERE id NOT IN (SELECT id FROM gone)""", {
     "first_titles": FIRST_TITLES, "numbered": NUMBERED,

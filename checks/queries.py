@@ -338,7 +338,7 @@ def dedup_semantic(v):
 
 @query
 def dedup_titles(v):
-    return dedup.dedup_titles(v.articles, ART, threshold=0.7).select("doc_id", "title")
+    return dedup.dedup_titles(v.articles, ART).select("doc_id", "title")
 
 
 @query

@@ -17,7 +17,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from courant.functions.urls import join_url, let, url_path, url_scheme
+from courant.functions.urls import join_parts, let, url_path, url_scheme
 
 _MARK = "\u0001"
 _ATTRS = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
@@ -171,39 +171,35 @@ def element_blocks(html: Column, selector: Selector) -> Column:
     return F.transform(blocks, lambda b: F.regexp_replace(b, rf"^<{_ATTRS}>", ""))
 
 
-def first_element(html: Column, selector: Selector) -> Column:
-    """Inner HTML of the first element the selector matches, null if there is none."""
+def first_element(html: Column, selectors: Sequence[Selector]) -> Column:
+    """Inner HTML of the first element of the first selector that matches any; else null."""
 
-    def cut(rest: Column) -> Column:
-        name = F.lower(F.regexp_extract(rest, r"^<([A-Za-z][A-Za-z0-9]*)", 1))
-        marked = F.regexp_replace(
-            rest, F.concat(F.lit("(?i)(</?"), name, F.lit(r"(?=[\s>/]))")), F.lit(f"{_MARK}$1")
-        )
-
-        def inner(pieces: Column) -> Column:
-            def step(state: Column, piece: Column) -> Column:
-                depth = state["depth"] + F.when(F.startswith(piece, F.lit("</")), -1).otherwise(1)
-                return F.when(state["depth"] == 0, state).otherwise(
-                    F.struct(depth.alias("depth"), (state["taken"] + (depth > 0).cast("int")).alias("taken"))
-                )
-
-            start = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("taken"))
-            taken = F.aggregate(
-                F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda s: s["taken"]
+    def inner(pieces: Column) -> Column:
+        def step(state: Column, piece: Column) -> Column:
+            depth = state["depth"] + F.when(F.startswith(piece, F.lit("</")), -1).otherwise(1)
+            taken = state["taken"] + (depth > 0).cast("int")
+            return F.when(state["depth"] == 0, state).otherwise(
+                F.struct(depth.alias("depth"), taken.alias("taken"))
             )
-            return F.array_join(F.slice(pieces, F.lit(1), taken), "")
 
+        start = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("taken"))
+        rest = F.slice(pieces, F.lit(2), F.size(pieces))
+        taken = F.aggregate(rest, start, step, lambda s: s["taken"])
+        return F.array_join(F.slice(pieces, F.lit(1), taken), "")
+
+    def cut(rest: Column) -> Column:
+        name = F.lower(F.regexp_extract(rest, r"^<([A-Za-z][A-Za-z0-9]*)", 1))
+        same_tag = F.concat(F.lit("(?i)(</?"), name, F.lit(r"(?=[\s>/]))"))
+        marked = F.regexp_replace(rest, same_tag, F.lit(f"{_MARK}$1"))
         return let(F.filter(F.split(marked, _MARK), lambda p: p != ""), inner)
 
-    start = F.regexp_instr(html, F.lit(selector.pattern))
-    block = let(F.substr(html, start), cut)
-    return F.when(html.rlike(selector.pattern), F.regexp_replace(block, rf"^<{_ATTRS}>", ""))
+    found = [F.nullif(F.regexp_extract(html, f"(?s){s.pattern}.*", 0), F.lit("")) for s in selectors]
+    return F.regexp_replace(let(F.coalesce(*found), cut), rf"^<{_ATTRS}>", "")
 
 
 def content_area(html: Column, areas: Sequence[str]) -> Column:
     """The first area found, in the order of the list; else the body, else the page."""
-    found = [first_element(html, Selector.parse(area)) for area in areas]
-    return F.coalesce(*found, first_element(html, Selector.parse("body")), html)
+    return F.coalesce(first_element(html, [Selector.parse(area) for area in [*areas, "body"]]), html)
 
 
 def _attribute(attrs: Column, name: str) -> Column:
@@ -239,7 +235,10 @@ def anchors(html: Column, selector: str | None = None) -> Column:
 
 
 def link_targets(found: Column, base: Column) -> Column:
-    """Anchors with a usable target: array of (pos, url, title), not yet distinct."""
+    """Anchors with a usable target: array of (pos, url, title), not yet distinct.
+
+    `base` is the page's url as `split_base` gives it.
+    """
     hrefs = F.transform(
         found,
         lambda a, i: F.struct(
@@ -256,7 +255,7 @@ def link_targets(found: Column, base: Column) -> Column:
     joined = F.transform(
         usable,
         lambda a: F.struct(
-            a["pos"].alias("pos"), join_url(base, a["href"]).alias("url"),
+            a["pos"].alias("pos"), join_parts(base, a["href"]).alias("url"),
             let(
                 text_of(a["inner"]),
                 lambda t: F.when(t != "", t).otherwise(strip(_attribute(a["attrs"], "title"))),

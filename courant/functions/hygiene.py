@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courant.functions.urls import let
+
 _W = r"\p{L}\p{N}_"
 
-# What counts as sensitive, in the order it is masked. Word
-# characters are Unicode letters, digits and the underscore.
+# What counts as sensitive, in the order it is masked, each with a
+# text any match contains. Word characters are Unicode letters, digits and `_`.
 MASKS = (
-    (rf"[{_W}.+-]+@[{_W}-]+\.[{_W}.]+", "***@***.***"),
-    (rf"(?i)(password['\"]?\s*[:=]\s*)['\"]?[{_W}!@#$%^&*]+['\"]?", "$1***"),
-    (rf"(?i)(Authorization:\s*[{_W}]+\s+)[{_W}.=+/-]+", "$1***"),
-    (rf"(?i)(api[_-]?key['\"]?\s*[:=]\s*)['\"]?[{_W}\-]+['\"]?", "$1***"),
-    (rf"(?i)(token['\"]?\s*[:=]\s*)['\"]?[{_W}\-]+['\"]?", "$1***"),
-    (rf"(?i)(secret['\"]?\s*[:=]\s*)['\"]?[{_W}\-]+['\"]?", "$1***"),
-    (rf"(?i)(Bearer\s+)[{_W}\-.=+/]+", "$1***"),
-    (rf"gAAAAA[{_W}\-=+/]{{20,}}", "gAAAAA***"),
+    (rf"[{_W}.+-]+@[{_W}-]+\.[{_W}.]+", "***@***.***", "@"),
+    (rf"(?i)(password['\"]?\s*[:=]\s*)['\"]?[{_W}!@#$%^&*]+['\"]?", "$1***", "password"),
+    (rf"(?i)(Authorization:\s*[{_W}]+\s+)[{_W}.=+/-]+", "$1***", "authorization:"),
+    (rf"(?i)(api[_-]?key['\"]?\s*[:=]\s*)['\"]?[{_W}\-]+['\"]?", "$1***", "key"),
+    (rf"(?i)(token['\"]?\s*[:=]\s*)['\"]?[{_W}\-]+['\"]?", "$1***", "token"),
+    (rf"(?i)(secret['\"]?\s*[:=]\s*)['\"]?[{_W}\-]+['\"]?", "$1***", "secret"),
+    (rf"(?i)(Bearer\s+)[{_W}\-.=+/]+", "$1***", "bearer"),
+    (rf"gAAAAA[{_W}\-=+/]{{20,}}", "gAAAAA***", "gaaaaa"),
 )
 
 # Networks no fetch may reach, as (first, last) addresses.
@@ -34,20 +40,36 @@ SAFE_SCHEMES = ("http", "https")
 SEALED = "sealed1:"
 
 
+def _mask_one(pattern: str, cover: str, part: str) -> Callable[[Column], Column]:
+    def masked(state: Column) -> Column:
+        hit = F.contains(state["low"], F.lit(part))
+        text = F.when(hit, F.regexp_replace(state["text"], pattern, cover)).otherwise(state["text"])
+        return F.struct(state["low"].alias("low"), text.alias("text"))
+
+    return masked
+
+
 def mask(text: Column) -> Column:
-    """Mask addresses, passwords, keys and tokens."""
-    for pattern, cover in MASKS:
-        text = F.regexp_replace(text, pattern, cover)
-    return text
+    """Mask addresses, passwords, keys and tokens.
+
+    Most texts hold none; a plain search for a part of the match keeps the
+    patterns away from them. No cover brings in what another pattern looks for.
+    """
+    state = F.struct(F.lower(text).alias("low"), text.alias("text"))
+    for pattern, cover, part in MASKS:
+        state = let(state, _mask_one(pattern, cover, part))
+    return state["text"]
 
 
 def _address(ip: Column) -> Column:
     """An IPv4 literal as a number, null for anything else."""
-    parts = [F.regexp_extract(ip, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("bigint")
-             for i in (1, 2, 3, 4)]
-    number = parts[0] * (1 << 24) + parts[1] * (1 << 16) + parts[2] * (1 << 8) + parts[3]
-    fits = parts[0].between(0, 255) & parts[1].between(0, 255) & parts[2].between(0, 255) & parts[3].between(0, 255)
-    return F.when(fits, number)
+    pattern = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+    found = F.transform(
+        F.array(*[F.regexp_extract(ip, pattern, i) for i in (1, 2, 3, 4)]),
+        lambda part: part.try_cast("bigint"),
+    )
+    number = F.aggregate(found, F.lit(0).cast("bigint"), lambda n, part: n * 256 + part)
+    return F.when(ip.rlike(pattern), let(found, lambda f: F.when(F.array_max(f) <= 255, number)))
 
 
 def _number(ip: str) -> int:
@@ -62,13 +84,13 @@ def is_literal(host: Column) -> Column:
 
 
 def is_private(ip: Column) -> Column:
-    number, low = _address(ip), F.lower(ip)
-    verdict = F.lit(False)
-    for first, last in PRIVATE_IPV4:
-        verdict = verdict | F.coalesce(number.between(_number(first), _number(last)), F.lit(False))
-    for pattern in PRIVATE_IPV6:
-        verdict = verdict | (F.contains(low, F.lit(":")) & low.rlike(pattern))
-    return verdict
+    def verdict(parts: Column) -> Column:
+        number, low = parts["number"], parts["low"]
+        inside = [number.between(_number(first), _number(last)) for first, last in PRIVATE_IPV4]
+        listed = [low.rlike(pattern) for pattern in PRIVATE_IPV6]
+        return F.coalesce(reduce(or_, inside), F.contains(low, F.lit(":")) & reduce(or_, listed))
+
+    return let(F.struct(_address(ip).alias("number"), F.lower(ip).alias("low")), verdict)
 
 
 def host_of(url: Column) -> Column:
@@ -90,7 +112,7 @@ def check_urls(urls: DataFrame, resolved: DataFrame, url: str = "url") -> DataFr
         F.max(is_private(F.col("ip"))).alias("_private")
     )
     scheme = F.lower(F.regexp_extract(F.col(url), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    literal = is_literal(F.col("_host"))
+    literal = F.col("_literal")
     reason = (
         F.when(~F.col("_scheme").isin(*SAFE_SCHEMES), "scheme")
         .when(F.col("_host") == "", "no host")
@@ -101,10 +123,11 @@ def check_urls(urls: DataFrame, resolved: DataFrame, url: str = "url") -> DataFr
     return (
         urls.withColumn("_scheme", scheme)
         .withColumn("_host", host_of(F.col(url)))
+        .withColumn("_literal", is_literal(F.col("_host")))
         .join(known, "_host", "left")
         .withColumn("reason", reason)
         .withColumn("is_safe", F.col("reason").isNull())
-        .drop("_scheme", "_host", "_private")
+        .drop("_scheme", "_host", "_literal", "_private")
     )
 
 

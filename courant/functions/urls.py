@@ -38,8 +38,7 @@ def _resolve_dots(segments: Column) -> Column:
     empty = F.array().cast("array<string>")
     kept = F.aggregate(segments, empty, step)
     ends_open = F.element_at(segments, -1).isin(".", "..")
-    closed = F.when(ends_open, F.array_append(kept, F.lit(""))).otherwise(kept)
-    path = F.array_join(closed, "/")
+    path = F.array_join(F.when(ends_open, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
     return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
 
 
@@ -48,42 +47,67 @@ def _drop_empty_middle(segments: Column) -> Column:
     return F.filter(segments, lambda s, i: (i == 0) | (i == last) | (s != ""))
 
 
-def join_url(base: Column, ref: Column) -> Column:
-    """The absolute form of `ref` as found on the page `base` (RFC 3986)."""
+def _clean_path(path: Column, relative: bool) -> Column:
+    """A path without dot segments; most have none and are left alone."""
+    untidy = F.contains(path, F.lit("/."))
+    segments = F.split(path, "/")
+    if relative:
+        untidy = untidy | F.contains(path, F.lit("//"))
+        segments = _drop_empty_middle(segments)
+    return F.when(untidy, _resolve_dots(segments)).otherwise(path)
+
+
+def split_base(base: Column) -> Column:
+    """The parts of a page's url that references on it are joined to."""
+    pattern = r"^([^:/?#]+)://([^/?#]*)([^?#]*)(\?[^#]+)?"
+    scheme, place, path, query = (F.regexp_extract(base, pattern, i) for i in (1, 2, 3, 4))
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    return F.struct(
+        F.lower(scheme).alias("scheme"),
+        F.concat(F.lower(scheme), F.lit("://"), place).alias("site"),
+        path.alias("path"), query.alias("query"),
+        F.when(folder == "", F.lit("/")).otherwise(folder).alias("folder"),
+    )
+
+
+def join_parts(base: Column, ref: Column) -> Column:
+    """The absolute form of `ref`, given the parts of the page's url (RFC 3986)."""
 
     def resolve(parts: Column) -> Column:
-        base_, ref_ = parts["base"], parts["ref"]
-        scheme = url_scheme(base_)
-        site = F.concat(scheme, F.lit("://"), F.regexp_extract(base_, r"^[^:/?#]+://([^/?#]*)", 1))
-        own_scheme = url_scheme(ref_)
-        # `http:x` on an http page is the relative reference `x`.
-        rest = F.when(
-            own_scheme == scheme, F.regexp_replace(ref_, r"^[^:]*:", "")
-        ).otherwise(ref_)
-        query = F.regexp_replace(
-            F.regexp_extract(rest, r"^[^?#]*((?s:.*))$", 1), r"^\?(?=#|$)|#$", ""
-        )
-        path = F.regexp_extract(rest, r"^([^?#]*)", 1)
-        base_path = F.regexp_extract(base_, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
-        base_query = F.regexp_extract(base_, r"^[^?#]*(\?[^#]+)", 1)
-        folder = F.regexp_replace(base_path, r"[^/]*$", "")
-        whole = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)
+        ref_, own, rest = parts["ref"], parts["scheme"], parts["rest"]
+        path, query = parts["path"], parts["query"]
         same_page = F.concat(
-            site, base_path,
-            F.when(F.startswith(query, F.lit("?")), query).otherwise(F.concat(base_query, query)),
+            base["site"], base["path"],
+            F.when(F.startswith(query, F.lit("?")), query).otherwise(F.concat(base["query"], query)),
         )
+        relative = F.concat(base["folder"], path)
         return (
-            F.when((own_scheme != "") & (own_scheme != scheme), ref_)
-            .when(F.startswith(rest, F.lit("//")), F.concat(scheme, F.lit(":"), path, query))
+            F.when((own != "") & (own != base["scheme"]), ref_)
+            .when(F.startswith(rest, F.lit("//")), F.concat(base["scheme"], F.lit(":"), path, query))
             .when(path == "", same_page)
             .when(
                 F.startswith(path, F.lit("/")),
-                F.concat(site, _resolve_dots(F.split(path, "/")), query),
-            )
-            .otherwise(
-                F.concat(site, _resolve_dots(_drop_empty_middle(F.split(whole, "/"))), query)
+                F.concat(base["site"], _clean_path(path, False), query),
             )
+            .otherwise(F.concat(base["site"], _clean_path(relative, True), query))
+        )
+
+    def split(parts: Column) -> Column:
+        ref_, own = parts["ref"], parts["scheme"]
+        # `http:x` on an http page is the relative reference `x`.
+        rest = F.when(own == base["scheme"], F.regexp_replace(ref_, r"^[^:]*:", "")).otherwise(ref_)
+        tail = F.regexp_extract(rest, r"^[^?#]*((?s:.*))$", 1)
+        return F.struct(
+            ref_.alias("ref"), own.alias("scheme"), rest.alias("rest"),
+            F.regexp_extract(rest, r"^([^?#]*)", 1).alias("path"),
+            F.regexp_replace(tail, r"^\?(?=#|$)|#$", "").alias("query"),
         )
 
-    clean = F.regexp_replace(ref, r"[\t\r\n]", "")
-    return let(F.struct(base.alias("base"), clean.alias("ref")), resolve)
+    clean = F.translate(ref, "\t\r\n", "")
+    opened = let(clean, lambda r: F.struct(r.alias("ref"), url_scheme(r).alias("scheme")))
+    return let(let(opened, split), resolve)
+
+
+def join_url(base: Column, ref: Column) -> Column:
+    """The absolute form of `ref` as found on the page `base`."""
+    return let(split_base(base), lambda b: join_parts(b, ref))

@@ -10,8 +10,9 @@ the rows one by one and without pairing all members of a group:
   neighbours, so its fate can be settled; what it rules out drops out;
 - the rest goes into the next round, with shorter buckets.
 
-A bucket full of copies shrinks to one row in the first round. Buckets longer
-than the head are sliced over several tasks.
+The head of a long bucket starts small, so a bucket full of copies shrinks to a
+few rows cheaply in the first round, and grows from round to round, so that a
+bucket of unlike rows is done in few. Long buckets are sliced over many tasks.
 """
 
 from __future__ import annotations
@@ -24,14 +25,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courant.operators.topk import top_per_group
 from courant.session import checkpointed
 from courant.sources.tables import first_per_key
 
+Similar = Callable[[Column, Column], Column]
+SimilarBlocks = Callable[[pd.Series, pd.Series], np.ndarray]
+
 THRESHOLD = 0.85
-HEAD_ROWS = 256
-SLICES = 64
+HEAD_ROWS, FIRST_HEAD_ROWS, HEAD_GROWTH = 256, 16, 8
+SLICE_ROWS = 1024
+# Vectors of buckets longer than this are compared as blocks; heads may be longer then.
+BLOCK_ROWS, BLOCK_HEAD_ROWS = 64, 2048
 GRAM_CHARS = 3
 # Blocking of vectors misses a similar pair with at most this probability.
 MAX_MISS = 1e-9
@@ -48,29 +55,72 @@ def dedup_exact(
 def _shared_buckets(entries: DataFrame) -> DataFrame:
     """Entries whose bucket has another member, with the bucket's size."""
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return entries.select("bucket", "ord").join(sizes, "bucket")
+    return entries.drop("n").join(sizes, "bucket")
 
 
-def _head(entries: DataFrame, head_rows: int) -> DataFrame:
+def _head(entries: DataFrame, head_rows: int, long_head: int) -> DataFrame:
+    """All of a bucket up to `head_rows` long, the first `long_head` rows of a longer one."""
     small = entries.where(F.col("n") <= head_rows)
     big = top_per_group(
         entries.where(F.col("n") > head_rows), ["bucket"], [F.asc("ord")],
-        spread=["ord"], limit=head_rows,
+        spread=["ord"], limit=long_head,
     ).drop("rank")
     return small.unionByName(big)
 
 
-def _head_pairs(entries: DataFrame, head: DataFrame, head_rows: int) -> DataFrame:
-    """(first, later) for each entry and each earlier head row of its bucket."""
-    is_big = F.col("n") > head_rows
-    own = F.when(is_big, F.pmod(F.xxhash64("ord"), F.lit(SLICES)).cast("int")).otherwise(F.lit(0))
-    every = F.when(is_big, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
-    left = entries.select("bucket", own.alias("slice"), F.col("ord").alias("later"))
-    right = head.select("bucket", F.col("ord").alias("first"), F.explode(every).alias("slice"))
+def _edges(
+    entries: DataFrame, head: DataFrame, similar: Similar, similar_blocks: SimilarBlocks | None
+) -> DataFrame:
+    """(first, later) for each entry and each similar earlier head row of its bucket.
+
+    The comparison is part of the join, so pairs that fail it are never rows.
+    Long buckets are cut into slices, each with a copy of the (short) head.
+    """
+    slices = F.ceil(F.col("n") / SLICE_ROWS)
+    left = entries.select(
+        "bucket", F.pmod(F.xxhash64("ord"), slices).alias("slice"), "n",
+        F.col("ord").alias("later"), F.col("payload").alias("_b"),
+    )
+    right = head.select(
+        "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("slice"), "n",
+        F.col("ord").alias("first"), F.col("payload").alias("_a"),
+    )
+    shortest = F.col("n") <= BLOCK_ROWS if similar_blocks else F.lit(True)
+    other = right.where(shortest).drop("n").withColumnsRenamed({"bucket": "_bucket", "slice": "_slice"})
+    same = (F.col("bucket") == F.col("_bucket")) & (F.col("slice") == F.col("_slice"))
+    found = left.where(shortest).join(
+        other, same & (F.col("first") < F.col("later")) & similar(F.col("_a"), F.col("_b"))
+    ).select("first", "later")
+    if similar_blocks:
+        found = found.unionByName(_block_edges(left, right, similar_blocks))
+    return found.distinct()
+
+
+def _block_edges(left: DataFrame, right: DataFrame, similar_blocks: SimilarBlocks) -> DataFrame:
+    """The same for longer buckets: a slice and its head, both short, as two blocks."""
+    schema = T.StructType([
+        T.StructField("first", right.schema["first"].dataType),
+        T.StructField("later", left.schema["later"].dataType),
+    ])
+
+    def compare(entries: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        if entries.empty or head.empty:
+            return pd.DataFrame({"first": [], "later": []})
+        keys = [tuple(row.values()) if isinstance(row, dict) else tuple(row)
+                for row in [*head["first"], *entries["later"]]]
+        rank = {key: i for i, key in enumerate(sorted(set(keys)))}
+        place = np.array([rank[key] for key in keys])
+        ahead = place[:len(head), None] < place[None, len(head):]
+        h, e = np.nonzero(similar_blocks(head["_a"], entries["_b"]) & ahead)
+        return pd.DataFrame({
+            "first": head["first"].to_numpy()[h], "later": entries["later"].to_numpy()[e],
+        })
+
+    longer = F.col("n") > BLOCK_ROWS
     return (
-        left.join(right, ["bucket", "slice"])
-        .where(F.col("first") < F.col("later"))
-        .select("first", "later").distinct()
+        left.where(longer).groupBy("bucket", "slice")
+        .cogroup(right.where(longer).groupBy("bucket", "slice"))
+        .applyInPandas(compare, schema)
     )
 
 
@@ -100,27 +150,25 @@ def _settle(edges: DataFrame, unready: DataFrame | None) -> tuple[DataFrame | No
 def keep_first(
     nodes: DataFrame,
     buckets: DataFrame,
-    similar: Callable[[Column, Column], Column],
+    similar: Similar,
     head_rows: int = HEAD_ROWS,
+    similar_blocks: SimilarBlocks | None = None,
 ) -> DataFrame:
     """The `ord` of the rows that are dropped.
 
     `nodes` has `ord` (unique, sortable: the input order) and `payload` (what
     `similar` compares); `buckets` has (bucket, ord), one row per bucket a node
-    is in.
+    is in. `similar_blocks` compares two Series of payloads all with all, for
+    payloads where that is worth leaving the JVM.
     """
-    earlier = nodes.select(F.col("ord").alias("first"), F.col("payload").alias("_a"))
-    later = nodes.select(F.col("ord").alias("later"), F.col("payload").alias("_b"))
     all_dropped = [nodes.select("ord").limit(0)]
-    entries = checkpointed(_shared_buckets(buckets))
+    # Most rows share no bucket with any other; only the rest carry their payload on.
+    entries = checkpointed(_shared_buckets(buckets).join(nodes.select("ord", "payload"), "ord"))
+    long_head = FIRST_HEAD_ROWS
     while not entries.isEmpty():
-        head = _head(entries, head_rows)
-        edges = checkpointed(
-            _head_pairs(entries, head, head_rows)
-            .join(earlier, "first").join(later, "later")
-            .where(similar(F.col("_a"), F.col("_b")))
-            .select("first", "later")
-        )
+        long_head = min(long_head, head_rows)
+        head = _head(entries, head_rows, long_head)
+        edges = checkpointed(_edges(entries, head, similar, similar_blocks))
         big = entries.where(F.col("n") > head_rows)
         unready = None
         if not big.isEmpty():
@@ -137,6 +185,7 @@ def keep_first(
         if gone is not None:
             open_rows = open_rows.join(gone, "ord", "left_anti")
         entries = checkpointed(_shared_buckets(entries.join(open_rows, "ord", "left_semi")))
+        long_head *= HEAD_GROWTH
     return reduce(DataFrame.unionByName, all_dropped)
 
 
@@ -212,7 +261,7 @@ def dedup_titles(
     sets = once.select(
         F.struct(*order).alias("ord"), *within, grams(F.col(title)).alias("payload")
     )
-    largest = sets.agg(F.max(F.size("payload"))).first()[0] or 1
+    largest = once.agg(F.max(F.length(title))).first()[0] or 1  # a bound on the size of a set
     buckets = sets.select(
         "ord", *within, F.explode(gram_buckets(F.col("payload"), threshold, largest)).alias("_key")
     ).select(F.xxhash64("_key", *within).alias("bucket"), "ord")
@@ -239,9 +288,8 @@ def unit(vector: Column) -> Column:
     return F.transform(doubles, lambda x: x / norm)
 
 
-def dot(a: Column, b: Column, dim: int) -> Column:
-    """Inner product, written out so that it is compiled rather than interpreted."""
-    return reduce(lambda s, i: s + a[i] * b[i], range(1, dim), a[0] * b[0])
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def choose_bands(threshold: float, rows: int, max_miss: float = MAX_MISS) -> tuple[int, int]:
@@ -283,7 +331,7 @@ def dedup_vectors(
     vector: str = "vector",
     within: Sequence[str] = (),
     threshold: float = THRESHOLD,
-    head_rows: int = 4 * HEAD_ROWS,
+    head_rows: int = BLOCK_HEAD_ROWS,
 ) -> DataFrame:
     """Rows left after removing those whose vector is close to a kept earlier one."""
     scope = F.xxhash64(*within) if within else F.lit(0).cast("bigint")
@@ -298,9 +346,14 @@ def dedup_vectors(
     )
 
     def similar(a: Column, b: Column) -> Column:
-        return (a["scope"] == b["scope"]) & (dot(a["v"], b["v"], dim) >= threshold)
+        return (a["scope"] == b["scope"]) & (dot(a["v"], b["v"]) >= threshold)
+
+    def similar_blocks(a: pd.Series, b: pd.Series) -> np.ndarray:
+        one, two = (np.array([row["v"] for row in side]) for side in (a, b))
+        scopes = [np.array([row["scope"] for row in side]) for side in (a, b)]
+        return (one @ two.T >= threshold) & (scopes[0][:, None] == scopes[1][None, :])
 
-    return _without(df, keep_first(nodes, buckets, similar, head_rows), order)
+    return _without(df, keep_first(nodes, buckets, similar, head_rows, similar_blocks), order)
 
 
 def dedup_with_fallback(

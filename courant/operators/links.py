@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courant.functions import html as H
+from courant.functions.urls import split_base
 
 
 def extract_links(
@@ -17,7 +18,7 @@ def extract_links(
     with a poor title hides a later good one. Everything happens inside the
     page's row: no shuffle.
     """
-    staged = pages.select(*keep, F.col(base).alias("_base"), H.anchors(F.col("html"), selector).alias("_a"))
+    staged = pages.select(*keep, split_base(F.col(base)).alias("_base"), H.anchors(F.col("html"), selector).alias("_a"))
     staged = staged.select(*keep, H.link_targets(F.col("_a"), F.col("_base")).alias("_links"))
     staged = staged.select(*keep, "_links", F.col("_links")["url"].alias("_urls"))
     first = F.filter(
