@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courant.operators.topk import top_per_group
-from courant.session import checkpointed
+from courant.session import checkpointed, small_side
 from courant.sources.tables import first_per_key
 
 Similar = Callable[[Column, Column], Column]
@@ -276,7 +276,7 @@ def dedup_titles(
 
 def _without(df: DataFrame, dropped: DataFrame, order: Sequence[str]) -> DataFrame:
     keys = dropped.select(*[F.col("ord")[c].alias(c) for c in order])
-    return df.join(keys, list(order), "left_anti")
+    return df.join(small_side(keys), list(order), "left_anti")
 
 
 # --- vectors: cosine similarity ----------------------------------------------------

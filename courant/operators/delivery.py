@@ -26,13 +26,13 @@ def readiness(
 ) -> DataFrame:
     """Per industry, the first thing that is missing for a push; null means ready."""
     no_input = NO_SOURCES if push_type == "morning" else NO_ITEMS
-    has_smtp = smtp.agg((F.count("*") > 0).alias("has_smtp"))
+    has_smtp = smtp.agg(F.count("*") > 0).scalar()
     joined = (
         industries.select(F.col("id").alias("industry_id"), F.col("name").alias("industry_name"))
         .join(_counts(inputs, "n_inputs"), "industry_id", "left")
         .join(_counts(recipients, "n_recipients"), "industry_id", "left")
         .fillna(0, ["n_inputs", "n_recipients"])
-        .join(F.broadcast(has_smtp))  # a single row: the result of a global count
+        .withColumn("has_smtp", has_smtp)
     )
     reason = (
         F.when(F.col("n_inputs") == 0, no_input)

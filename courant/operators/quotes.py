@@ -107,19 +107,6 @@ def commodity_quotes(
     )
 
 
-def _cleaned(matched: DataFrame, kind: str, check_price: bool) -> DataFrame:
-    pct = parse_pct(F.col("change_pct"))
-    rows = matched.where(F.col("last").isNotNull() & pct.isNotNull())
-    if check_price:
-        rows = rows.where(valid_price(F.col("last")))
-    return rows.select(
-        "industry_id", "item_pos",
-        display_name(F.col("name"), F.col("found_name"), F.col("symbol")).alias("name"),
-        "symbol", F.round("last", 2).alias("price"), F.round(pct, 2).alias("change_pct"),
-        F.lit(kind).alias("item_type"),
-    )
-
-
 def fetch_quotes(
     items: DataFrame,
     snapshot: DataFrame,
@@ -129,18 +116,38 @@ def fetch_quotes(
 ) -> DataFrame:
     """Quotes for all items by their type; items that match nothing give no row.
 
-    Hong Kong quotes are typed `stock`, so they are reported with the stocks.
-    `item_pos` carries the order of the watch-list.
+    One join on (market, code) serves all types; only commodities fall back to
+    the words of their prefix, and only their price is checked. Hong Kong
+    quotes are typed `stock`, so they are reported with the stocks. `item_pos`
+    carries the order of the watch-list.
     """
-    kind = F.coalesce("item_type", F.lit("stock"))
-    futures = commodity_quotes(items.where(kind == "futures"), snapshot, words, preferred)
-    hk = stock_quotes(items.where(kind == "stock_hk"), snapshot, HONG_KONG)
-    cn = stock_quotes(items.where(~kind.isin("futures", "stock_hk")), snapshot, A_SHARE)
+    is_futures = F.coalesce(F.col("item_type") == "futures", F.lit(False))
+    market = F.when(is_futures, COMMODITY).when(F.col("item_type") == "stock_hk", HONG_KONG).otherwise(A_SHARE)
+    row = F.struct(F.col("name").alias("found_name"), "last", "change_pct")
+    by_code = first_per_key(
+        snapshot, ["market", "code"], ["pos"], ["name", "last", "change_pct"]
+    ).select(F.col("market").alias("_market"), F.col("code").alias("_code"), row.alias("_exact"))
+    by_prefix = commodity_by_prefix(snapshot, words, preferred).select(
+        F.col("prefix").alias("_prefix"), F.struct("found_name", "last", "change_pct").alias("_similar")
+    )
+    pct, last = parse_pct(F.col("_row.change_pct")), F.col("_row.last")
     return (
-        _cleaned(cn, "stock", False)
-        .unionByName(_cleaned(hk, "stock", False))
-        .unionByName(_cleaned(futures, "futures", True))
-        .withColumn("quoted_at", as_of)
+        items.withColumns({
+            "_futures": is_futures, "_market": market,
+            "_code": F.when(is_futures, F.upper("symbol")).otherwise(F.col("symbol")),
+            "_prefix": F.when(is_futures & (F.length("symbol") >= 2), F.lower(F.substring("symbol", 1, 2))),
+        })
+        .join(by_code, ["_market", "_code"], "left")
+        .join(F.broadcast(by_prefix), "_prefix", "left")  # at most one row per listed prefix
+        .withColumn("_row", F.coalesce("_exact", "_similar"))
+        .where(last.isNotNull() & pct.isNotNull() & (~F.col("_futures") | valid_price(last)))
+        .select(
+            "industry_id", "item_pos",
+            display_name(F.col("name"), F.col("_row.found_name"), F.col("symbol")).alias("name"),
+            "symbol", F.round(last, 2).alias("price"), F.round(pct, 2).alias("change_pct"),
+            F.when(F.col("_futures"), "futures").otherwise("stock").alias("item_type"),
+            as_of.alias("quoted_at"),
+        )
     )
 
 

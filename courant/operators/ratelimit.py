@@ -35,11 +35,11 @@ def admit(allowed: list[int], at: int, limit: int, window: int) -> bool:
 
 def _stretches(attempts: DataFrame, key: str, window: int) -> DataFrame:
     """The first window of the run of busy windows each busy window belongs to."""
-    busy = attempts.select(key, "_slot").distinct()
-    by_slot = Window.partitionBy(key).orderBy("_slot")
-    follows = F.col("_slot") - F.lag("_slot").over(by_slot) == window
-    return busy.withColumn("_begin", F.when(F.coalesce(~follows, F.lit(True)), F.col("_slot"))).select(
-        key, "_slot",
+    busy = attempts.select(F.col(key).alias("_key"), F.col("_slot").alias("_busy")).distinct()
+    by_slot = Window.partitionBy("_key").orderBy("_busy")
+    follows = F.col("_busy") - F.lag("_busy").over(by_slot) == window
+    return busy.withColumn("_begin", F.when(F.coalesce(~follows, F.lit(True)), F.col("_busy"))).select(
+        "_key", "_busy",
         F.last("_begin", ignorenulls=True).over(by_slot.rowsBetween(Window.unboundedPreceding, 0)).alias("_stretch"),
     )
 
@@ -55,10 +55,12 @@ def rate_limit(
         "_slot", F.col("_at") - F.pmod("_at", F.lit(window))
     )
     ordered = (
-        timed.join(_stretches(timed, key, window), [key, "_slot"])
+        timed.join(
+            _stretches(timed, key, window),
+            F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_busy")),
+        )
         .repartition(key, "_stretch")
         .sortWithinPartitions(key, "_stretch", "_at", tie)
-        .drop("_slot")
     )
     schema = T.StructType([*attempts.schema.fields, T.StructField("allowed", T.BooleanType())])
 
@@ -66,7 +68,8 @@ def rate_limit(
         current, allowed = None, []
         for batch in batches:
             verdicts = []
-            for name, stretch, moment in zip(batch[key], batch["_stretch"], batch["_at"]):
+            names = batch[key].astype(object).where(batch[key].notna(), None)
+            for name, stretch, moment in zip(names, batch["_stretch"], batch["_at"]):
                 if (name, stretch) != current:
                     current, allowed = (name, stretch), []
                 verdicts.append(admit(allowed, moment, limit, window))

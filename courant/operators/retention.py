@@ -32,16 +32,13 @@ def prune_log(log: DataFrame, as_of: Column) -> DataFrame:
 
 def cleanup_report(seen: DataFrame, log: DataFrame, as_of: Column) -> DataFrame:
     """What a clean-up removes; snapshots are counted before old rows are deleted."""
-    of_seen = seen.agg(
-        F.count_if(F.col("first_seen_at") < _cutoff(as_of, SEEN_DAYS)).alias("seen_deleted")
-    )
+    of_seen = seen.agg(F.count_if(F.col("first_seen_at") < _cutoff(as_of, SEEN_DAYS)))
+    old_snapshot = (F.col("created_at") < _cutoff(as_of, SNAPSHOT_DAYS)) & F.col("html_snapshot").isNotNull()
     of_log = log.agg(
-        F.count_if(
-            (F.col("created_at") < _cutoff(as_of, SNAPSHOT_DAYS)) & F.col("html_snapshot").isNotNull()
-        ).alias("snapshots_cleared"),
+        F.count_if(old_snapshot).alias("snapshots_cleared"),
         F.count_if(F.col("created_at") < _cutoff(as_of, LOG_DAYS)).alias("log_deleted"),
     )
-    return of_seen.join(F.broadcast(of_log))  # two single rows of global counts
+    return of_log.select(of_seen.scalar().alias("seen_deleted"), "snapshots_cleared", "log_deleted")
 
 
 def reset_seen(seen: DataFrame, sources: DataFrame, industry_ids: list[int]) -> DataFrame:

@@ -34,11 +34,14 @@ def fresh_links(pages: DataFrame, seen: DataFrame, selector: str | None = None)
 def with_summary(links: DataFrame, details: DataFrame) -> DataFrame:
     """Add the extracted summary of each link's own page, the empty text if it has none.
 
-    Text is extracted after the join, so only from pages of fresh links.
+    `details` holds one row per url. Its pages are cut down to their summaries
+    before the join, so that the join moves a line of text and not a page.
     """
-    pages = details.select("url", F.col("html").alias("_html"))
-    summary = A.or_extract(F.lit(None).cast("string"), H.extract_summary(F.col("_html")))
-    return links.join(pages, "url", "left").withColumn("summary", summary).drop("_html")
+    pages = details.select("url", H.extract_summary(F.col("html")).alias("_summary"))
+    given = F.lit(None).cast("string")
+    return links.join(pages, "url", "left").withColumn(
+        "summary", A.or_extract(given, F.col("_summary"))
+    ).drop("_summary")
 
 
 def summarize_with(

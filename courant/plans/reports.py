@@ -17,18 +17,15 @@ STOCK_HEADING, FUTURES_HEADING = "行业龙头股价", "大宗商品行情"
 PAGE_POSITIONS = 100_000
 
 
-def contact(smtp: DataFrame) -> DataFrame:
+def contact(smtp: DataFrame) -> Column:
     """The address named in the footer, from the first configuration row."""
     address = F.coalesce(F.nullif("contact_email", F.lit("")), "username")
-    return smtp.orderBy("id").limit(1).select(address.alias("contact"))
+    return F.coalesce(smtp.orderBy("id").limit(1).select(address).scalar(), F.lit(""))
 
 
 def _footer(bodies: DataFrame, smtp: DataFrame) -> DataFrame:
     end = F.concat(F.lit('<p class="contact">'), "contact", F.lit("</p>"))
-    return (
-        bodies.join(F.broadcast(contact(smtp)))  # a single row
-        .withColumn("body", F.concat("body", end))
-    )
+    return bodies.withColumn("contact", contact(smtp)).withColumn("body", F.concat("body", end))
 
 
 def morning_report(top: DataFrame, smtp: DataFrame) -> DataFrame:
