@@ -5,7 +5,7 @@ a row already kept is similar enough. `keep_first` computes it without walking
 the rows one by one and without pairing all members of a group:
 
 - rows that can be similar share a bucket, and only rows of a bucket are compared;
-- each row is compared with the *head* of its buckets, their first rows;
+- in a short bucket all are compared, in a long one each with its *head*, the first rows;
 - a row that is in the head of all its buckets knows all its earlier
   neighbours, so its fate can be settled; what it rules out drops out;
 - the rest goes into the next round, with shorter buckets.
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from courant.functions.urls import let
 from courant.operators.topk import top_per_group
 from courant.session import checkpointed, small_side
 from courant.sources.tables import first_per_key
@@ -35,11 +36,14 @@ Similar = Callable[[Column, Column], Column]
 SimilarBlocks = Callable[[pd.Series, pd.Series], np.ndarray]
 
 THRESHOLD = 0.85
-HEAD_ROWS, FIRST_HEAD_ROWS, HEAD_GROWTH = 256, 16, 8
+# Buckets up to SHORT_ROWS are compared in full. The head of a longer one starts
+# at FIRST_HEAD_ROWS and grows by HEAD_GROWTH a round, up to HEAD_ROWS.
+SHORT_ROWS, FIRST_HEAD_ROWS, HEAD_GROWTH, HEAD_ROWS = 32, 4, 8, 256
 SLICE_ROWS = 1024
-# Vectors of buckets longer than this are compared as blocks; heads may be longer then.
+# Vectors of buckets longer than BLOCK_ROWS are compared as blocks, which may be long.
 BLOCK_ROWS, BLOCK_HEAD_ROWS = 64, 2048
 GRAM_CHARS = 3
+BITMAP_WORDS = 4
 # Blocking of vectors misses a similar pair with at most this probability.
 MAX_MISS = 1e-9
 MAX_BITS, MAX_BANDS = 24, 2048
@@ -58,14 +62,13 @@ def _shared_buckets(entries: DataFrame) -> DataFrame:
     return entries.drop("n").join(sizes, "bucket")
 
 
-def _head(entries: DataFrame, head_rows: int, long_head: int) -> DataFrame:
-    """All of a bucket up to `head_rows` long, the first `long_head` rows of a longer one."""
-    small = entries.where(F.col("n") <= head_rows)
-    big = top_per_group(
-        entries.where(F.col("n") > head_rows), ["bucket"], [F.asc("ord")],
-        spread=["ord"], limit=long_head,
+def _head(entries: DataFrame, short: int, head_rows: int) -> DataFrame:
+    """All of a bucket up to `short` rows long, the first `head_rows` of a longer one."""
+    long = top_per_group(
+        entries.where(F.col("n") > short), ["bucket"], [F.asc("ord")],
+        spread=["ord"], limit=head_rows,
     ).drop("rank")
-    return small.unionByName(big)
+    return entries.where(F.col("n") <= short).unionByName(long)
 
 
 def _edges(
@@ -151,28 +154,33 @@ def keep_first(
     nodes: DataFrame,
     buckets: DataFrame,
     similar: Similar,
+    short_rows: int = SHORT_ROWS,
     head_rows: int = HEAD_ROWS,
     similar_blocks: SimilarBlocks | None = None,
+    verify: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The `ord` of the rows that are dropped.
 
     `nodes` has `ord` (unique, sortable: the input order) and `payload` (what
     `similar` compares); `buckets` has (bucket, ord), one row per bucket a node
     is in. `similar_blocks` compares two Series of payloads all with all, for
-    payloads where that is worth leaving the JVM.
+    payloads where that is worth leaving the JVM. Where the payload is only a
+    sketch, `verify` keeps the truly similar of the (first, later) pairs found.
     """
     all_dropped = [nodes.select("ord").limit(0)]
     # Most rows share no bucket with any other; only the rest carry their payload on.
     entries = checkpointed(_shared_buckets(buckets).join(nodes.select("ord", "payload"), "ord"))
-    long_head = FIRST_HEAD_ROWS
+    size = FIRST_HEAD_ROWS
     while not entries.isEmpty():
-        long_head = min(long_head, head_rows)
-        head = _head(entries, head_rows, long_head)
-        edges = checkpointed(_edges(entries, head, similar, similar_blocks))
-        big = entries.where(F.col("n") > head_rows)
+        size = min(size, head_rows)
+        short = max(short_rows, size)
+        head = _head(entries, short, size)
+        found = _edges(entries, head, similar, similar_blocks)
+        edges = checkpointed(verify(found) if verify else found)
+        big = entries.where(F.col("n") > short)
         unready = None
         if not big.isEmpty():
-            ends = head.where(F.col("n") > head_rows).groupBy("bucket").agg(F.max("ord").alias("_end"))
+            ends = head.where(F.col("n") > short).groupBy("bucket").agg(F.max("ord").alias("_end"))
             unready = checkpointed(
                 big.join(ends, "bucket").where(F.col("ord") > F.col("_end")).select("ord").distinct()
             )
@@ -185,7 +193,7 @@ def keep_first(
         if gone is not None:
             open_rows = open_rows.join(gone, "ord", "left_anti")
         entries = checkpointed(_shared_buckets(entries.join(open_rows, "ord", "left_semi")))
-        long_head *= HEAD_GROWTH
+        size *= HEAD_GROWTH
     return reduce(DataFrame.unionByName, all_dropped)
 
 
@@ -194,14 +202,18 @@ def keep_first(
 
 def grams(title: Column, size: int = GRAM_CHARS) -> Column:
     """The set of hashed character grams of a title; a short title is its own gram."""
-    low = F.lower(title)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (size - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substr(low, i, F.lit(size)))))
+
+    def of_text(low: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (size - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.substr(low, i, F.lit(size))))
+
+    return F.array_distinct(let(F.lower(title), of_text))
 
 
 def jaccard_at_least(a: Column, b: Column, threshold: float) -> Column:
+    close = F.least(F.size(a), F.size(b)) >= threshold * F.greatest(F.size(a), F.size(b))
     common = F.size(F.array_intersect(a, b))
-    return common / (F.size(a) + F.size(b) - common) >= threshold
+    return close & (common / (F.size(a) + F.size(b) - common) >= threshold)
 
 
 def size_classes(threshold: float, largest: int) -> list[tuple[int, int, int]]:
@@ -221,31 +233,64 @@ def size_classes(threshold: float, largest: int) -> list[tuple[int, int, int]]:
     return classes
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers (splitmix64, public domain)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def gram_buckets(sets: Column, threshold: float, largest: int) -> Column:
     """Buckets of a gram set, such that any two similar sets share one (no misses).
 
-    Published as partition-based enumeration for exact set-similarity joins
-    (Arasu, Ganti, Kaushik, VLDB 2006).
+    The grams are dealt into the parts of the set's own size class and of the
+    next one; a bucket is a part with exactly the grams it got. Published as
+    partition-based enumeration for exact set-similarity joins (Arasu, Ganti,
+    Kaushik, VLDB 2006).
     """
     classes = size_classes(threshold, largest)
-    ordered = F.array_sort(sets)
-
-    def keys(tag: int, parts: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(parts - 1)),
-            lambda p: F.xxhash64(
-                F.lit(tag), p, F.filter(ordered, lambda g: F.pmod(g, F.lit(parts)) == p)
-            ),
-        )
+    lows = np.array([low for low, _, _ in classes])
+    parts = np.array([n for _, _, n in classes])
 
-    result = F.array().cast("array<bigint>")
-    for tag in range(len(classes) - 1):
-        own, above = classes[tag], classes[tag + 1]
-        in_class = F.size(sets).between(own[0], own[1])
-        result = F.when(
-            in_class, F.concat(keys(tag, own[2]), keys(tag + 1, above[2]))
-        ).otherwise(result)
-    return result
+    @F.pandas_udf("array<bigint>")
+    def keys(batch: pd.Series) -> pd.Series:
+        sizes = batch.map(len).to_numpy()
+        grams_ = np.concatenate(batch.to_numpy()).astype(np.int64).view(np.uint64)
+        row, own = np.repeat(np.arange(len(batch)), sizes), np.searchsorted(lows, sizes, "right") - 1
+        found = []
+        for tag in (own, own + 1):
+            count = parts[tag]
+            start = np.concatenate([[0], np.cumsum(count)])
+            content = np.zeros(start[-1], np.uint64)
+            cell = start[row] + (grams_ % count[row].astype(np.uint64)).astype(np.int64)
+            np.add.at(content, cell, _mix(grams_))
+            part = np.arange(start[-1]) - np.repeat(start[:-1], count)
+            label = (np.repeat(tag, count) * 1_000_003 + part).astype(np.uint64)
+            key = _mix(content ^ _mix(label + np.uint64(1))).view(np.int64)
+            found.append(np.split(key, start[1:-1]))
+        return pd.Series([np.concatenate(pair) for pair in zip(*found)])
+
+    return keys(sets)
+
+
+def gram_bits(sets: Column) -> Column:
+    """A bitmap of a gram set, as four words."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def word(i: int) -> Column:
+        bit = lambda g: F.call_function("shiftleft", one, F.pmod(g, F.lit(64)).cast("int"))
+        mine = lambda g: F.pmod(F.shiftright(g, 6), F.lit(BITMAP_WORDS)) == i
+        return F.aggregate(sets, none, lambda s, g: F.when(mine(g), s.bitwiseOR(bit(g))).otherwise(s))
+
+    return F.array(*[word(i) for i in range(BITMAP_WORDS)])
+
+
+def may_be_similar(a: Column, b: Column, threshold: float) -> Column:
+    """False only for sets that differ too much: each unequal bit is an unequal gram."""
+    unequal = reduce(
+        lambda s, i: s + F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])), range(BITMAP_WORDS), F.lit(0)
+    )
+    return unequal <= (a["size"] + b["size"]) * ((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
 
 
 def dedup_titles(
@@ -254,6 +299,7 @@ def dedup_titles(
     title: str = "title",
     within: Sequence[str] = (),
     threshold: float = THRESHOLD,
+    short_rows: int = SHORT_ROWS,
     head_rows: int = HEAD_ROWS,
 ) -> DataFrame:
     """Near-duplicate titles removed by the overlap of their character grams; exact."""
@@ -266,12 +312,22 @@ def dedup_titles(
         "ord", *within, F.explode(gram_buckets(F.col("payload"), threshold, largest)).alias("_key")
     ).select(F.xxhash64("_key", *within).alias("bucket"), "ord")
     scope = F.xxhash64(*within) if within else F.lit(0).cast("bigint")
-    nodes = sets.select("ord", F.struct(scope.alias("scope"), F.col("payload").alias("grams")).alias("payload"))
+    sketch = F.struct(
+        scope.alias("scope"), F.size("payload").alias("size"), gram_bits(F.col("payload")).alias("bits")
+    )
+    first = sets.select(F.col("ord").alias("first"), F.col("payload").alias("_a"))
+    later = sets.select(F.col("ord").alias("later"), F.col("payload").alias("_b"))
 
     def similar(a: Column, b: Column) -> Column:
-        return (a["scope"] == b["scope"]) & jaccard_at_least(a["grams"], b["grams"], threshold)
+        return (a["scope"] == b["scope"]) & may_be_similar(a, b, threshold)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        alike = jaccard_at_least(F.col("_a"), F.col("_b"), threshold)
+        return pairs.join(first, "first").join(later, "later").where(alike).select("first", "later")
 
-    return _without(once, keep_first(nodes, buckets, similar, head_rows), order)
+    nodes = sets.select("ord", sketch.alias("payload"))
+    dropped = keep_first(nodes, buckets, similar, short_rows, head_rows, verify=verify)
+    return _without(once, dropped, order)
 
 
 def _without(df: DataFrame, dropped: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -331,6 +387,7 @@ def dedup_vectors(
     vector: str = "vector",
     within: Sequence[str] = (),
     threshold: float = THRESHOLD,
+    short_rows: int = BLOCK_HEAD_ROWS,
     head_rows: int = BLOCK_HEAD_ROWS,
 ) -> DataFrame:
     """Rows left after removing those whose vector is close to a kept earlier one."""
@@ -353,7 +410,7 @@ def dedup_vectors(
         scopes = [np.array([row["scope"] for row in side]) for side in (a, b)]
         return (one @ two.T >= threshold) & (scopes[0][:, None] == scopes[1][None, :])
 
-    return _without(df, keep_first(nodes, buckets, similar, head_rows, similar_blocks), order)
+    return _without(df, keep_first(nodes, buckets, similar, short_rows, head_rows, similar_blocks), order)
 
 
 def dedup_with_fallback(

@@ -46,7 +46,7 @@ def test_titles_like_brute_force(spark, threshold, head):
     once = [(i, t, gram_set(t)) for i, t in rows if first[t] == i]
     want = greedy(once, lambda a, b: len(a[2] & b[2]) / len(a[2] | b[2]) >= threshold)
     df = spark.createDataFrame(rows, "n int, title string").repartition(5)
-    got = D.dedup_titles(df, ["n"], threshold=threshold, head_rows=head)
+    got = D.dedup_titles(df, ["n"], threshold=threshold, short_rows=head, head_rows=head)
     assert sorted(r.n for r in got.collect()) == sorted(want)
 
 
@@ -73,7 +73,7 @@ def test_vectors_like_brute_force(spark, monkeypatch, threshold, head, force):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = greedy(list(enumerate(u)), lambda a, b: float(a[1] @ b[1]) >= threshold)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "n int, vector array<double>")
-    got = D.dedup_vectors(df.repartition(7), ["n"], 16, threshold=threshold, head_rows=head)
+    got = D.dedup_vectors(df.repartition(7), ["n"], 16, threshold=threshold, short_rows=head, head_rows=head)
     assert sorted(r.n for r in got.collect()) == want
 
 
