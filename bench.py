@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from checks.queries import registered
 
 HEADLINE = [
-    "extract_links", "extract_links_nav", "extract_summary", "extract_article_text",
+    "extract_links", "extract_links_scoped", "extract_summary", "extract_article_text",
     "parse_keywords", "score_articles", "top_n_per_industry", "filter_report",
     "unseen_articles", "append_seen", "dedup_exact", "dedup_titles", "dedup_semantic",
     "quotes_stock", "quotes_futures_match", "fetch_quotes", "evening_report",

@@ -600,7 +600,7 @@ add("delete_selected", "SELECT id, industry_id, status FROM v_push_log WHERE sta
 LINK_COLS = "SELECT page_id, pos, title, url FROM links"
 add("extract_links", LINK_COLS, links("v_pages"))
 add("extract_links_raw", LINK_COLS, links("raw_pages"))
-add("extract_links_nav", LINK_COLS, links("v_pages", scoped(r"(?is)<nav[\s>].*?</nav\s*>")))
+add("extract_links_scoped", LINK_COLS, links("v_pages", scoped(r"(?is)<nav[\s>].*?</nav\s*>")))
 add("extract_links_nested", LINK_COLS, links("v_pages", scoped(r"(?is)<li[\s>].*?</li\s*>")))
 add("extract_links_class", LINK_COLS, links("v_pages", scoped(r'(?is)<div class="extra">.*?</div>')))
 add("extract_summary", f"SELECT page_id, {SUMMARY} AS summary FROM t_paras", texts("v_pages"))
@@ -731,7 +731,7 @@ add("morning_report", """
                ORDER BY rank) || '</ol><p class="contact">' || any_value(c.contact) || '</p>' AS body
     FROM topped, contact c GROUP BY 1""")
 add("evening_report", "SELECT * FROM evening")
-add("quote_lines", "SELECT item_pos, price_text, change_text, direction, time_text FROM shown")
+add("quote_display", "SELECT item_pos, price_text, change_text, direction, time_text FROM shown")
 DETAIL = {f"d_{k}": re.sub(r"\bt_(clean|area|cut|paras)\b", r"d_t_\1", v) for k, v in texts("details").items()}
 add("morning_brief", """
     SELECT industry_id, rank::INT AS rank, source_id, page_id, pos, title, url, summary, round(score, 6) AS score
@@ -775,3 +775,5 @@ add("rate_limit", "SELECT event_id, user_id, ok AS allowed FROM decided", {
         SELECT user_id, rn, event_id, CASE WHEN len(h) < {DAY_LIMIT} THEN list_append(h, t) ELSE h END, len(h) < {DAY_LIMIT}
         FROM (SELECT a.user_id, a.rn, a.event_id, a.t, list_filter(d.hist, lambda x: a.t - x < 86400000000) AS h
               FROM decided d JOIN tries a ON a.user_id = d.user_id AND a.rn = d.rn + 1)"""})
+add("stream_failures", "SELECT check_id, source_id, status, failures FROM counted")
+ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,9 @@ from courant.operators import dedup, delivery, health, quotes, ranking, retentio
 from courant.operators.links import count_anchors, extract_links, page_texts, paragraph_faults
 from courant.operators.ratelimit import rate_limit
 from courant.plans import briefs, reports
+from courant.session import shared_folder
 from courant.sources import schemas, tables
+from courant.streaming import jobs
 
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 ART = ["source_id", "doc_id"]
@@ -132,7 +135,7 @@ def extract_links_raw(v):
 
 
 @query
-def extract_links_nav(v):
+def extract_links_scoped(v):
     return extract_links(v.pages, "nav a")
 
 
@@ -564,7 +567,7 @@ def evening_report(v):
 
 
 @query
-def quote_lines(v):
+def quote_display_(v):
     return quote_display(_quotes(v)).select("item_pos", "price_text", "change_text", "direction", "time_text")
 
 
@@ -614,6 +617,32 @@ def rate_limit_(v):
     )
 
 
+# --- streams -----------------------------------------------------------------------
+
+
+def _drained(v, stream, name):
+    """Run a stream over what there is into the shared folder and read the rows back."""
+    folder = f"{shared_folder(v.spark)}/{name}-{uuid4().hex}"
+    query_ = stream.writeStream.trigger(availableNow=True).option(
+        "checkpointLocation", f"{folder}/state"
+    ).format("parquet").start(f"{folder}/rows")
+    query_.awaitTermination()
+    return v.spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+@query
+def stream_failures(v):
+    counted = jobs.failure_stream(v.checks_of(v.event_stream))
+    return _drained(v, counted, "failures").select("check_id", "source_id", "status", "failures")
+
+
+@query
+def stream_rate_limit(v):
+    tries = v.attempts_of(v.event_stream)
+    decided = jobs.rate_limit_stream(tries, "user_id", "ts", "event_id", DAY_LIMIT, 86400)
+    return _drained(v, decided, "attempts").select("event_id", "user_id", "allowed")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name.rstrip("_"): (lambda spark, folder, fn=fn: fn(Views(spark, folder)))

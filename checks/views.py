@@ -141,11 +141,19 @@ class Views:
         ).withColumn("item_type", F.lit("futures"))
         return listed.unionByName(futures)
 
+    @cached_property
+    def event_stream(self) -> DataFrame:
+        schema = self.table("events").schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.folder)
+
     @cached_property
     def checks(self) -> DataFrame:
+        return self.checks_of(self.table("events"))
+
+    def checks_of(self, events: DataFrame) -> DataFrame:
         kind = F.col("event_type")
         status = F.when(kind == "error", "error").when(kind == "view", "warning").otherwise("healthy")
-        return self.table("events").select(
+        return events.select(
             F.col("event_id").alias("check_id"), F.col("user_id").alias("source_id"),
             F.col("ts").cast("timestamp").alias("checked_at"), status.alias("status"),
             F.when(kind == "error", F.concat(F.lit("HTTP "), F.lit(500) + F.col("event_id") % 4)).alias("error"),
@@ -256,7 +264,10 @@ class Views:
 
     @cached_property
     def attempts(self) -> DataFrame:
-        return self.table("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+        return self.attempts_of(self.table("events"))
+
+    def attempts_of(self, events: DataFrame) -> DataFrame:
+        return events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
 
     @cached_property
     def vectors(self) -> DataFrame:
