@@ -14,14 +14,16 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 
 def test_every_query_has_its_text():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    without = set(entry.queries()) - set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(name == "pipeline" or name.startswith("op") for name in without)
 
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["industry_id", "rank", "doc_id", "title", "score"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()) if os.environ.get("COURANT_ALL") else SOME)
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()) if os.environ.get("COURANT_ALL") else SOME)
 def test_query(spark, name):
     got = entry.queries()[name](spark, FOLDER).toPandas()
     assert difference(got, connect(FOLDER).execute(entry.oracle_sql()[name]).df()) is None
