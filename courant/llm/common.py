@@ -17,6 +17,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed tokenizer files lie; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def batched(spark: SparkSession) -> SparkSession:
+    """Bound what a Python task holds of long texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: read many times, computed once.
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from courant.llm.common import table
+from courant.llm.bpe import decode, encode
+from courant.llm.common import batched, table, tokenizer_path
 from courant.llm.near_dedup import near_duplicates
 from courant.session import configure
 
@@ -16,7 +18,7 @@ ORACLE: dict[str, str] = {}
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return fn(configure(spark), folder)
+        return fn(batched(configure(spark)), folder)
 
     QUERIES[fn.__name__] = run
     return fn
@@ -25,3 +27,18 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), threshold=0.85)
+
+
+@query
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    return bpe_digests(decode(encode(table(spark, folder, "documents"), path), path))
+
+
+def bpe_digests(rows: DataFrame) -> DataFrame:
+    """What a reader can compare: counts and hashes of ids and decoded texts."""
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
