@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courant.llm import langid
 from courant.llm.bpe import decode, encode
 from courant.llm.common import batched, table, tokenizer_path
 from courant.llm.near_dedup import near_duplicates
@@ -42,3 +43,13 @@ def bpe_digests(rows: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    )
+    model = langid.fit(docs.where("doc_id IS NOT NULL AND NOT held_out"))
+    found = docs.select("doc_id", "held_out", model.column("text").alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.rejected")
