@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from courant.llm import langid
 from courant.llm.bpe import decode, encode
 from courant.llm.common import batched, table, tokenizer_path
+from courant.llm.line_dedup import dedup_lines
 from courant.llm.near_dedup import near_duplicates
 from courant.session import configure
 
@@ -53,3 +54,42 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit(docs.where("doc_id IS NOT NULL AND NOT held_out"))
     found = docs.select("doc_id", "held_out", model.column("text").alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.rejected")
+
+
+@query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+# Chunks and what is left of each text; {docs} is the table that is read.
+LINES_SQL = """
+l0 AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM {docs} WHERE text IS NOT NULL
+), l1 AS (
+  SELECT *, coalesce(lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i), '') AS before FROM l0
+), l2 AS (
+  SELECT *, CASE WHEN left(md5(before || md5(line)), 1) < '4' THEN 1 ELSE 0 END AS cut FROM l1
+), l3 AS (
+  SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+  FROM l2
+), c0 AS (
+  SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS chunk_text, count(*) AS lines,
+         count(*) FILTER (trim(line) <> '') AS filled
+  FROM l3 GROUP BY doc_id, chunk
+), c1 AS (
+  SELECT *, filled >= 2 AND row_number() OVER (PARTITION BY chunk_text, filled >= 2 ORDER BY doc_id, chunk) > 1 AS gone
+  FROM c0
+), lines_left AS (
+  SELECT doc_id, cast(sum(lines) AS BIGINT) AS n_lines,
+         cast(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS n_removed,
+         coalesce(string_agg(chunk_text, chr(10) ORDER BY chunk) FILTER (NOT gone), '') AS new_text
+  FROM c1 GROUP BY doc_id
+)"""
+ORACLE["op3_line_dedup"] = (
+    "WITH " + LINES_SQL.format(docs="documents")
+    + " SELECT d.doc_id, n_lines, n_removed, CASE WHEN text IS NOT NULL THEN new_text END AS text"
+    " FROM documents d LEFT JOIN lines_left USING (doc_id)"
+)
