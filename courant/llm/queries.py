@@ -11,6 +11,7 @@ from courant.llm import langid
 from courant.llm.bpe import decode, encode
 from courant.llm.common import batched, table, tokenizer_path
 from courant.llm.line_dedup import dedup_lines
+from courant.llm.mixing import mix
 from courant.llm.near_dedup import near_duplicates
 from courant.session import configure
 
@@ -93,3 +94,13 @@ ORACLE["op3_line_dedup"] = (
     + " SELECT d.doc_id, n_lines, n_removed, CASE WHEN text IS NOT NULL THEN new_text END AS text"
     " FROM documents d LEFT JOIN lines_left USING (doc_id)"
 )
+
+
+# Target weights of sources; any other source has weight 1.
+WEIGHTS = {"src0": 6, "src1": 3, "src2": 2}
+
+
+@query
+def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return mix(docs, WEIGHTS, default=1).drop("rest")
