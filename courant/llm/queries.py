@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from courant.llm import langid
 from courant.llm.bpe import decode, encode
 from courant.llm.common import batched, table, tokenizer_path
+from courant.llm.licenses import scan
 from courant.llm.line_dedup import dedup_lines
 from courant.llm.mixing import mix
 from courant.llm.near_dedup import near_duplicates
@@ -104,3 +105,8 @@ WEIGHTS = {"src0": 6, "src1": 3, "src2": 2}
 def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source")
     return mix(docs, WEIGHTS, default=1).drop("rest")
+
+
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(table(spark, folder, "documents")).drop("matches")
