@@ -14,6 +14,7 @@ from courant.llm.licenses import scan
 from courant.llm.line_dedup import dedup_lines
 from courant.llm.mixing import mix
 from courant.llm.near_dedup import near_duplicates
+from courant.llm.pii import KINDS, find_personal_data
 from courant.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +111,31 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents")).drop("matches")
+
+
+@query
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return span_digests(find_personal_data(table(spark, folder, "documents")))
+
+
+def span_digests(found: DataFrame) -> DataFrame:
+    """Counts and hash of the plain spans, and all spans as text."""
+
+    def line(s: F.Column) -> F.Column:
+        return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+
+    def of(spans: F.Column, kind: str) -> F.Column:
+        return F.filter(spans, lambda s: s["kind"] == kind)
+
+    both = F.concat("base", "added")
+    every = F.concat(*[
+        F.array_sort(of(both, k), lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1)
+                     .otherwise(0))
+        for k in KINDS
+    ])
+    return found.select(
+        "doc_id", *[F.size(of(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(F.array_join(F.transform("base", line), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform(every, line), ",").alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
