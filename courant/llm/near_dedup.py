@@ -150,60 +150,46 @@ def _full_sets(size: int):
     return run
 
 
-def _items(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _sets(size)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [of(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                ids = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], ["id", "item"]
-                )
-
-    return run
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each member of a set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [np.frombuffer(s, np.int64) for s in part.column(1).to_pylist()]
+            ids = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], ["id", "item"])
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of the intersection of two sorted sets, row by row."""
+    """Sizes of the intersection of two sorted sets and of either, row by row."""
     for batch in batches:
-        left, right = (batch.column(i) for i in (2, 3))
-        common = [
-            len(np.intersect1d(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64), True))
-            for x, y in zip(left, right)
-        ]
+        counts = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            left, right = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
+            counts.append((len(np.intersect1d(left, right, True)), len(left), len(right)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(common, pa.int64())], ["a", "b", "common"]
+            [batch.column(0), batch.column(1)] + [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)],
+            ["a", "b", "common", "na", "nb"],
         )
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, name: str) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, common, na, nb) of each pair, from the full sets of the two texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = texts.join(ids, "id", "left_semi")
-    sets = written(wanted.mapInArrow(_full_sets(size), "id long, items binary"), f"{name}-sets")
     first = sets.select(F.col("id").alias("a"), F.col("items").alias("left"))
     second = sets.select(F.col("id").alias("b"), F.col("items").alias("right"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "left", "right")
-    counted = both.mapInArrow(_common, "a long, b long, common long")
-    sizes = nodes.select("id", "n")
-    return (
-        counted.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        .select("a", "b", "common", "na", "nb")
-    )
+    return both.mapInArrow(_common, "a long, b long, common long, na long, nb long")
 
 
-def _share_prefix(texts: DataFrame, nodes: DataFrame, limit: Fraction, size: int) -> DataFrame:
+def _share_prefix(sets: DataFrame, nodes: DataFrame, limit: Fraction) -> DataFrame:
     """Pairs of nodes in different components that share a shingle among their rarest ones.
 
     Of two sets with a Jaccard similarity of at least `limit`, the first
     n - ceil(limit * n) + 1 members in one common order always meet. With the
     rarest first, copies that each were changed a lot have prefixes of their own.
     """
-    wanted = texts.join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    items = written(wanted.mapInArrow(_items(size), "id long, item long"), "open-items")
+    wanted = sets.join(nodes.select("id"), "id", "left_semi").select("id", "items")
+    items = wanted.mapInArrow(_items, "id long, item long")
     ranks = items.join(items.groupBy("item").agg(F.count("*").alias("docs")), "item")
     rarest = ranks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("docs", "item"))).alias("items"))
     prefix = (
@@ -271,10 +257,14 @@ def near_duplicates(
         return pairs.where(f"common * {limit.denominator} >= (na + nb - common) * {limit.numerator}")
 
     with_head = members.select(F.explode(F.array("low", "high")).alias("a"), F.col("id").alias("b"))
+    ids = members.select("id").distinct()
+    sets = written(
+        texts.join(ids, "id", "left_semi").mapInArrow(_full_sets(size), "id long, items binary"), "sets"
+    )
     first = long_enough(
         with_head.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    first = written(_compared(first, texts, classes, size, "first"), "first")
+    first = written(_compared(first, sets), "first")
     found = linked(first).select("a", "b")
     label = components(found)
     # Buckets whose members are not in one component yet.
@@ -287,7 +277,7 @@ def near_duplicates(
         placed.groupBy("id").agg(F.min("component").alias("component"), F.collect_list("key").alias("keys"))
         .join(sizes, "id"), "open",
     )
-    rest = _share_prefix(texts, nodes, limit, size).where(length)
+    rest = _share_prefix(sets, nodes, limit).where(length)
     for side in "ab":
         rest = rest.join(nodes.select(F.col("id").alias(side), F.col("keys").alias(f"keys_{side}")), side)
     rest = rest.where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b").join(
@@ -295,7 +285,7 @@ def near_duplicates(
     )
     rest = written(rest, "rest")
     if not rest.isEmpty():
-        found = found.unionByName(linked(_compared(rest, texts, classes, size, "rest")).select("a", "b"))
+        found = found.unionByName(linked(_compared(rest, sets)).select("a", "b"))
         label = components(found)
     placed = written(
         classes.join(label, "id", "left")
