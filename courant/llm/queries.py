@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from courant.llm import langid
 from courant.llm.bpe import decode, encode
 from courant.llm.common import batched, table, tokenizer_path
+from courant.llm.embeddings import near_vectors
 from courant.llm.licenses import scan
 from courant.llm.line_dedup import dedup_lines
 from courant.llm.mixing import mix
@@ -139,3 +140,8 @@ def span_digests(found: DataFrame) -> DataFrame:
         F.array_join(F.transform(every, line), ",").alias("spans"),
         F.size("added").cast("long").alias("n_added"),
     )
+
+
+@query
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"), threshold=0.93)
