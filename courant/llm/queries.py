@@ -11,6 +11,7 @@ from courant.llm import langid
 from courant.llm.bpe import decode, encode
 from courant.llm.common import batched, table, tokenizer_path
 from courant.llm.embeddings import near_vectors
+from courant.llm.hnsw import search
 from courant.llm.licenses import scan
 from courant.llm.line_dedup import dedup_lines
 from courant.llm.mixing import mix
@@ -145,3 +146,9 @@ def span_digests(found: DataFrame) -> DataFrame:
 @query
 def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"), threshold=0.93)
+
+
+@query
+def op6_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return search(rows, rows.where("vec_id % 20 = 0"), k=20)
