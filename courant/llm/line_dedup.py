@@ -83,14 +83,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
 
     wanted = listed(repeated, F.col("at"), "wanted")
+    # `row` has every column pass the join, so that this and the last join read one exchange.
+    every = [F.col(f"c{i}") for i in range(len(own))]
     texts = (
-        rows.select(*key, text).join(wanted, same(rows, wanted))
-        .select(*key, let(
+        rows.join(wanted, same(rows, wanted))
+        .select(*key, F.xxhash64(*every).alias("row"), let(
             chunks(F.col(text)),
             lambda c: F.transform(F.col("wanted"), lambda i: F.struct(i.alias("at"), F.get(c, i)["text"].alias("text"))),
         ).alias("found"))
-        .select(*key, F.explode("found").alias("found"))
-        .select(F.struct(doc_id, "mark", "found.at").alias("place"), F.col("found.text").alias("text"))
+        .select(*key, "row", F.explode("found").alias("found"))
+        .select(F.struct(doc_id, "mark", "found.at", "row").alias("place"), F.col("found.text").alias("text"))
     )
     texts = texts.groupBy("text").agg(F.min("place").alias("place"))
     first = texts.groupBy(F.xxhash64("text").alias("hash")).agg(
