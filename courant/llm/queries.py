@@ -17,6 +17,7 @@ from courant.llm.line_dedup import dedup_lines
 from courant.llm.mixing import mix
 from courant.llm.near_dedup import near_duplicates
 from courant.llm.pii import KINDS, find_personal_data
+from courant.llm.token_files import read_tokens, write_tokens
 from courant.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +153,10 @@ def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = write_tokens(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    found = read_tokens(spark, files)
+    return found.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32")
