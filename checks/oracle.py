@@ -37,9 +37,9 @@ VIEWS: dict[str, str] = {
     "v_industries": f"SELECT * FROM {values(INDUSTRIES)} t(id, name, top_n, keywords)",
     "v_articles": f"""
         SELECT doc_id, lang, CAST(regexp_extract(source, '[0-9]+') AS INT) AS source_id,
-               substr(split_part(text, chr(10), 1), 1, 80) AS title,
+               split_part(text, chr(10), 1) AS title,
                'https://' || source || '.example/doc/' || doc_id AS url,
-               substr(text, 1, 140) AS summary,
+               CASE WHEN length(text) > 140 THEN substr(text, 1, 140) || '...' ELSE text END AS summary,
                {AS_OF} - to_minutes(30 * CAST(CASE WHEN doc_id % 60 = 0 THEN -1 ELSE doc_id % 60 END AS INT))
                  AS published_at
         FROM documents""",
@@ -57,8 +57,13 @@ VIEWS: dict[str, str] = {
         SELECT page_id, html,
                CASE page_id % 10 WHEN 6 THEN 'timeout' WHEN 7 THEN 'http' WHEN 8 THEN 'other' ELSE 'ok' END AS outcome,
                CASE WHEN page_id % 20 = 7 THEN 404 ELSE 503 END AS http_status,
-               substr(html, 1, 300) AS message
+               html AS message
         FROM pages""",
+    "v_vectors": """
+        SELECT e.vec_id, e.label, CASE WHEN b.vec_id IS NULL THEN e.embedding::DOUBLE[]
+                 ELSE list_transform(b.embedding::DOUBLE[], lambda x, i: CASE WHEN i = 1 THEN x + 0.3 ELSE x END)
+               END AS embedding
+        FROM embeddings e LEFT JOIN embeddings b ON b.vec_id = e.vec_id - 1 AND e.vec_id % 4 = 1""",
     "v_snapshot": """
         SELECT CASE p_partkey % 3 WHEN 0 THEN 'cn' WHEN 1 THEN 'hk' ELSE 'global' END AS market, p_partkey AS pos,
                CAST(CASE WHEN p_partkey % 10 = 3 THEN p_partkey - 3 ELSE p_partkey END AS VARCHAR) AS code,
@@ -133,7 +138,7 @@ VIEWS: dict[str, str] = {
     "v_answers": """
         SELECT conv_id, turn,
                CASE conv_id % 5 WHEN 1 THEN 'News: ' || barred WHEN 2 THEN '摘要：本文 ' || barred
-                    WHEN 3 THEN substr(barred, 1, 25) ELSE barred END AS answer,
+                    WHEN 3 THEN replace(barred, '. ', '.' || chr(10)) ELSE barred END AS answer,
                CASE WHEN conv_id % 2 = 0 THEN 'en' ELSE 'zh' END AS lang, 'Original ' || conv_id AS original
         FROM (SELECT *, CASE WHEN conv_id % 3 = 0 AND contains(text, '. ')
                     THEN substr(text, 1, strpos(text, '. ') - 1) || '|' || substr(text, strpos(text, '. ') + 2)
@@ -419,11 +424,11 @@ def table(section: int, heading: str) -> str:
 
 
 VIEWS["evening"] = f"""
-    SELECT l.industry_id, l.item_pos // 100000 AS page, '【' || any_value(i.name) || '】行业晚报 - 今日行情' AS subject,
+    SELECT l.industry_id, '【' || any_value(i.name) || '】行业晚报 - 今日行情' AS subject,
            count(*) AS n_items, any_value(c.contact) AS contact,
            {table(0, P.STOCK_HEADING)} || {table(1, P.FUTURES_HEADING)}
              || '<p class="contact">' || any_value(c.contact) || '</p>' AS body
-    FROM lines l JOIN v_industries i ON i.id = l.industry_id, contact c GROUP BY 1, 2"""
+    FROM lines l JOIN v_industries i ON i.id = l.industry_id, contact c GROUP BY 1"""
 
 
 def ready(kind: str, inputs: str, none: str) -> str:
@@ -461,7 +466,7 @@ def log_of(found: str, evening: str, trigger: str) -> str:
     SELECT o.*, CASE WHEN status = 'success' THEN length(body) END AS html_snapshot,
            '{trigger}' AS triggered_by, {AS_OF} AS created_at
     FROM ({outcome('ready_evening', found, NO_ERRORS, D.NO_QUOTES)}) o
-    LEFT JOIN (SELECT * FROM {evening} WHERE page = 0) e USING (industry_id)"""
+    LEFT JOIN {evening} e USING (industry_id)"""
 
 
 def streak(source: str, keys: str, time: str, tie: str, add: str, reset: str, name: str) -> str:
@@ -581,7 +586,7 @@ add("append_seen", f"""
     SELECT url, title, source_id, {AS_OF} FROM (
         SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_id, doc_id) AS nth FROM (
             SELECT doc_id, title, source_id, regexp_replace(url, '[0-9]$', '0') AS url
-            FROM v_articles WHERE source_id < 12))
+            FROM v_articles))
     WHERE nth = 1 AND url NOT IN (SELECT url FROM v_seen)""")
 add("append_push_log", log_of("quoted", "evening", "manual"))
 add("evolve_schema", """SELECT id, industry_id, name, url, weight, keywords, NULL::VARCHAR AS link_selector,
@@ -652,17 +657,17 @@ add("dedup_exact_per_industry", """SELECT doc_id, industry_id, title FROM (
     SELECT *, row_number() OVER (PARTITION BY s.industry_id, title ORDER BY source_id, doc_id) AS nth
     FROM v_articles a JOIN v_sources s ON s.id = a.source_id) WHERE nth = 1""")
 add("dedup_semantic", "SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT id FROM gone)", greedy("""
-    SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
-    AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.4"""))
+    SELECT x.vec_id AS a, y.vec_id AS b FROM v_vectors x JOIN v_vectors y ON x.vec_id < y.vec_id
+    AND list_cosine_similarity(x.embedding, y.embedding) >= 0.85"""))
 add("dedup_titles", "SELECT doc_id, title FROM numbered WHERE id NOT IN (SELECT id FROM gone)", {
     "first_titles": FIRST_TITLES, "numbered": NUMBERED, **greedy(title_edges("numbered", 0.85))})
 add("dedup_with_fallback", """SELECT doc_id, title, embedding IS NOT NULL AS has_vector
     FROM with_vec WHERE id NOT IN (SELECT id FROM gone)""", {
     "first_titles": FIRST_TITLES, "numbered": NUMBERED,
-    "with_vec": "SELECT n.*, e.embedding FROM numbered n LEFT JOIN embeddings e ON e.vec_id = n.doc_id",
+    "with_vec": "SELECT n.*, e.embedding FROM numbered n LEFT JOIN v_vectors e ON e.vec_id = n.doc_id",
     **greedy("""SELECT x.id AS a, y.id AS b FROM with_vec x JOIN with_vec y ON x.id < y.id
         AND x.embedding IS NOT NULL AND y.embedding IS NOT NULL
-        AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.4""")})
+        AND list_cosine_similarity(x.embedding, y.embedding) >= 0.85""")})
 
 STOCK = "SELECT item_pos, symbol, s.name AS found_name, {last} AS last, change_pct FROM v_items i JOIN first_code s ON s.code = i.symbol AND s.market = '{m}' WHERE item_type = '{t}'"
 add("quotes_stock", STOCK.format(last=two("last"), m="cn", t="stock"))

@@ -67,7 +67,7 @@ def first_config(v):
 
 @query
 def append_seen(v):
-    pushed = v.articles.where("source_id < 12").withColumn("url", F.regexp_replace("url", "[0-9]$", "0"))
+    pushed = v.articles.withColumn("url", F.regexp_replace("url", "[0-9]$", "0"))
     new = tables.seen_rows(pushed, v.seen, ART, as_of())
     return v.seen.unionByName(new)
 
@@ -76,7 +76,7 @@ def append_seen(v):
 def append_push_log(v):
     ready = delivery.readiness(v.industries, v.sources, v.recipients, v.smtp, "evening")
     found = _quotes(v)
-    mails = reports.evening_report(found, v.industries, v.smtp).where("page = 0")
+    mails = reports.evening_report(found, v.industries, v.smtp)
     rows = delivery.log_rows(delivery.outcomes(ready, found), mails, as_of(), "manual")
     return rows.withColumn("html_snapshot", F.length("html_snapshot").cast("long"))
 
@@ -334,7 +334,7 @@ def dedup_exact_per_industry(v):
 
 @query
 def dedup_semantic(v):
-    return dedup.dedup_vectors(v.table("embeddings"), ["vec_id"], 64, vector="embedding", threshold=0.4).select(
+    return dedup.dedup_vectors(v.near_vectors, ["vec_id"], 64, vector="embedding").select(
         "vec_id", "label"
     )
 
@@ -346,7 +346,7 @@ def dedup_titles(v):
 
 @query
 def dedup_with_fallback(v):
-    return dedup.dedup_with_fallback(v.vectors, ART, 64, threshold=0.4).select(
+    return dedup.dedup_with_fallback(v.vectors, ART, 64).select(
         "doc_id", "title", F.col("vector").isNotNull().alias("has_vector")
     )
 

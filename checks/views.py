@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courant.functions.html import SUMMARY_CHARS, clip
 from courant.session import configure
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
@@ -68,9 +69,9 @@ class Views:
         return self.table("documents").select(
             "doc_id", "lang",
             F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("source_id"),
-            F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
             F.concat(F.lit("https://"), "source", F.lit(".example/doc/"), "doc_id").alias("url"),
-            F.substring("text", 1, 140).alias("summary"),
+            clip(F.col("text"), SUMMARY_CHARS).alias("summary"),
             (as_of() - F.make_dt_interval(mins=(age * 30).cast("int"))).alias("published_at"),
         )
 
@@ -109,7 +110,7 @@ class Views:
             "page_id", "html", F.lit("nav a").alias("link_selector"),
             F.when(n == 6, "timeout").when(n == 7, "http").when(n == 8, "other").otherwise("ok").alias("outcome"),
             F.when(n == 7, F.when(F.col("page_id") % 20 == 7, 404).otherwise(503)).alias("http_status"),
-            F.when(n == 8, F.substring("html", 1, 300)).alias("message"),
+            F.when(n == 8, F.col("html")).alias("message"),
         )
 
     @cached_property
@@ -254,7 +255,7 @@ class Views:
         prefixed = (
             F.when(c % 5 == 1, F.concat(F.lit("News: "), barred))
             .when(c % 5 == 2, F.concat(F.lit("摘要：本文 "), barred))
-            .when(c % 5 == 3, F.substring(barred, 1, 25)).otherwise(barred)
+            .when(c % 5 == 3, F.replace(barred, F.lit(". "), F.lit(".\n"))).otherwise(barred)
         )
         return self.table("conversations").where("role = 'assistant'").select(
             "conv_id", "turn", prefixed.alias("answer"),
@@ -269,10 +270,20 @@ class Views:
     def attempts_of(self, events: DataFrame) -> DataFrame:
         return events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
 
+    @cached_property
+    def near_vectors(self) -> DataFrame:
+        """All vectors; every fourth is a near copy of the one before it."""
+        own = self.table("embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+        before = own.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("_before"))
+        moved = F.transform("_before", lambda x, i: F.when(i == 0, x + 0.3).otherwise(x))
+        return own.join(before.where("vec_id % 4 = 1"), "vec_id", "left").withColumn(
+            "embedding", F.coalesce(moved, "embedding")
+        ).drop("_before")
+
     @cached_property
     def vectors(self) -> DataFrame:
         """Articles with the vector of the same number, where there is one."""
-        vec = self.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+        vec = self.near_vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
         return self.articles.select("doc_id", "source_id", "title").join(vec, "doc_id", "left")
 
     @cached_property

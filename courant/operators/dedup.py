@@ -33,20 +33,19 @@ from courant.session import checkpointed, small_side
 from courant.sources.tables import first_per_key
 
 Similar = Callable[[Column, Column], Column]
-SimilarBlocks = Callable[[pd.Series, pd.Series], np.ndarray]
 
 THRESHOLD = 0.85
 # Buckets up to SHORT_ROWS are compared in full. The head of a longer one starts
 # at FIRST_HEAD_ROWS and grows by HEAD_GROWTH a round, up to HEAD_ROWS.
 SHORT_ROWS, FIRST_HEAD_ROWS, HEAD_GROWTH, HEAD_ROWS = 32, 4, 8, 256
 SLICE_ROWS = 1024
-# Vectors of buckets longer than BLOCK_ROWS are compared as blocks, which may be long.
-BLOCK_ROWS, BLOCK_HEAD_ROWS = 64, 2048
+# Buckets of titles and vectors are rarely long, so more of them is compared at once.
+FULL_ROWS = 1024
 GRAM_CHARS = 3
 BITMAP_WORDS = 4
-# Blocking of vectors misses a similar pair with at most this probability.
-MAX_MISS = 1e-9
-MAX_BITS, MAX_BANDS = 24, 2048
+# Blocking of vectors misses a pair at the threshold with at most MAX_MISS.
+MAX_MISS = 1e-6
+BITS, MAX_BANDS = 12, 256
 
 
 def dedup_exact(
@@ -71,9 +70,7 @@ def _head(entries: DataFrame, short: int, head_rows: int) -> DataFrame:
     return entries.where(F.col("n") <= short).unionByName(long)
 
 
-def _edges(
-    entries: DataFrame, head: DataFrame, similar: Similar, similar_blocks: SimilarBlocks | None
-) -> DataFrame:
+def _edges(entries: DataFrame, head: DataFrame, similar: Similar) -> DataFrame:
     """(first, later) for each entry and each similar earlier head row of its bucket.
 
     The comparison is part of the join, so pairs that fail it are never rows.
@@ -88,43 +85,11 @@ def _edges(
         "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("slice"), "n",
         F.col("ord").alias("first"), F.col("payload").alias("_a"),
     )
-    shortest = F.col("n") <= BLOCK_ROWS if similar_blocks else F.lit(True)
-    other = right.where(shortest).drop("n").withColumnsRenamed({"bucket": "_bucket", "slice": "_slice"})
+    other = right.drop("n").withColumnsRenamed({"bucket": "_bucket", "slice": "_slice"})
     same = (F.col("bucket") == F.col("_bucket")) & (F.col("slice") == F.col("_slice"))
-    found = left.where(shortest).join(
+    return left.join(
         other, same & (F.col("first") < F.col("later")) & similar(F.col("_a"), F.col("_b"))
-    ).select("first", "later")
-    if similar_blocks:
-        found = found.unionByName(_block_edges(left, right, similar_blocks))
-    return found.distinct()
-
-
-def _block_edges(left: DataFrame, right: DataFrame, similar_blocks: SimilarBlocks) -> DataFrame:
-    """The same for longer buckets: a slice and its head, both short, as two blocks."""
-    schema = T.StructType([
-        T.StructField("first", right.schema["first"].dataType),
-        T.StructField("later", left.schema["later"].dataType),
-    ])
-
-    def compare(entries: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
-        if entries.empty or head.empty:
-            return pd.DataFrame({"first": [], "later": []})
-        keys = [tuple(row.values()) if isinstance(row, dict) else tuple(row)
-                for row in [*head["first"], *entries["later"]]]
-        rank = {key: i for i, key in enumerate(sorted(set(keys)))}
-        place = np.array([rank[key] for key in keys])
-        ahead = place[:len(head), None] < place[None, len(head):]
-        h, e = np.nonzero(similar_blocks(head["_a"], entries["_b"]) & ahead)
-        return pd.DataFrame({
-            "first": head["first"].to_numpy()[h], "later": entries["later"].to_numpy()[e],
-        })
-
-    longer = F.col("n") > BLOCK_ROWS
-    return (
-        left.where(longer).groupBy("bucket", "slice")
-        .cogroup(right.where(longer).groupBy("bucket", "slice"))
-        .applyInPandas(compare, schema)
-    )
+    ).select("first", "later").distinct()
 
 
 def _settle(edges: DataFrame, unready: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
@@ -156,16 +121,13 @@ def keep_first(
     similar: Similar,
     short_rows: int = SHORT_ROWS,
     head_rows: int = HEAD_ROWS,
-    similar_blocks: SimilarBlocks | None = None,
     verify: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The `ord` of the rows that are dropped.
 
     `nodes` has `ord` (unique, sortable: the input order) and `payload` (what
     `similar` compares); `buckets` has (bucket, ord), one row per bucket a node
-    is in. `similar_blocks` compares two Series of payloads all with all, for
-    payloads where that is worth leaving the JVM. Where the payload is only a
-    sketch, `verify` keeps the truly similar of the (first, later) pairs found.
+    is in. Where the payload is only a sketch, `verify` keeps the truly similar of the (first, later) pairs found.
     """
     all_dropped = [nodes.select("ord").limit(0)]
     # Most rows share no bucket with any other; only the rest carry their payload on.
@@ -175,7 +137,7 @@ def keep_first(
         size = min(size, head_rows)
         short = max(short_rows, size)
         head = _head(entries, short, size)
-        found = _edges(entries, head, similar, similar_blocks)
+        found = _edges(entries, head, similar)
         edges = checkpointed(verify(found) if verify else found)
         big = entries.where(F.col("n") > short)
         unready = None
@@ -216,61 +178,23 @@ def jaccard_at_least(a: Column, b: Column, threshold: float) -> Column:
     return close & (common / (F.size(a) + F.size(b) - common) >= threshold)
 
 
-def size_classes(threshold: float, largest: int) -> list[tuple[int, int, int]]:
-    """(lowest, highest, parts) of each class of set sizes.
+def rarest_grams(sets: DataFrame, threshold: float) -> DataFrame:
+    """(scope, ord, gram): the grams of each set that any similar set must meet.
 
-    Sets that are similar enough are in the same or in neighbouring classes.
-    `parts` is one more than the most elements by which two such sets, none
-    larger than the class allows, can differ; so of that many parts of the
-    element space, the two sets agree completely on at least one.
+    Two sets with a Jaccard similarity of at least t share one of the first
+    n - ceil(t * n) + 1 members of either, in any one order; rarest first, few
+    sets have them. A gram that only one set has is left out.
     """
-    classes, low = [], 1
-    while not classes or classes[-1][0] <= largest:
-        high = max(low, math.floor(low / threshold + 1e-9))
-        parts = math.floor(2 * high * (1 - threshold) / (1 + threshold) + 1e-9) + 1
-        classes.append((low, high, parts))
-        low = high + 1
-    return classes
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit numbers (splitmix64, public domain)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def gram_buckets(sets: Column, threshold: float, largest: int) -> Column:
-    """Buckets of a gram set, such that any two similar sets share one (no misses).
-
-    The grams are dealt into the parts of the set's own size class and of the
-    next one; a bucket is a part with exactly the grams it got. Published as
-    partition-based enumeration for exact set-similarity joins (Arasu, Ganti,
-    Kaushik, VLDB 2006).
-    """
-    classes = size_classes(threshold, largest)
-    lows = np.array([low for low, _, _ in classes])
-    parts = np.array([n for _, _, n in classes])
-
-    @F.pandas_udf("array<bigint>")
-    def keys(batch: pd.Series) -> pd.Series:
-        sizes = batch.map(len).to_numpy()
-        grams_ = np.concatenate(batch.to_numpy()).astype(np.int64).view(np.uint64)
-        row, own = np.repeat(np.arange(len(batch)), sizes), np.searchsorted(lows, sizes, "right") - 1
-        found = []
-        for tag in (own, own + 1):
-            count = parts[tag]
-            start = np.concatenate([[0], np.cumsum(count)])
-            content = np.zeros(start[-1], np.uint64)
-            cell = start[row] + (grams_ % count[row].astype(np.uint64)).astype(np.int64)
-            np.add.at(content, cell, _mix(grams_))
-            part = np.arange(start[-1]) - np.repeat(start[:-1], count)
-            label = (np.repeat(tag, count) * 1_000_003 + part).astype(np.uint64)
-            key = _mix(content ^ _mix(label + np.uint64(1))).view(np.int64)
-            found.append(np.split(key, start[1:-1]))
-        return pd.Series([np.concatenate(pair) for pair in zip(*found)])
-
-    return keys(sets)
+    each = sets.select("scope", "ord", F.explode("payload").alias("gram"))
+    counts = each.groupBy("scope", "gram").agg(F.count("*").alias("sets"))
+    n = F.size("grams")
+    taken = n - F.ceil(n * threshold - 1e-9) + 1
+    return (
+        each.join(counts, ["scope", "gram"])
+        .groupBy("scope", "ord").agg(F.sort_array(F.collect_list(F.struct("sets", "gram"))).alias("grams"))
+        .select("scope", "ord", F.explode(F.slice("grams", F.lit(1), taken.cast("int"))).alias("gram"))
+        .where("gram.sets > 1").select("scope", "ord", "gram.gram")
+    )
 
 
 def gram_bits(sets: Column) -> Column:
@@ -299,22 +223,17 @@ def dedup_titles(
     title: str = "title",
     within: Sequence[str] = (),
     threshold: float = THRESHOLD,
-    short_rows: int = SHORT_ROWS,
-    head_rows: int = HEAD_ROWS,
+    short_rows: int = FULL_ROWS,
+    head_rows: int = FULL_ROWS,
 ) -> DataFrame:
     """Near-duplicate titles removed by the overlap of their character grams; exact."""
     once = checkpointed(dedup_exact(df, order, title, within))
-    sets = once.select(
-        F.struct(*order).alias("ord"), *within, grams(F.col(title)).alias("payload")
-    )
-    largest = once.agg(F.max(F.length(title))).first()[0] or 1  # a bound on the size of a set
-    buckets = sets.select(
-        "ord", *within, F.explode(gram_buckets(F.col("payload"), threshold, largest)).alias("_key")
-    ).select(F.xxhash64("_key", *within).alias("bucket"), "ord")
     scope = F.xxhash64(*within) if within else F.lit(0).cast("bigint")
-    sketch = F.struct(
-        scope.alias("scope"), F.size("payload").alias("size"), gram_bits(F.col("payload")).alias("bits")
+    sets = checkpointed(
+        once.select(F.struct(*order).alias("ord"), scope.alias("scope"), grams(F.col(title)).alias("payload"))
     )
+    buckets = rarest_grams(sets, threshold).select(F.xxhash64("scope", "gram").alias("bucket"), "ord")
+    sketch = F.struct("scope", F.size("payload").alias("size"), gram_bits(F.col("payload")).alias("bits"))
     first = sets.select(F.col("ord").alias("first"), F.col("payload").alias("_a"))
     later = sets.select(F.col("ord").alias("later"), F.col("payload").alias("_b"))
 
@@ -338,44 +257,50 @@ def _without(df: DataFrame, dropped: DataFrame, order: Sequence[str]) -> DataFra
 # --- vectors: cosine similarity ----------------------------------------------------
 
 
+def usable(vector: Column, dim: int) -> Column:
+    """Whether a vector can be compared: of the right length, finite and not zero."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(vector) == dim) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def unit(vector: Column) -> Column:
     doubles = vector.cast("array<double>")
     norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(doubles, lambda x: x / norm)
+    return F.transform(doubles, lambda x: F.try_divide(x, norm))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def choose_bands(threshold: float, rows: int, max_miss: float = MAX_MISS) -> tuple[int, int]:
-    """(bits, bands) of the sign-pattern blocking that compares least.
+def choose_bands(threshold: float, max_miss: float = MAX_MISS) -> int:
+    """How many bands of BITS signs miss a pair at the threshold with at most `max_miss`.
 
     Two vectors at the threshold agree on one random hyperplane with
-    probability p; `bands` keys of `bits` signs each miss them all with
-    probability (1 - p^bits)^bands. Where no blocking pays, for few rows or a
-    low threshold, the answer is (0, 1): one bucket, nothing can be missed.
+    probability p; all bands miss them with probability (1 - p^BITS)^bands.
+    The answer depends on the threshold alone. One that needs more than
+    MAX_BANDS cannot be blocked and is refused.
     """
-    p = 1 - math.acos(threshold) / math.pi
-    best, best_cost = (0, 1), 1.0 + rows
-    for bits in range(1, MAX_BITS + 1):
-        bands = math.ceil(math.log(max_miss) / math.log1p(-(p**bits)))
-        cost = bands * (1 + rows / 2**bits)
-        if bands <= MAX_BANDS and cost < best_cost:
-            best, best_cost = (bits, bands), cost
-    return best
+    p = 1 - math.acos(min(1.0, threshold)) / math.pi
+    agree = p**BITS
+    bands = 1 if agree >= 1 else math.ceil(math.log(max_miss) / math.log1p(-agree))
+    if threshold <= 0 or bands > MAX_BANDS:
+        raise ValueError(f"a cosine threshold of {threshold} is too low to be blocked")
+    return bands
 
 
-def sign_buckets(vector: Column, dim: int, bits: int, bands: int, seed: int = 7) -> Column:
-    """Bucket keys of a vector: per band, the signs against `bits` random hyperplanes."""
-    planes = np.random.default_rng(seed).standard_normal((bands, bits, dim))
-    weights = 2 ** np.arange(bits, dtype=np.int64)
+def sign_buckets(vector: Column, dim: int, bands: int, seed: int = 7) -> Column:
+    """Bucket keys of a vector: per band, the signs against BITS random hyperplanes."""
+    planes = np.random.default_rng(seed).standard_normal((bands * BITS, dim))
+    weights = 2 ** np.arange(BITS, dtype=np.int64)
 
     @F.pandas_udf("array<bigint>")
     def keys(batch: pd.Series) -> pd.Series:
-        stacked = np.stack(batch.to_numpy())
-        signs = np.einsum("bkd,nd->nbk", planes, stacked) > 0
-        return pd.Series(list(signs @ weights + (np.arange(bands, dtype=np.int64) << bits)))
+        found = []
+        for at in range(0, len(batch), SLICE_ROWS):  # bounds what one step holds
+            signs = (np.stack(batch.iloc[at : at + SLICE_ROWS].to_numpy()) @ planes.T > 0).reshape(-1, bands, BITS)
+            found += list(signs @ weights + (np.arange(bands, dtype=np.int64) << BITS))
+        return pd.Series(found, dtype=object)
 
     return keys(vector)
 
@@ -387,17 +312,21 @@ def dedup_vectors(
     vector: str = "vector",
     within: Sequence[str] = (),
     threshold: float = THRESHOLD,
-    short_rows: int = BLOCK_HEAD_ROWS,
-    head_rows: int = BLOCK_HEAD_ROWS,
+    short_rows: int = FULL_ROWS,
+    head_rows: int = FULL_ROWS,
 ) -> DataFrame:
-    """Rows left after removing those whose vector is close to a kept earlier one."""
+    """Rows left after removing those whose vector is close to a kept earlier one.
+
+    Rows whose vector is null, zero, of another length or not finite are kept
+    and rule nothing out.
+    """
     scope = F.xxhash64(*within) if within else F.lit(0).cast("bigint")
-    nodes = checkpointed(df.select(
+    bands = choose_bands(threshold)
+    nodes = checkpointed(df.where(usable(F.col(vector), dim)).select(
         F.struct(*order).alias("ord"),
         F.struct(scope.alias("scope"), unit(F.col(vector)).alias("v")).alias("payload"),
     ))
-    bits, bands = choose_bands(threshold, nodes.count())
-    keys = sign_buckets(F.col("payload.v"), dim, bits, bands) if bits else F.array(F.lit(0).cast("bigint"))
+    keys = sign_buckets(F.col("payload.v"), dim, bands)
     buckets = nodes.select("ord", "payload.scope", F.explode(keys).alias("_key")).select(
         F.xxhash64("scope", "_key").alias("bucket"), "ord"
     )
@@ -405,12 +334,7 @@ def dedup_vectors(
     def similar(a: Column, b: Column) -> Column:
         return (a["scope"] == b["scope"]) & (dot(a["v"], b["v"]) >= threshold)
 
-    def similar_blocks(a: pd.Series, b: pd.Series) -> np.ndarray:
-        one, two = (np.array([row["v"] for row in side]) for side in (a, b))
-        scopes = [np.array([row["scope"] for row in side]) for side in (a, b)]
-        return (one @ two.T >= threshold) & (scopes[0][:, None] == scopes[1][None, :])
-
-    return _without(df, keep_first(nodes, buckets, similar, short_rows, head_rows, similar_blocks), order)
+    return _without(df, keep_first(nodes, buckets, similar, short_rows, head_rows), order)
 
 
 def dedup_with_fallback(
@@ -424,6 +348,6 @@ def dedup_with_fallback(
 ) -> DataFrame:
     """One row per title; rows that have a vector also lose their near copies."""
     once = checkpointed(dedup_exact(df, order, title, within))
-    known = F.col(vector).isNotNull()
+    known = usable(F.col(vector), dim)
     near = dedup_vectors(once.where(known), order, dim, vector, within, threshold)
     return near.unionByName(once.where(~known))

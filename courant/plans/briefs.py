@@ -44,6 +44,19 @@ def with_summary(links: DataFrame, details: DataFrame) -> DataFrame:
     ).drop("_summary")
 
 
+def _answers(summarizer: Callable, rows: pd.DataFrame) -> tuple[list[str | None], list[str | None]]:
+    """Answers and errors of a batch; the rows of a failing one are tried one by one."""
+    if rows.empty:
+        return [], []
+    try:
+        return list(summarizer(rows["lang"], rows["title"], rows["_body"])), [None] * len(rows)
+    except Exception as e:  # any failure of the user's function is reported with its row
+        if len(rows) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+    parts = [_answers(summarizer, rows.iloc[i : i + 1]) for i in range(len(rows))]
+    return [a for p, _ in parts for a in p], [e for _, q in parts for e in q]
+
+
 def summarize_with(
     articles: DataFrame,
     summarizer: Callable[[pd.Series, pd.Series, pd.Series], Sequence[str | None]],
@@ -51,6 +64,9 @@ def summarize_with(
 ) -> DataFrame:
     """Run a summarizer over `article_text`, batch by batch, and read its answers.
 
+    Where a batch fails, its rows are tried one by one, so that a bad row costs
+    its own answer only, whatever the size of a batch. `error` says why a row failed.
+
     `articles` has title, lang, article_text and extracted (the fallback). The
     function gets (lang, title, text) as Series and returns one answer per row,
     or None where it failed. Texts too short to summarize are not passed on. A
@@ -63,18 +79,15 @@ def summarize_with(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             chosen = batch[batch["_body"].notna()]
-            batch["_answer"] = None
-            if len(chosen):
-                try:
-                    batch.loc[chosen.index, "_answer"] = list(
-                        summarizer(chosen["lang"], chosen["title"], chosen["_body"])
-                    )
-                except Exception:  # a failing batch falls back to extracted summaries
-                    pass
+            batch["_answer"], batch["error"] = None, None
+            answered, errors = _answers(summarizer, chosen)
+            batch.loc[chosen.index, "_answer"] = pd.Series(answered, chosen.index, dtype=object)
+            batch.loc[chosen.index, "error"] = pd.Series(errors, chosen.index, dtype=object)
             yield batch.drop(columns="_body")
 
     schema = T.StructType([
         *(T.StructField(f.name, f.dataType) for f in articles.schema), T.StructField("_answer", T.StringType()),
+        T.StructField("error", T.StringType()),
     ])
     answered = ready.mapInPandas(run, schema)
     parts = F.when(
@@ -119,28 +132,30 @@ def rank_articles(
 def morning_brief(
     pages: DataFrame, details: DataFrame, seen: DataFrame, sources: DataFrame,
     industries: DataFrame, recipients: DataFrame, smtp: DataFrame, as_of: Column,
-    selector: str | None = None, triggered_by: str = "scheduler",
+    selector: str | None = None, triggered_by: str = "scheduler", errors: DataFrame | None = None,
 ) -> Brief:
-    """Pages to mails. One snapshot of what was seen serves all industries of a run."""
+    """Pages to mails. One snapshot of what was seen serves all industries of a run.
+
+    `errors` (industry_id, message) tells which mails could not be sent, so that the log says so.
+    """
     ready = delivery.readiness(industries, sources, recipients, smtp, "morning")
     able = ready.where("reason IS NULL").select(F.col("industry_id").alias("id"))
     links = with_summary(fresh_links(pages, seen, selector), details).withColumn("published_at", as_of)
     top = rank_articles(links, sources, industries.join(able, "id"), as_of)
     mails = reports.morning_report(top, smtp)
-    log = delivery.log_rows(delivery.outcomes(ready, top), mails, as_of, triggered_by)
+    log = delivery.log_rows(delivery.outcomes(ready, top, errors), mails, as_of, triggered_by)
     return Brief(top, mails, log, seen_rows(top, seen, ["industry_id", "rank"], as_of))
 
 
 def evening_brief(
     items: DataFrame, snapshot: DataFrame, industries: DataFrame, recipients: DataFrame,
     smtp: DataFrame, as_of: Column, words: Mapping[str, Sequence[str]] = Q.COMMODITY_WORDS,
-    preferred: str = Q.PREFERRED_WORD, triggered_by: str = "scheduler",
+    preferred: str = Q.PREFERRED_WORD, triggered_by: str = "scheduler", errors: DataFrame | None = None,
 ) -> Brief:
-    """Watch-lists to mails, from one scan of the market snapshot."""
+    """Watch-lists to mails, from one scan of the market snapshot; `errors` as in `outcomes`."""
     ready = delivery.readiness(industries, items, recipients, smtp, "evening")
     able = ready.where("reason IS NULL").select("industry_id")
     found = Q.fetch_quotes(items.join(able, "industry_id", "left_semi"), snapshot, as_of, words, preferred)
     mails = reports.evening_report(found, industries, smtp)
-    first_page = mails.where("page = 0")
-    log = delivery.log_rows(delivery.outcomes(ready, found), first_page, as_of, triggered_by)
+    log = delivery.log_rows(delivery.outcomes(ready, found, errors), mails, as_of, triggered_by)
     return Brief(found, mails, log)

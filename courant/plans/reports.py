@@ -12,10 +12,6 @@ from courant.session import small_side
 MORNING_SUBJECT, EVENING_SUBJECT = "【%s】行业早报 - 今日要闻", "【%s】行业晚报 - 今日行情"
 STOCK_HEADING, FUTURES_HEADING = "行业龙头股价", "大宗商品行情"
 
-# An evening mail covers this many watch-list positions; a longer list goes on
-# in further mails, so that no body has to hold an unbounded list.
-PAGE_POSITIONS = 100_000
-
 
 def contact(smtp: DataFrame) -> Column:
     """The address named in the footer, from the first configuration row."""
@@ -65,10 +61,12 @@ def report_lines(quotes: DataFrame) -> DataFrame:
     return quote_display(quotes).select("industry_id", "item_pos", section.alias("section"), line.alias("line"))
 
 
-def evening_report(
-    quotes: DataFrame, industries: DataFrame, smtp: DataFrame, page_positions: int = PAGE_POSITIONS
-) -> DataFrame:
-    """Per industry with quotes: a table of stocks, then one of futures."""
+def evening_report(quotes: DataFrame, industries: DataFrame, smtp: DataFrame) -> DataFrame:
+    """Per industry with quotes, one whole body: a table of stocks, then one of futures.
+
+    A mail is one value, so the lines of an industry come together here; whoever
+    needs them as rows takes `report_lines`.
+    """
     names = industries.select(F.col("id").alias("industry_id"), F.col("name").alias("industry_name"))
 
     def table(section: int, heading: str) -> Column:
@@ -78,18 +76,17 @@ def evening_report(
         text = F.concat(F.lit(f"<h2>{heading}</h2><table>"), F.array_join(lines, ""), F.lit("</table>"))
         return F.when(F.size(lines) > 0, text).otherwise(F.lit(""))
 
-    page = F.floor(F.col("item_pos") / page_positions)
     bodies = (
         report_lines(quotes)
-        .groupBy("industry_id", page.alias("page"))
+        .groupBy("industry_id")
         .agg(
             F.count("*").alias("n_items"),
             F.array_sort(F.collect_list(F.struct("section", "item_pos", "line"))).alias("_lines"),
         )
         .join(small_side(names), "industry_id")
         .select(
-            "industry_id", "page", F.format_string(EVENING_SUBJECT, "industry_name").alias("subject"), "n_items",
+            "industry_id", F.format_string(EVENING_SUBJECT, "industry_name").alias("subject"), "n_items",
             F.concat(table(0, STOCK_HEADING), table(1, FUTURES_HEADING)).alias("body"),
         )
     )
-    return _footer(bodies, smtp).select("industry_id", "page", "subject", "n_items", "contact", "body")
+    return _footer(bodies, smtp).select("industry_id", "subject", "n_items", "contact", "body")
