@@ -3,21 +3,24 @@
 A word is a stretch of text between single spaces that have no white space next
 to them; the space belongs to the word after it. No pre-token of a byte-level
 tokenizer crosses such a border, so the ids of a text are those of its words in
-a row. Words are counted by Spark and each distinct one is encoded once. The
-commonest HEAD_WORDS, of at most HEAD_CHARS each, go to every task as a bounded
-broadcast; the others are joined back to their positions. Decoding looks every
-id up in the id-to-piece table, whose size is the vocabulary's.
-
-A word in a table is keyed by its text after the space; the first word of a text
-has no space before it and is keyed with one in front.
+a row. Texts are split in parts of about PART_CHARS characters: a part becomes
+the numbers of its words in order, and its distinct words, dealt into buckets
+by a hash. A distinct word of the corpus lies in one bucket and is encoded
+there once; its ids are joined back to the part, where numbers become ids.
+Decoding looks every id up in the id-to-piece table, whose size is the
+vocabulary's.
+
+A word is keyed by its text after the space; the first word of a text has no
+space before it and is keyed with one in front.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,7 @@ from tokenizers import Tokenizer
 
 from courant.llm.common import written
 
-HEAD_WORDS, HEAD_CHARS = 200_000, 40
-COUNTED = 300_000  # distinct words a task holds before it hands counts on
+PART_CHARS = 16_000_000
 _WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
@@ -38,6 +40,7 @@ _BORDER = re.compile(r"(?<=\S) (?=\S)")
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     """The tokenizer of a file, without truncation and padding."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
     loaded = Tokenizer.from_file(path)
     loaded.no_truncation()
     loaded.no_padding()
@@ -89,53 +92,12 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column(1).to_pylist()]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): counts of this task, handed on whenever many words are held."""
-    held: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays(
-            [pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"]
-        )
-        held.clear()
-        return rows
-
-    for batch in batches:
-        for text in _texts(batch):
-            held.update(keys_of(text))
-            if len(held) >= COUNTED:
-                yield out()
-    if held:
-        yield out()
+class _Numbers(dict):
+    """Numbers words as they come."""
 
-
-def _encode(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(0)
-            yield pa.RecordBatch.from_arrays(
-                [words, batch.column(1), pa.array(encoded(path, words.to_pylist()), pa.binary())],
-                ["word", "n", "ids"],
-            )
-
-    return run
-
-
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids): every distinct word of the texts, how often it stands, its ids."""
-    texts = docs.select(F.lit(0), F.col("text"))
-    counts = texts.mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return written(counts.mapInArrow(_encode(path), "word string, n long, ids binary"), "words")
-
-
-class _Ranks(dict):
     def __missing__(self, key: str) -> int:
-        return -1
-
-
-@lru_cache(maxsize=1)
-def _ranks(head) -> _Ranks:
-    return _Ranks((w, i) for i, w in enumerate(head.value[0]))
+        n = self[key] = len(self)
+        return n
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -149,73 +111,89 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _mark(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+_PARTS = "part string, bucket int, sizes binary, data binary, ids array<long>, lengths array<int>"
+_PART_TYPES = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
 
-def _skeletons(head):
-    """(id, mark, ranks): a rank for each word, counted from 1; 0 for words not in the head."""
+def _split(buckets: int):
+    """Rows of each part: without a bucket its numbers, with one the distinct words of the bucket."""
+
+    def part(numbers: _Numbers, rows: list[np.ndarray], ids: list) -> pa.RecordBatch:
+        name, flat = uuid4().hex, np.concatenate(rows)
+        order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")  # small numbers for common words
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        words = list(numbers)
+        raw = [words[i].encode() for i in order]
+        bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in raw), np.int64, len(raw))
+        out = [(name, None, _pack(bucket), _pack(place[flat]), ids, [len(r) for r in rows])]
+        for b in np.unique(bucket).tolist():
+            own = [raw[i] for i in np.flatnonzero(bucket == b)]
+            data = zstandard.ZstdCompressor(level=1).compress(b"".join(own))
+            out.append((name, b, _pack(np.array([len(w) for w in own])), data, None, None))
+        names = [c.split()[0] for c in _PARTS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PART_TYPES)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = _ranks(head).__getitem__
+        numbers, rows, ids, chars = _Numbers(), [], [], 0
         for batch in batches:
-            texts = _texts(batch)
-            ranks = [np.fromiter(map(rank, keys_of(t)), np.int64) + 1 for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([_mark(t) for t in texts], pa.int64()),
-                    pa.array([_pack(r) for r in ranks], pa.binary()),
-                ],
-                ["id", "mark", "ranks"],
-            )
+            for at in range(0, batch.num_rows, 100):
+                some = batch.slice(at, 100)
+                for doc, text in zip(some.column(0).to_pylist(), _texts(some)):
+                    rows.append(np.fromiter(map(numbers.__getitem__, keys_of(text)), np.int64))
+                    ids.append(doc)
+                    chars += len(text)
+                    if chars >= PART_CHARS:
+                        yield part(numbers, rows, ids)
+                        numbers, rows, ids, chars = _Numbers(), [], [], 0
+        if rows:
+            yield part(numbers, rows, ids)
 
     return run
 
 
-def _tails(head):
-    """(id, mark, word, places): words of a text that are not in the head, and where they stand."""
+def _encode(path: str):
+    """(part, bucket, sizes, data): how many ids each word of the row has, and the ids of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _ranks(head)
+        known: dict[bytes, bytes] = {}
         for batch in batches:
-            ids, marks, words, places = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), _texts(batch)):
-                mark, at = _mark(text), {}
-                for i, key in enumerate(keys_of(text)):
-                    if key not in known:
-                        at.setdefault(key, []).append(i)
-                for key, where in at.items():
-                    ids.append(doc)
-                    marks.append(mark)
-                    words.append(key)
-                    places.append(np.array(where, "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(words, pa.string()),
-                 pa.array(places, pa.binary())],
-                ["id", "mark", "word", "places"],
-            )
+            for row in batch.to_pylist():
+                data = zstandard.ZstdDecompressor().decompress(row["data"])
+                ends = np.cumsum([0, *_unpack(row["sizes"]).tolist()]).tolist()
+                words = [data[a:b] for a, b in zip(ends, ends[1:])]
+                new = [w for w in words if w not in known]
+                known.update(zip(new, encoded(path, [w.decode() for w in new])))
+                ids = [known[w] for w in words]
+                if len(known) > WordIds.LIMIT:
+                    known.clear()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["part"]]), pa.array([row["bucket"]], pa.int32()),
+                        pa.array([_pack(np.array([len(i) // 4 for i in ids]))], pa.binary()),
+                        pa.array([_pack(np.frombuffer(b"".join(ids), "<u4"))], pa.binary()),
+                    ],
+                    ["part", "bucket", "sizes", "data"],
+                )
 
     return run
 
 
-def _joined(head):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = head.value[1]
-        for batch in batches:
-            rows = []
-            for ranks, tails in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = [pieces[r - 1] if r else b"" for r in _unpack(ranks).tolist()]
-                for tail in tails or ():
-                    for i in np.frombuffer(tail["places"], "<u4").tolist():
-                        words[i] = tail["ids"]
-                rows.append(np.frombuffer(b"".join(words), "<u4"))
-            ends = np.cumsum([0, *[len(r) for r in rows]]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, "<u4"), *rows]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"]
-            )
-
-    return run
+def _joined(part: pa.Table, words: pa.Table) -> pa.Table:
+    """The ids of every text of a part."""
+    row = part.to_pylist()[0]
+    bucket, numbers = _unpack(row["sizes"]), _unpack(row["data"])
+    pieces = np.empty(len(bucket), object)
+    for found in words.to_pylist():
+        raw = _unpack(found["data"]).tobytes()
+        ends = (np.cumsum([0, *_unpack(found["sizes"]).tolist()]) * 4).tolist()
+        pieces[bucket == found["bucket"]] = np.array([raw[a:b] for a, b in zip(ends, ends[1:])] + [b""], object)[:-1]
+    ends = np.cumsum([0, *row["lengths"]])
+    rows = [b"".join(pieces[numbers[a:b]].tolist()) for a, b in zip(ends, ends[1:])]
+    starts = np.cumsum([0, *[len(r) // 4 for r in rows]]).astype(np.int32)
+    flat = np.frombuffer(b"".join(rows), "<i4")
+    ids = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
+    return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "ids": ids})
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,27 +203,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     tokens. Null and empty texts have no ids. Ids of rows may be null or repeat.
     Other columns of `docs` are not looked at.
     """
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words = word_table(texts, path)
-    top = (
-        words.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-        .select("word", "ids").toArrow()
-    )
-    head = docs.sparkSession.sparkContext.broadcast(
-        (top.column("word").to_pylist(), top.column("ids").to_pylist())
-    )
-    tails = (
-        texts.mapInArrow(_tails(head), "id long, mark long, word string, places binary")
-        .join(words.select("word", "ids"), "word")
-        .groupBy("id", "mark").agg(F.collect_list(F.struct("places", "ids")).alias("tails"))
-        .withColumn("id_", F.coalesce("id", F.lit(0))).withColumn("no_id", F.col("id").isNull()).drop("id")
+    parts = written(texts.mapInArrow(_split(buckets), _PARTS), "words")
+    words = (
+        parts.where("bucket IS NOT NULL").select("part", "bucket", "sizes", "data").repartition(buckets, "bucket")
+        .mapInArrow(_encode(path), "part string, bucket int, sizes binary, data binary")
     )
-    skeletons = (
-        texts.mapInArrow(_skeletons(head), "id long, mark long, ranks binary")
-        .withColumn("id_", F.coalesce("id", F.lit(0))).withColumn("no_id", F.col("id").isNull())
+    numbers = parts.where("bucket IS NULL").drop("bucket")
+    return numbers.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(
+        _joined, "doc_id long, ids array<int>"
     )
-    rows = skeletons.join(tails, ["id_", "no_id", "mark"], "left").select("id", "ranks", "tails")
-    return rows.mapInArrow(_joined(head), "doc_id long, ids array<int>")
 
 
 def _byte_pieces(path: str) -> list[bytes]:
