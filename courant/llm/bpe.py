@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 
 from courant.llm.common import written
 
-PART_CHARS = 16_000_000
+PART_CHARS = 32_000_000
 _WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
@@ -101,14 +101,34 @@ class _Numbers(dict):
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Integers as byte planes, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Small integers: the bit length of each plus one, compressed, then its lower bits by length."""
+    plain = values.astype(np.uint32) + np.uint32(1)
+    length = (np.frexp(plain.astype(np.float64))[1] - 1).astype(np.uint8)
+    head = zstandard.ZstdCompressor(level=3).compress(length.tobytes())
+    out = [len(head).to_bytes(4, "little"), head]
+    for n in range(1, 32):
+        own = plain[length == n]
+        if len(own):
+            bits = np.unpackbits(own.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
+            out.append(np.packbits(bits[:, 32 - n :]).tobytes())
+    return b"".join(out)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    at = 4 + int.from_bytes(data[:4], "little")
+    length = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:at]), np.uint8)
+    plain = np.ones(len(length), np.uint32)
+    for n in range(1, 32):
+        own = np.flatnonzero(length == n)
+        if len(own):
+            size = -(-len(own) * n // 8)
+            packed = np.frombuffer(data, np.uint8, size, at)
+            bits = np.zeros((len(own), 32), np.uint8)
+            bits[:, 31 - n] = 1
+            bits[:, 32 - n :] = np.unpackbits(packed)[: len(own) * n].reshape(-1, n)
+            plain[own] = np.packbits(bits, axis=1).view(">u4").ravel()
+            at += size
+    return plain - np.uint32(1)
 
 
 _PARTS = "part string, bucket int, sizes binary, data binary, ids array<long>, lengths array<int>"

@@ -31,7 +31,7 @@ def frame(spark, rows):
 # --- BPE and token files ------------------------------------------------------------
 
 
-@pytest.mark.parametrize("part_chars", [16_000_000, 700])
+@pytest.mark.parametrize("part_chars", [32_000_000, 700])
 def test_bpe_like_the_library(spark, monkeypatch, part_chars):
     monkeypatch.setattr(bpe, "PART_CHARS", part_chars)
     rows = ODD + [(20 + r[0], r[1]) for r in corpus(3, 60)]
