@@ -608,6 +608,8 @@ add("extract_links_raw", LINK_COLS, links("raw_pages"))
 add("extract_links_scoped", LINK_COLS, links("v_pages", scoped(r"(?is)<nav[\s>].*?</nav\s*>")))
 add("extract_links_nested", LINK_COLS, links("v_pages", scoped(r"(?is)<li[\s>].*?</li\s*>")))
 add("extract_links_class", LINK_COLS, links("v_pages", scoped(r'(?is)<div class="extra">.*?</div>')))
+add("extract_links_by_source", LINK_COLS, links("v_pages", "CASE page_id % 4 WHEN 0 THEN clean WHEN 1 THEN "
+    + scoped(r"(?is)<nav[\s>].*?</nav\s*>") + " WHEN 2 THEN " + scoped(r'(?is)<div class="extra">.*?</div>') + " ELSE '' END"))
 add("extract_summary", f"SELECT page_id, {SUMMARY} AS summary FROM t_paras", texts("v_pages"))
 add("extract_article_text", f"SELECT page_id, {ARTICLE} AS article_text FROM t_paras", texts("v_pages"))
 add("paragraph_filter", f"""

@@ -9,7 +9,7 @@ entities and `&nbsp;` are decoded.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -102,9 +102,37 @@ def without_code(html: Column) -> Column:
 
 
 def without_elements(html: Column, tags: Sequence[str]) -> Column:
-    return F.regexp_replace(
-        html, rf"(?is)<({'|'.join(tags)})(?=[\s>/]).*?</\1\s*>", ""
-    )
+    """The page without the elements of these tags, each up to its balanced end tag.
+
+    One that is never closed goes on to the end, as it does in a parser.
+    """
+    names = "|".join(tags)
+
+    def tag_name(piece: Column) -> Column:
+        return F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+
+    def step(state: Column, piece: Column) -> Column:
+        inside, closing = state["depth"] > 0, F.startswith(piece, F.lit("</"))
+        turn = F.when(closing, -1).otherwise(1)
+        depth = (
+            F.when(~inside, F.when(closing, 0).otherwise(1))
+            .when(tag_name(piece) == state["name"], state["depth"] + turn).otherwise(state["depth"])
+        )
+        after = F.regexp_replace(piece, "^</[^>]*>", "")
+        return F.struct(
+            depth.alias("depth"),
+            F.when(~inside & ~closing, tag_name(piece)).otherwise(state["name"]).alias("name"),
+            F.when(closing & (depth == 0), F.array_append(state["kept"], after)).otherwise(state["kept"]).alias("kept"),
+        )
+
+    def rest(pieces: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("name"), F.slice(pieces, 1, 1).alias("kept"))
+        return F.aggregate(
+            F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda s: F.array_join(s["kept"], "")
+        )
+
+    marked = F.regexp_replace(html, rf"(?i)(</?(?:{names})(?=[\s>/]))", f"{_MARK}$1")
+    return F.when(html.rlike(rf"(?i)<(?:{names})[\s>/]"), let(F.split(marked, _MARK), rest)).otherwise(html)
 
 
 def decode_entities(text: Column) -> Column:
@@ -134,8 +162,8 @@ def _pieces(html: Column, start: str) -> Column:
     return F.filter(F.split(marked, _MARK), lambda p, i: i > 0)
 
 
-def element_blocks(html: Column, selector: Selector) -> Column:
-    """Inner HTML of every outermost element the selector matches, in page order."""
+def element_blocks(html: Column, selector: Selector, outer: bool = False) -> Column:
+    """Inner (or outer) HTML of every outermost element the selector matches, in page order."""
     pieces = _pieces(html, rf"(?i:</?{selector.tag})(?=[\s>/])" if selector.tag else r"</?[A-Za-z]")
 
     def tag_name(piece: Column) -> Column:
@@ -168,7 +196,7 @@ def element_blocks(html: Column, selector: Selector) -> Column:
     )
     kept = F.aggregate(pieces, start, step, lambda s: s["kept"])
     blocks = F.filter(F.split(F.array_join(kept, ""), _MARK), lambda b: b != "")
-    return F.transform(blocks, lambda b: F.regexp_replace(b, rf"^<{_ATTRS}>", ""))
+    return blocks if outer else F.transform(blocks, lambda b: F.regexp_replace(b, rf"^<{_ATTRS}>", ""))
 
 
 def first_element(html: Column, selectors: Sequence[Selector]) -> Column:
@@ -212,14 +240,15 @@ def _attribute(attrs: Column, name: str) -> Column:
 def anchors(html: Column, selector: str | None = None) -> Column:
     """Anchors the selector chooses: array of (attrs, inner), in page order.
 
-    A selector ending in `a…` means those anchors; one that ends in a container
-    means all anchors inside it.
+    A selector ending in `a…` means those anchors. Any other means the anchors
+    among the elements it matches and all anchors inside the others.
     """
     steps = parse_selector(selector)
-    last = steps.pop() if steps[-1].tag == "a" else Selector("a", None, None)
+    direct = steps[-1].tag == "a"
+    last = steps.pop() if direct else Selector("a", None, None)
     scope = without_code(html)
-    for step in steps:
-        scope = F.array_join(element_blocks(scope, step), "")
+    for i, step in enumerate(steps, 1):
+        scope = F.array_join(element_blocks(scope, step, outer=not direct and i == len(steps)), "")
     found = F.filter(
         _pieces(scope, r"(?i:<a)(?=[\s>/])"), lambda p: p.rlike("^" + last.pattern)
     )
@@ -234,6 +263,42 @@ def anchors(html: Column, selector: str | None = None) -> Column:
     )
 
 
+def count_selected(html: Column, selector: str | None = None) -> Column:
+    """How many elements, of any tag, the selector matches."""
+    *steps, last = parse_selector(selector)
+    scope = without_code(html)
+    for step in steps:
+        scope = F.array_join(element_blocks(scope, step), "")
+    tags = _pieces(scope, rf"(?i:<{last.tag or '[A-Za-z][A-Za-z0-9]*'})(?=[\s>/])")
+    return F.size(F.filter(tags, lambda p: p.rlike("^" + last.pattern)))
+
+
+def supported(selectors: Sequence[str | None]) -> dict[str | None, str | None]:
+    """Per selector, null or what is wrong with it."""
+
+    def fault(selector: str | None) -> str | None:
+        try:
+            parse_selector(selector)
+        except ValueError as e:
+            return str(e)
+        return None
+
+    return {s: fault(s) for s in selectors}
+
+
+def by_selector(which: Column, selectors: Sequence[str | None], value: Callable[[str | None], Column]) -> Column:
+    """`value` for the selector each row names; null where it is not supported.
+
+    Null and the empty text name the default. One scan serves all selectors.
+    """
+    default = value(None)
+    chosen = F.when(F.coalesce(which, F.lit("")) == "", default)
+    for s, fault in supported(selectors).items():
+        if s and fault is None:
+            chosen = chosen.when(which == s, value(s))
+    return chosen
+
+
 def link_targets(found: Column, base: Column) -> Column:
     """Anchors with a usable target: array of (pos, url, title), not yet distinct.
 

@@ -14,21 +14,30 @@ from courant.functions import answers as A
 from courant.functions import html as H
 from courant.operators import delivery, quotes as Q, ranking as R
 from courant.operators.dedup import dedup_titles
-from courant.operators.links import extract_links
+from courant.operators.links import extract_links, selector_faults, selectors_of
 from courant.plans import reports
+from courant.session import small_side
 from courant.sources.tables import seen_rows, unseen
 
 ORDER = ["source_id", "page_id", "pos"]
 
 
-def fresh_links(pages: DataFrame, seen: DataFrame, selector: str | None = None) -> DataFrame:
+def fresh_links(
+    pages: DataFrame, seen: DataFrame, selector: str | None = None, sources: DataFrame | None = None
+) -> DataFrame:
     """Links of the pages that were fetched, without those pushed before.
 
+    With `sources` (id, link_selector), each page is read with its source's own selector.
+
     `pages` holds all sources at once, and a source that failed has no good
     page, so it adds nothing and stops nothing.
     """
-    ok = pages.where("fetch_ok").select("source_id", "page_id", "url", "html")
-    return unseen(extract_links(ok, selector, keep=("source_id", "page_id")), seen)
+    ok, keep = pages.where("fetch_ok").select("source_id", "page_id", "url", "html"), ("source_id", "page_id")
+    if sources is None:
+        return unseen(extract_links(ok, selector, keep=keep), seen)
+    own = small_side(sources.select(F.col("id").alias("source_id"), "link_selector"))
+    found = extract_links(ok.join(own, "source_id", "left"), keep=keep, selectors=selectors_of(sources))
+    return unseen(found, seen)
 
 
 def with_summary(links: DataFrame, details: DataFrame) -> DataFrame:
@@ -103,12 +112,13 @@ def summarize_with(
 
 @dataclass
 class Brief:
-    """What a brief yields: ranked rows, mails, log rows and rows to remember."""
+    """What a brief yields: ranked rows, mails, log rows, rows to remember, failed sources."""
 
     rows: DataFrame
     reports: DataFrame
     log: DataFrame
     seen: DataFrame | None = None
+    failed: DataFrame | None = None  # sources that could not be read, and why
 
 
 def rank_articles(
@@ -140,11 +150,13 @@ def morning_brief(
     """
     ready = delivery.readiness(industries, sources, recipients, smtp, "morning")
     able = ready.where("reason IS NULL").select(F.col("industry_id").alias("id"))
-    links = with_summary(fresh_links(pages, seen, selector), details).withColumn("published_at", as_of)
+    configured = sources if "link_selector" in sources.columns else None
+    links = with_summary(fresh_links(pages, seen, selector, configured), details).withColumn("published_at", as_of)
     top = rank_articles(links, sources, industries.join(able, "id"), as_of)
     mails = reports.morning_report(top, smtp)
     log = delivery.log_rows(delivery.outcomes(ready, top, errors), mails, as_of, triggered_by)
-    return Brief(top, mails, log, seen_rows(top, seen, ["industry_id", "rank"], as_of))
+    failed = None if configured is None else selector_faults(configured)
+    return Brief(top, mails, log, seen_rows(top, seen, ["industry_id", "rank"], as_of), failed)
 
 
 def evening_brief(
