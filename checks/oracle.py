@@ -784,3 +784,15 @@ add("rate_limit", "SELECT event_id, user_id, ok AS allowed FROM decided", {
               FROM decided d JOIN tries a ON a.user_id = d.user_id AND a.rn = d.rn + 1)"""})
 add("stream_failures", "SELECT check_id, source_id, status, failures FROM counted")
 ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]
+
+add("stream_unseen", "SELECT DISTINCT 'https://e.example/' || user_id AS url FROM events")
+add("stream_briefing", """
+    SELECT industry_id, source_id, page_id, pos, title, url, summary, round(score, 6) AS score FROM stream_scored""", {
+    **FRESH, "details": "SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY 1", **DETAIL,
+    "summaries": f"SELECT url, {SUMMARY} AS summary FROM d_t_paras",
+    "stream_first": f"""SELECT f.source_id, f.page_id, f.pos, f.title, f.url, coalesce(summary, '') AS summary,
+        {AS_OF} AS published_at
+        FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_id, page_id, pos) AS turn FROM fresh) f
+        LEFT JOIN summaries m ON m.url = f.url WHERE turn = 1""",
+    **{("stream_" + k): v.replace("FROM judged", "FROM stream_judged") for k, v in judged("stream_first").items()},
+})

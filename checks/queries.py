@@ -639,6 +639,25 @@ def _drained(v, stream, name):
     return v.spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+@query
+def stream_unseen(v):
+    visits = v.event_stream.select(
+        F.concat(F.lit("https://e.example/"), "user_id").alias("url"), F.col("ts").cast("timestamp").alias("published_at")
+    )
+    return _drained(v, jobs.unseen_stream(visits), "unseen").select("url")
+
+
+@query
+def stream_briefing(v):
+    folder = f"{shared_folder(v.spark)}/briefing-{uuid4().hex}"
+    writer = jobs.briefing_stream(
+        v.page_stream, v.details, v.seen, v.sources, v.industries, as_of(), f"{folder}/rows"
+    )
+    writer.option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    rows = v.spark.read.parquet(f"{folder}/rows")
+    return rows.select("industry_id", "source_id", "page_id", "pos", "title", "url", "summary", r6("score"))
+
+
 @query
 def stream_failures(v):
     counted = jobs.failure_stream(v.checks_of(v.event_stream))

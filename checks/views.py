@@ -85,6 +85,15 @@ class Views:
 
     @cached_property
     def pages(self) -> DataFrame:
+        return self.pages_of(self.table("pages"))
+
+    @cached_property
+    def page_stream(self) -> DataFrame:
+        schema = self.table("pages").schema
+        stream = self.spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(self.folder)
+        return self.pages_of(stream)
+
+    def pages_of(self, raw: DataFrame) -> DataFrame:
         own = F.concat(
             F.lit(BLOCK), F.lit('<a href="'), F.col("url"), F.lit('">Story number '),
             F.col("page_id"), F.lit("</a></div>"),
@@ -93,7 +102,7 @@ class Views:
             F.contains("html", F.lit("</body>")),
             F.replace(F.col("html"), F.lit("</body>"), F.concat(own, F.lit("</body>"))),
         ).otherwise(F.concat("html", own))
-        return self.table("pages").select(
+        return raw.select(
             "page_id", "url", html.alias("html"),
             (F.col("page_id") % 20).cast("int").alias("source_id"),
             (F.col("page_id") % 10 != 9).alias("fetch_ok"),

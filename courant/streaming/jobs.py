@@ -16,7 +16,8 @@ from courant.operators.ratelimit import LIMIT, WINDOW_SECONDS, admit
 from courant.plans.briefs import ORDER, fresh_links, with_summary
 from courant.sources.tables import first_per_key
 
-SEEN_FOR = "7 days"
+SEEN_DAYS = 7
+SEEN_FOR = f"{SEEN_DAYS} days"
 
 
 def unseen_stream(articles: DataFrame, time: str = "published_at", key: str = "url") -> DataFrame:
@@ -89,19 +90,22 @@ def briefing_stream(
 ) -> DataStreamWriter:
     """Scored fresh articles of each micro-batch of pages, appended under `out`.
 
-    What earlier micro-batches wrote counts as seen. A micro-batch writes its
-    own folder, so one that is run again after a failure replaces its rows.
+    What earlier micro-batches wrote in the last seven days counts as seen; only
+    the url column of those days' folders is read. A micro-batch writes its own
+    folder, so one that is run again after a failure replaces its rows.
     """
 
     def brief(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        today = spark.range(1).select(F.to_date(as_of)).first()[0]
         earlier = seen.select("url")
         if batch_id > 0:
-            written = spark.read.schema("url string, batch_id long").parquet(out)
-            earlier = earlier.unionByName(written.where(F.col("batch_id") < batch_id).select("url"))
+            written = spark.read.schema("url string, day date, batch_id long").parquet(out)
+            recent = (F.col("day") >= F.date_sub(F.lit(today), SEEN_DAYS)) & (F.col("batch_id") < batch_id)
+            earlier = earlier.unionByName(written.where(recent).select("url"))
         scored_articles(batch, details, earlier, sources, industries, as_of, selector).write.mode(
             "overwrite"
-        ).parquet(f"{out}/batch_id={batch_id}")
+        ).parquet(f"{out}/day={today}/batch_id={batch_id}")
 
     return pages.writeStream.foreachBatch(brief).trigger(availableNow=True)
 
