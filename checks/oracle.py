@@ -685,19 +685,31 @@ add("quote_coverage", """SELECT industry_id, count(*) AS requested, count(*) FIL
     FROM v_items GROUP BY 1""")
 add("quotes_missing", "SELECT item_pos, symbol FROM v_items WHERE item_pos NOT IN (SELECT item_pos FROM quoted)")
 
-add("classify_health", f"""
+CLASSIFIED = f"""
     SELECT page_id, CASE WHEN outcome <> 'ok' THEN 'error' WHEN n > 0 THEN 'healthy' ELSE 'warning' END AS status,
            CASE outcome WHEN 'timeout' THEN '{HE.TIMED_OUT}' WHEN 'http' THEN 'HTTP ' || http_status
                 WHEN 'other' THEN substr(message, 1, 200)
                 ELSE CASE WHEN n = 0 THEN '{HE.NO_LINKS.replace('%s', 'nav a')}' END END AS error
     FROM (SELECT *, len({pieces(scoped('(?is)<nav[\\s>].*?</nav' + chr(92) + 's*>'), 'a')}) AS n
-          FROM (SELECT *, {no_comments('html')} AS clean FROM v_fetched))""")
+          FROM (SELECT *, {no_comments('html')} AS clean FROM v_fetched))"""
+add("classify_health", CLASSIFIED)
 add("consecutive_failures", "SELECT check_id, source_id, status, failures FROM counted")
 add("health_alerts", """SELECT check_id, source_id, failures, '【告警】新闻源「' || name || '」已连续检查失败 ' || failures || ' 次' AS subject
     FROM counted JOIN v_check_sources s ON s.id = source_id WHERE status = 'error' AND failures >= 3""")
 add("health_rollup", """SELECT count(*) FILTER (status = 'healthy') AS healthy, count(*) FILTER (status = 'warning') AS warning,
     count(*) FILTER (status = 'error') AS error FROM v_checks""")
 add("latest_health", "SELECT * FROM last_health")
+RUN = {
+    "new_checks": f"SELECT 1000000000 + page_id AS check_id, page_id % 40 AS source_id, {AS_OF} AS checked_at, status, error"
+                  f" FROM ({CLASSIFIED})",
+    "every_check": "SELECT check_id, source_id, checked_at, status, error FROM v_checks UNION ALL SELECT * FROM new_checks",
+    "every_counted": streak("every_check", "source_id", "checked_at", "check_id", "status = 'error'", "status <> 'error'",
+                            "failures"),
+}
+add("health_check", """SELECT check_id, source_id, status, error, failures, CASE WHEN status = 'error' AND failures >= 3
+    AND s.id IS NOT NULL THEN '【告警】新闻源「' || name || '」已连续检查失败 ' || failures || ' 次' END AS subject
+    FROM every_counted c LEFT JOIN v_check_sources s ON s.id = source_id WHERE check_id >= 1000000000""", RUN)
+add("health_check_states", VIEWS["last_health"].replace("FROM counted", "FROM every_counted"), RUN)
 LABEL = "CASE health_status " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in HE.LABELS.items()) + " END"
 add("health_labels", f"SELECT source_id, name || ': ' || {LABEL} || coalesce('（' || nullif(last_error, '') || '）', '') AS line FROM last_health")
 

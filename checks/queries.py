@@ -19,6 +19,7 @@ from courant.operators import dedup, delivery, health, quotes, ranking, retentio
 from courant.operators.links import count_anchors, extract_links, page_texts, paragraph_faults, selectors_of
 from courant.operators.ratelimit import rate_limit
 from courant.plans import briefs, reports
+from courant.plans.health import health_check as health_check_plan
 from courant.session import shared_folder
 from courant.sources import schemas, tables
 from courant.streaming import jobs
@@ -89,9 +90,7 @@ def evolve_schema(v):
 
 @query
 def replace_by_key(v):
-    new = v.items.where("industry_id = 3").limit(0).unionByName(
-        v.items.where("industry_id = 3 AND item_type = 'stock'").withColumn("item_pos", F.col("item_pos") + 1)
-    )
+    new = v.items.where("industry_id = 3 AND item_type = 'stock'").withColumn("item_pos", F.col("item_pos") + 1)
     keys = v.industries.where("id IN (2, 3)").select(F.col("id").alias("industry_id"))
     return tables.replace_rows(v.items, new, keys, "industry_id")
 
@@ -464,6 +463,25 @@ def health_labels(v):
     return health.digest_lines(health.latest(v.checks, v.check_sources)).select("source_id", "line")
 
 
+def _health_run(v):
+    source = (F.col("page_id") % 40).alias("source_id")
+    fetched = v.fetched.select("*", (F.col("page_id") + 1_000_000_000).alias("check_id"), source)
+    return health_check_plan(fetched, v.checks, v.check_sources, as_of())
+
+
+@query
+def health_check(v):
+    run = _health_run(v)
+    return run.checks.join(run.alerts.select("check_id", "subject"), "check_id", "left").select(
+        "check_id", "source_id", "status", "error", "failures", "subject"
+    )
+
+
+@query
+def health_check_states(v):
+    return _health_run(v).states
+
+
 # --- delivery ----------------------------------------------------------------------
 
 
