@@ -27,7 +27,7 @@ ORDERS, BUCKETS, WIDTH = (2, 3, 4), 1 << 14, 16
 SAMPLE, EPOCHS, RATE, SEED = 3000, 6, 8.0, 7
 #: An answer is rejected below this score, or lower still if that would reject
 #: more than one in a thousand of the right answers held back.
-REJECT_SCORE, REJECT_SHARE = 0.5, 0.001
+REJECT_SCORE, REJECT_SHARE = 0.35, 0.001
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
