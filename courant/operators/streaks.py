@@ -28,36 +28,39 @@ def running_streak(
     name: str = "streak",
 ) -> DataFrame:
     """Add the streak after each row, rows of a key taken in (`time`, `tie`) order."""
-    keys = list(keys)
     at = F.unix_micros(F.col(time).cast("timestamp"))
-    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(time, tie).rowsBetween(
+    # One key that is never null (the industry of an old log row may have been
+    # deleted), so that the windows and the join share one partitioning.
+    keyed = df.withColumns({
+        "_key": F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}),
+        "_chunk": at - F.pmod(at, F.lit(chunk_seconds * 1_000_000)),
+    })
+    in_chunk = Window.partitionBy("_key", "_chunk").orderBy(time, tie).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     # Adds so far less adds up to the last reset; both windows share one sort.
     local = (
-        df.withColumn("_chunk", at - F.pmod(at, F.lit(chunk_seconds * 1_000_000)))
-        .withColumn("_adds", F.sum(F.when(add, 1).otherwise(0)).over(in_chunk))
+        keyed.withColumn("_adds", F.sum(F.when(add, 1).otherwise(0)).over(in_chunk))
         .withColumn("_base", F.max(F.when(reset, F.col("_adds"))).over(in_chunk))
         .withColumn("_streak", F.col("_adds") - F.coalesce("_base", F.lit(0)))
     )
-    totals = local.groupBy(*keys, "_chunk").agg(
+    # Reads the history once more, but only the narrow columns that decide a streak.
+    totals = local.groupBy("_key", "_chunk").agg(
         F.max("_base").isNotNull().alias("_reset"),
         F.max_by("_streak", F.struct(time, tie)).alias("_tail"),
     )
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    by_chunk = Window.partitionBy("_key").orderBy("_chunk")
     upto = by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     chained = (
         totals.withColumn("_sum", F.sum("_tail").over(upto))
         .withColumn("_start", F.max(F.when(F.col("_reset"), F.col("_sum") - F.col("_tail"))).over(upto))
         .withColumn("_out", F.col("_sum") - F.coalesce("_start", F.lit(0)))
         .withColumn("_in", F.coalesce(F.lag("_out").over(by_chunk), F.lit(0)))
-        .select(*[F.col(k).alias(f"_key_{k}") for k in [*keys, "_chunk"]], "_in")
+        .select("_key", "_chunk", "_in")
     )
-    # Null-safe, since the industry of an old log row may have been deleted.
-    same_chunk = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in [*keys, "_chunk"]]
     inherited = F.when(F.col("_base").isNull(), F.col("_in")).otherwise(F.lit(0))
     return (
-        local.join(chained, same_chunk)
+        local.join(chained, ["_key", "_chunk"])
         .withColumn(name, F.col("_streak") + inherited)
         .select(*df.columns, name)
     )
