@@ -60,6 +60,18 @@ def test_summarize_falls_back(spark):
     def silent(lang, title, text):
         return pd.Series([None] * len(lang))
 
+    def picky(lang, title, text):
+        if "T2" in list(title):
+            raise RuntimeError("one bad row")
+        return ["摘要：好" for _ in title]
+
+    rows = spark.range(3000).select(
+        F.when(F.col("id") == 1234, "T2").otherwise(F.col("id").cast("string")).alias("title"), F.lit("zh").alias("lang"),
+        F.lit("word " * 40).alias("article_text"), F.lit("ext").alias("extracted")).coalesce(1)
+    got = summarize_with(rows, picky).collect()
+    assert [(r.title, r.summary, r.error) for r in got if r.error] == [("T2", "ext", "RuntimeError: one bad row")]
+    assert all(r.summary == "好" for r in got if not r.error)
+
     for fn in (broken, silent):
         got = {r.title: r.summary for r in summarize_with(articles(spark), fn).collect()}
         assert got == {"T1": "ext1", "T2": "ext2", "T3": "ext3"}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from courant.functions.display import quote_display
 from courant.operators import quotes as Q
 from courant.plans import reports
+from courant.plans.briefs import evening_brief
 
 NOW = datetime(2024, 1, 31, 15, 4, 5)
 SNAPSHOT = [
@@ -59,7 +60,7 @@ def test_display(spark):
         ("2.00", "+0.50%", "up", "15:04:05"), ("2.50", "-0.50%", "down", "15:04:05"), ("nan", "0.00%", "flat", "15:04:05")]
 
 
-def test_evening_report_pages(spark):
+def test_evening_report(spark):
     items, snapshot = inputs(spark)
     industries = spark.createDataFrame([(1, "能源"), (2, "empty")], "id int, name string")
     smtp = spark.createDataFrame([(2, "u2", "c2"), (1, "u1", "")], "id int, username string, contact_email string")
@@ -68,5 +69,18 @@ def test_evening_report_pages(spark):
     assert len(whole) == 1 and whole[0].n_items == 6 and whole[0].contact == "u1"
     body = whole[0].body
     assert body.index(reports.STOCK_HEADING) < body.index("00700") < body.index(reports.FUTURES_HEADING) < body.index("cu2606")
-    paged = reports.evening_report(quotes, industries, smtp, page_positions=5).orderBy("page").collect()
-    assert [(r.page, r.n_items) for r in paged] == [(0, 3), (1, 2), (2, 1)]
+
+
+def test_a_late_position_keeps_its_snapshot(spark):
+    items = spark.createDataFrame(
+        [(200_005, 1, "", "300274", "stock"), (7, 2, "", "300274", "stock")],
+        "item_pos long, industry_id int, name string, symbol string, item_type string")
+    snapshot = inputs(spark)[1]
+    industries = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    mail = spark.createDataFrame([(1, "x@y.example"), (2, "z@y.example")], "industry_id int, email string")
+    smtp = spark.createDataFrame([(1, "u1", "")], "id int, username string, contact_email string")
+    errors = spark.createDataFrame([(2, "refused")], "industry_id int, message string")
+    brief = evening_brief(items, snapshot, industries, mail, smtp, F.lit(NOW), errors=errors)
+    log = {r.industry_id: r for r in brief.log.collect()}
+    assert (log[1].status, log[1].article_count) == ("success", 1) and "300274" in log[1].html_snapshot
+    assert (log[2].status, log[2].error_msg, log[2].html_snapshot) == ("failed", "refused", None)

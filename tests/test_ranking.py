@@ -18,16 +18,16 @@ def parsed(spark, texts):
 
 
 def test_parse_keywords(spark):
-    assert parsed(spark, ["", "+原油 +期货", "!广告 !推广", "原油 价格", "+原油 !广告 价格 涨跌", "+ ! A　+B +b", None]) == [
-        ([], [], []), (["原油", "期货"], [], []), ([], ["广告", "推广"], []), ([], [], ["原油", "价格"]),
-        (["原油"], ["广告"], ["价格", "涨跌"]), (["", "b", "b"], [""], ["a"]), ([], [], []),
+    assert parsed(spark, ["", "+镍矿 +铁路", "!赞助 !招聘", "镍矿 产量", "+镍矿 !赞助 产量 出口", "+ ! A　+B +b", None]) == [
+        ([], [], []), (["镍矿", "铁路"], [], []), ([], ["赞助", "招聘"], []), ([], [], ["镍矿", "产量"]),
+        (["镍矿"], ["赞助"], ["产量", "出口"]), (["", "b", "b"], [""], ["a"]), ([], [], []),
     ]
 
 
 SCORES = [
-    (None, "任意标题", 0.5), ("", "任意标题", 0.5), ("+原油", "原油价格上涨", 0.5), ("+原油", "苹果公司新闻", None),
-    ("!广告", "这是广告推广内容", None), ("!广告", "原油价格上涨分析", 0.5),
-    ("原油 价格 涨跌", "原油价格涨跌分析", 1.0), ("原油 价格 涨跌", "原油分析", 1 / 3), ("原油 价格", "科技公司新闻", 0.0),
+    (None, "随便什么", 0.5), ("", "随便什么", 0.5), ("+镍矿", "镍矿产量回升", 0.5), ("+镍矿", "球队今晚出战", None),
+    ("!赞助", "本页含赞助栏目", None), ("!赞助", "镍矿产量回升简报", 0.5),
+    ("镍矿 产量 出口", "镍矿 产量 出口简报", 1.0), ("镍矿 产量 出口", "镍矿简报", 1 / 3), ("镍矿 产量", "剧院本周开幕", 0.0),
     ("+a +b", "only A here", None), ("!", "anything", None), ("+", "anything", 0.5), ("a a b", "A", 2 / 3),
 ]
 
@@ -80,7 +80,7 @@ def test_score_and_rank(spark):
     titles, report = ranked(spark, [(f"新闻{i}", 2, 5, None) for i in range(20)], 5)
     assert titles == [f"新闻{i}" for i in range(5)]  # equal scores keep input order
     assert (report.total, report.filtered, report.kept, report.top) == (20, 0, 20, 5)
-    assert ranked(spark, [("广告推广内容", 2, 5, "!广告"), ("正常行业新闻", 2, 5, "!广告")], 10)[0] == ["正常行业新闻"]
+    assert ranked(spark, [("赞助招聘内容", 2, 5, "!赞助"), ("正常行业新闻", 2, 5, "!赞助")], 10)[0] == ["正常行业新闻"]
     assert ranked(spark, [("A", 2, 2, None), ("B", 2, 9, None)], 2)[0][0] == "B"
     assert ranked(spark, [("旧新闻", 20, 5, None), ("新新闻", 1, 5, None)], 2)[0][0] == "新新闻"
     assert ranked(spark, [("唯一新闻", 2, 5, None)], 10)[0] == ["唯一新闻"]
