@@ -13,7 +13,6 @@ is rejected.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,6 @@ SAMPLE, EPOCHS, RATE, SEED = 3000, 6, 8.0, 7
 #: more than one in a thousand of the right answers held back.
 REJECT_SCORE, REJECT_SHARE = 0.35, 0.001
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
 _ODD = 0x9E3779B1
 
@@ -83,7 +81,7 @@ class Model:
         return _softmax(counts @ self.weights / max(1, counts.sum()) + self.bias)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not self.languages or text is None or not _LETTER.search(text):
+        if not self.languages or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         scores = self.scores(buckets(text))
         best = int(scores.argmax())

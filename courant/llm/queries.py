@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courant.llm import langid
+from courant.llm import langid, oracle
 from courant.llm.bpe import decode, encode
 from courant.llm.common import batched, table, tokenizer_path
 from courant.llm.embeddings import near_vectors
@@ -21,7 +21,7 @@ from courant.llm.token_files import read_tokens, write_tokens
 from courant.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracle.TEXTS)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

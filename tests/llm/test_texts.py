@@ -148,7 +148,7 @@ def test_language_held_out(spark):
     held = df.where("doc_id % 4 = 2").select("lang", model.column("text").alias("f")).collect()
     assert np.mean([r.f.lang_pred == r.lang for r in held]) >= 0.98
     assert all(0 <= r.f.score <= 1 for r in held) and np.mean([r.f.rejected for r in held]) <= 0.02
-    for text in (None, "", "12 !? _"):
+    for text in (None, "", "12 !? _", "½²Ⅷ"):
         assert model.predict(text) == ("und", 0.0, True)
     assert model.predict("the " * 50_000)[0] == "en"
 
