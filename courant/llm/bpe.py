@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from courant.llm.common import written
+from courant.llm.common import bucketed
 
-PART_CHARS = 32_000_000
+PART_CHARS = 16_000_000
 _WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
@@ -100,6 +100,9 @@ class _Numbers(dict):
         return n
 
 
+_STEP = 1 << 16  # integers unpacked at a time
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Small integers: the bit length of each plus one, compressed, then its lower bits by length."""
     plain = values.astype(np.uint32) + np.uint32(1)
@@ -108,8 +111,8 @@ def _pack(values: np.ndarray) -> bytes:
     out = [len(head).to_bytes(4, "little"), head]
     for n in range(1, 32):
         own = plain[length == n]
-        if len(own):
-            bits = np.unpackbits(own.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
+        for at in range(0, len(own), _STEP):
+            bits = np.unpackbits(own[at : at + _STEP].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
             out.append(np.packbits(bits[:, 32 - n :]).tobytes())
     return b"".join(out)
 
@@ -119,8 +122,9 @@ def _unpack(data: bytes) -> np.ndarray:
     length = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:at]), np.uint8)
     plain = np.ones(len(length), np.uint32)
     for n in range(1, 32):
-        own = np.flatnonzero(length == n)
-        if len(own):
+        every = np.flatnonzero(length == n)
+        for start in range(0, len(every), _STEP):
+            own = every[start : start + _STEP]
             size = -(-len(own) * n // 8)
             packed = np.frombuffer(data, np.uint8, size, at)
             bits = np.zeros((len(own), 32), np.uint8)
@@ -141,8 +145,8 @@ def _split(buckets: int):
     def part(numbers: _Numbers, rows: list[np.ndarray], ids: list) -> pa.RecordBatch:
         name, flat = uuid4().hex, np.concatenate(rows)
         order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")  # small numbers for common words
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
         words = list(numbers)
         raw = [words[i].encode() for i in order]
         bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in raw), np.int64, len(raw))
@@ -160,7 +164,7 @@ def _split(buckets: int):
             for at in range(0, batch.num_rows, 100):
                 some = batch.slice(at, 100)
                 for doc, text in zip(some.column(0).to_pylist(), _texts(some)):
-                    rows.append(np.fromiter(map(numbers.__getitem__, keys_of(text)), np.int64))
+                    rows.append(np.fromiter(map(numbers.__getitem__, keys_of(text)), np.uint32))
                     ids.append(doc)
                     chars += len(text)
                     if chars >= PART_CHARS:
@@ -225,7 +229,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = written(texts.mapInArrow(_split(buckets), _PARTS), "words")
+    parts = bucketed(texts.mapInArrow(_split(buckets), _PARTS), "words", "part", buckets)
     words = (
         parts.where("bucket IS NOT NULL").select("part", "bucket", "sizes", "data").repartition(buckets, "bucket")
         .mapInArrow(_encode(path), "part string, bucket int, sizes binary, data binary")

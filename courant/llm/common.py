@@ -42,6 +42,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """As `written`, in buckets of `column`: grouping by it needs no shuffle."""
+    spark = df.sparkSession
+    table_name = f"{name}_{uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{table_name}"
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, on unsigned 64-bit integers."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
