@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, where it is not installed there."""
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="courant-package-")) / package.name
+    spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
