@@ -259,9 +259,10 @@ def _decode(path: str):
         piece = _byte_pieces(path).__getitem__
         for batch in batches:
             ids = batch.column(1)
+            ends, flat = ids.offsets.to_numpy().tolist(), ids.values.to_numpy()
             texts = [
-                b"".join(map(piece, ids[i].values.tolist())).decode("utf-8", "replace") if ids[i].is_valid else None
-                for i in range(len(ids))
+                b"".join(map(piece, flat[a:b].tolist())).decode("utf-8", "replace") if given else None
+                for a, b, given in zip(ends, ends[1:], ids.is_valid().to_pylist())
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
