@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from courant.llm.common import written
-from courant.llm.embeddings import _matrix, _packed, usable
+from courant.llm.embeddings import _packed, usable
 
 SHARD_ROWS, QUERY_ROWS = 4000, 1000
 LINKS, BUILD_WIDTH, SEARCH_WIDTH, SEED = 16, 80, 160, 3

@@ -10,7 +10,6 @@ import numpy as np
 import public_tokenizers
 import pytest
 from llm_helpers import COLUMNS, corpus
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from courant.llm import bpe, langid, licenses, line_dedup, pii, queries, rangecoder, token_files
