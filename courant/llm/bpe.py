@@ -28,6 +28,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from courant.llm.common import bucketed
@@ -135,14 +136,16 @@ def _unpack(data: bytes) -> np.ndarray:
     return plain - np.uint32(1)
 
 
-_PARTS = "part string, bucket int, sizes binary, data binary, ids array<long>, lengths array<int>"
-_PART_TYPES = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+_PARTS = "part string, bucket int, sizes binary, data binary, ids array<long>, also array<long>, lengths array<int>"
+_PART_TYPES = [
+    pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()),
+]
 
 
 def _split(buckets: int):
     """Rows of each part: without a bucket its numbers, with one the distinct words of the bucket."""
 
-    def part(numbers: _Numbers, rows: list[np.ndarray], ids: list) -> pa.RecordBatch:
+    def part(numbers: _Numbers, rows: list[np.ndarray], ids: list, also: list) -> pa.RecordBatch:
         name, flat = uuid4().hex, np.concatenate(rows)
         order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")  # small numbers for common words
         place = np.empty(len(order), np.uint32)
@@ -150,28 +153,29 @@ def _split(buckets: int):
         words = list(numbers)
         raw = [words[i].encode() for i in order]
         bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in raw), np.int64, len(raw))
-        out = [(name, None, _pack(bucket), _pack(place[flat]), ids, [len(r) for r in rows])]
+        out = [(name, None, _pack(bucket), _pack(place[flat]), ids, also, [len(r) for r in rows])]
         for b in np.unique(bucket).tolist():
             own = [raw[i] for i in np.flatnonzero(bucket == b)]
             data = zstandard.ZstdCompressor(level=1).compress(b"".join(own))
-            out.append((name, b, _pack(np.array([len(w) for w in own])), data, None, None))
+            out.append((name, b, _pack(np.array([len(w) for w in own])), data, None, None, None))
         names = [c.split()[0] for c in _PARTS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PART_TYPES)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, rows, ids, chars = _Numbers(), [], [], 0
+        numbers, rows, ids, also, chars = _Numbers(), [], [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 some = batch.slice(at, 100)
-                for doc, text in zip(some.column(0).to_pylist(), _texts(some)):
+                for doc, other, text in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), _texts(some)):
+                    also.append(other)
                     rows.append(np.fromiter(map(numbers.__getitem__, keys_of(text)), np.uint32))
                     ids.append(doc)
                     chars += len(text)
                     if chars >= PART_CHARS:
-                        yield part(numbers, rows, ids)
-                        numbers, rows, ids, chars = _Numbers(), [], [], 0
+                        yield part(numbers, rows, ids, also)
+                        numbers, rows, ids, also, chars = _Numbers(), [], [], [], 0
         if rows:
-            yield part(numbers, rows, ids)
+            yield part(numbers, rows, ids, also)
 
     return run
 
@@ -217,27 +221,35 @@ def _joined(part: pa.Table, words: pa.Table) -> pa.Table:
     starts = np.cumsum([0, *[len(r) // 4 for r in rows]]).astype(np.int32)
     flat = np.frombuffer(b"".join(rows), "<i4")
     ids = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
-    return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "ids": ids})
+    return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "also": pa.array(row["also"], pa.int64()), "ids": ids})
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", also_col: str | None = None
+) -> DataFrame:
     """(doc_id, ids array<int>), one row per input row: the ids of each whole text.
 
+    With `also_col`, a whole number, the rows have it as a column of that name.
+
     They are what the tokenizer file gives for the text without added special
     tokens. Null and empty texts have no ids. Ids of rows may be null or repeat.
     Other columns of `docs` are not looked at.
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    also = F.lit(None) if also_col is None else F.col(also_col)
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), also.cast("long").alias("also")
+    )
     parts = bucketed(texts.mapInArrow(_split(buckets), _PARTS), "words", "part", buckets)
     words = (
         parts.where("bucket IS NOT NULL").select("part", "bucket", "sizes", "data").repartition(buckets, "bucket")
         .mapInArrow(_encode(path), "part string, bucket int, sizes binary, data binary")
     )
     numbers = parts.where("bucket IS NULL").drop("bucket")
-    return numbers.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(
-        _joined, "doc_id long, ids array<int>"
+    done = numbers.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(
+        _joined, "doc_id long, also long, ids array<int>"
     )
+    return done.drop("also") if also_col is None else done.withColumnRenamed("also", also_col)
 
 
 def _byte_pieces(path: str) -> list[bytes]:
@@ -254,24 +266,26 @@ def _byte_pieces(path: str) -> list[bytes]:
     return pieces
 
 
-def _decode(path: str):
+def _decode(path: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = _byte_pieces(path).__getitem__
         for batch in batches:
-            ids = batch.column(1)
+            ids = batch.column(at)
             ends, flat = ids.offsets.to_numpy().tolist(), ids.values.to_numpy()
             texts = [
                 b"".join(map(piece, flat[a:b].tolist())).decode("utf-8", "replace") if given else None
                 for a, b, given in zip(ends, ends[1:], ids.is_valid().to_pylist())
             ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     return run
 
 
-def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, ids, text): the text of each array of ids, special tokens included; null for null."""
-    named = rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return named.mapInArrow(_decode(path), "doc_id long, ids array<int>, text string")
+def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """`rows` with `text`: what each array of ids stands for, special tokens included; null for null.
+
+    A column of that name is replaced.
+    """
+    kept = rows.drop("text").withColumn(ids_col, F.col(ids_col).cast("array<int>"))
+    schema = T.StructType([*kept.schema.fields, T.StructField("text", T.StringType())])
+    return kept.mapInArrow(_decode(path, kept.columns.index(ids_col)), schema)
