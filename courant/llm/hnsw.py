@@ -28,6 +28,7 @@ from courant.llm.common import written
 from courant.llm.embeddings import _packed, usable
 
 SHARD_ROWS, QUERY_ROWS = 4000, 1000
+MOST_TASKS = 20_000  # beyond it a task has several graphs, one after the other
 LINKS, BUILD_WIDTH, SEARCH_WIDTH, SEED = 16, 80, 160, 3
 
 
@@ -208,13 +209,20 @@ def search(
         .withColumn("shards", F.ceil(F.col("n") / SHARD_ROWS).cast("int")).select("dim", "shards")
     )
     shards = written(shards, "shards")
+    n_shards = shards.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
+
+    def tasks(groups: int) -> int:
+        """Several partitions a group: a graph is much work for few bytes, and hashes collide."""
+        return max(1, min(3 * groups, MOST_TASKS))
+
     smallest = Window.partitionBy("dim", "vec").orderBy("id")
     indexed = given.withColumn("copy", F.row_number().over(smallest)).where(F.col("copy") <= k + 1)
     dealt = indexed.join(shards, "dim").withColumn(
         "shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int")
     )
     index = written(
-        dealt.select("dim", "shard", "id", "vec").groupBy("dim", "shard").applyInArrow(
+        dealt.select("dim", "shard", "id", "vec").repartition(tasks(n_shards), "dim", "shard")
+        .groupBy("dim", "shard").applyInArrow(
             _index, "shard int, dim int, vectors binary, ids binary, starts binary, links array<binary>, entry int, layer int"
         ), "index",
     )
@@ -225,7 +233,8 @@ def search(
         "dim", "block", F.col("q.id").alias("query_ids"), F.col("q.vec").alias("queries")
     )
     spread = blocks.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    both = spread.join(index, ["dim", "shard"])
+    n_blocks = -(-asked.count() // QUERY_ROWS)
+    both = spread.join(index, ["dim", "shard"]).repartition(tasks(n_shards * n_blocks), "dim", "shard", "block")
     found = both.groupBy("dim", "shard", "block").applyInArrow(
         _answers(k, width), "query_id long, vec_id long, score double"
     )
