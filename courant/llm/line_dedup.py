@@ -5,11 +5,15 @@ lines a chunk ends: on average every CUT-th, at the same places in any text
 that has the same lines there, however the passage is shifted. A chunk of two
 or more lines with text is kept where it stands first (by id, then by place)
 and removed elsewhere. Chunks are found by a hash of 64 bits; before anything
-is removed their bytes are compared.
+is removed their bytes are compared. A chunk reaches over the ends of a short passage, so
+`dedup_passages` takes every two neighbouring lines with text instead of chunks:
+it misses no passage, and indexes one row per line.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +57,65 @@ def chunks(text: Column) -> Column:
     return let(F.split(text, "\n", -1), parts)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_chunks(text: Column, gone: Column) -> Column:
+    """struct(text, removed): a text without the chunks at `gone`, and the lines they had."""
+    return let(chunks(text), lambda c: F.struct(
+        F.array_join(
+            F.transform(F.filter(c, lambda p, i: ~F.array_contains(gone, i)), lambda p: p["text"]), "\n"
+        ).alias("text"),
+        F.aggregate(F.filter(c, lambda p, i: F.array_contains(gone, i)), F.lit(0),
+                    lambda n, p: n + p["lines"]).alias("removed"),
+    ))
+
+
+def _with_text(lines: Column) -> Column:
+    """The places of the lines that are not blank."""
+    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"\S"))
+
+
+def pairs(text: Column) -> Column:
+    """array(struct(text, filled)): each line with text up to the next such line, blank ones between included."""
+
+    def parts(lines: Column) -> Column:
+        return let(_with_text(lines), lambda at: F.transform(
+            F.slice(at, 2, F.size(at)),
+            lambda end, k: let(F.get(at, k), lambda s: F.struct(
+                F.array_join(F.slice(lines, s + 1, end - s + 1), "\n").alias("text"), F.lit(2).alias("filled"),
+            )),
+        ))
+
+    return let(F.split(text, "\n", -1), parts)
+
+
+def without_pairs(text: Column, gone: Column) -> Column:
+    """struct(text, removed): a text without the lines of the pairs at `gone`; blank lines do not stay alone."""
+
+    def left(lines: Column, at: Column) -> Column:
+        lost = F.flatten(F.transform(gone, lambda k: F.sequence(F.get(at, k), F.get(at, k + 1))))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+        bare = F.size(F.array_except(at, lost)) == 0
+        return let(F.when(bare, F.slice(kept, 1, 0)).otherwise(kept), lambda kept: F.struct(
+            F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n").alias("text"),
+            (F.size(lines) - F.size(kept)).alias("removed"),
+        ))
+
+    return let(F.split(text, "\n", -1), lambda lines: let(_with_text(lines), lambda at: left(lines, at)))
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `dedup_lines`, for every passage of two or more lines with text, wherever it starts and ends.
+
+    A line goes where it stands in a pair of neighbouring lines that stands
+    elsewhere before. The first place of a line is always kept. A text with no
+    line with text left is empty.
+    """
+    return dedup_lines(docs, id_col, text_col, pairs, without_pairs)
+
+
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    chunks: Callable[[Column], Column] = chunks, without: Callable[[Column, Column], Column] = without_chunks,
+) -> DataFrame:
     """The rows of `docs` with repeated chunks taken out of the text, plus n_lines and n_removed.
 
     Rows equal in id and text count as one document, and each keeps what the
@@ -111,13 +173,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = full.withColumn(
         "done",
         F.when(F.col("gone").isNull(), F.struct(F.col(text).alias("text"), F.lit(0).alias("removed"))).otherwise(
-            let(chunks(F.col(text)), lambda c: F.struct(
-                F.array_join(
-                    F.transform(F.filter(c, lambda p, i: ~F.array_contains("gone", i)), lambda p: p["text"]), "\n"
-                ).alias("text"),
-                F.aggregate(F.filter(c, lambda p, i: F.array_contains("gone", i)), F.lit(0),
-                            lambda n, p: n + p["lines"]).alias("removed"),
-            ))
+            without(F.col(text), F.col("gone"))
         ),
     )
     out = [

@@ -12,6 +12,7 @@ import pytest
 from llm_helpers import COLUMNS, corpus
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from courant.llm import bpe, langid, licenses, line_dedup, pii, queries, rangecoder, token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -127,6 +128,44 @@ def test_lines_of_awkward_rows(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], COLUMNS)).collect() == []
 
 
+def without_passages(rows):
+    """Texts by id, each line in a pair with text that stands before left out; ids are unique here."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        if text is None:
+            out[i] = (None, None)
+            continue
+        lines = text.split("\n")
+        at, gone = [k for k, x in enumerate(lines) if x.strip(" \t\r\f\v")], set()
+        for a, b in zip(at, at[1:]):
+            pair = "\n".join(lines[a : b + 1])
+            if pair in seen:
+                gone.update(range(a, b + 1))
+            seen.add(pair)
+        if gone and gone.issuperset(at):
+            gone = set(range(len(lines)))
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    return out
+
+
+def test_whole_passages_go(spark):
+    rows = [(i, t) for i, t, *_ in corpus(7, 120)]
+    for n in (2, 3, 4, 5, 8, 12):  # a passage between differing lines, twice; the last with a blank line
+        passage = [f"line {k} of the passage of {n}" for k in range(n)]
+        for copy, gap in enumerate(([], [], [""])):
+            own = passage[:1] + gap + passage[1:] if n > 2 else passage
+            rows.append((1000 * n + copy, "\n".join([f"top {n} {copy}", *own, f"end {n} {copy}"])))
+    rows += [(90_000, "same\nsame\nsame\nsame"), (90_001, "\nrow a\r\n\r\nrow b\r\n"), (90_002, "row a\r\n\r\nrow b\r\n\r\n"),
+             (90_003, "one line\r\n\r\n"), (90_004, "one line\r\n\r\nother")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_passages(docs).collect()}
+    assert got == without_passages(rows)
+    assert all(got[1000 * n + 1] == (f"top {n} 1\nend {n} 1", n) for n in (2, 3, 4, 5, 8, 12))
+    stage = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], COLUMNS)
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, stage, "").collect()}
+    assert left == {i: t for i, (t, n) in got.items() if n is None or t or not n}
+
+
 # --- language -----------------------------------------------------------------------
 
 STEMS = {"en": "the ing tion and str".split(), "fr": "eau aux ment les é".split(), "de": "sch ung ein cht ü".split()}
