@@ -189,7 +189,7 @@ def _suspect(text: str) -> bool:
 
 
 def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans found on the normalised text only; none overlaps a plain one of its kind."""
+    """Spans found on the normalised text only; none is equal to a plain one of its kind or lies inside it."""
     if not _suspect(text):
         return []
     normal, where = words(*characters(text))
@@ -204,7 +204,8 @@ def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
             if "bare_at" in changed and not any(c.endswith("dot") for c in changed):
                 continue
             start, end = where.starts[s], where.ends[e - 1]
-            if all(end <= a or b <= start for a, b in taken[kind]):
+            # A plain find may be a fragment of the real one, which is then added beside it.
+            if not any(a <= start and end <= b for a, b in taken[kind]):
                 found.append((kind, start, end))
     return found
 

@@ -229,6 +229,19 @@ def test_disguises_map_back(text, kind, found):
     assert [(k, text[s:e]) for k, s, e in pii.disguised(text, base)] == [(kind, found)]
 
 
+@pytest.mark.parametrize("text, kind, part", [
+    ("jоhn@example.com", "email", "hn@example.com"),
+    ("john dot smith@example.com", "email", "smith@example.com"),
+    ("john@mail.exаmple.com", "email", "john@mail.ex"),
+    ("john@mail.example dot com", "email", "john@mail.example"),
+    ("192.168.1.1０", "ip", "192.168.1.1"),
+])
+def test_whole_find_beside_a_plain_part(text, kind, part):
+    base = pii.plain(f"see {text} now")
+    assert [(k, f"see {text} now"[s:e]) for k, s, e in base] == [(kind, part)]
+    assert pii.disguised(f"see {text} now", base) == [(kind, 4, 4 + len(text))]
+
+
 @pytest.mark.parametrize("text", ["look at example.com", "we were at home dot", "one two three four", "plain (at) home", "a@b.de"])
 def test_nothing_added(text):
     assert pii.disguised(text, pii.plain(text)) == []
