@@ -18,6 +18,7 @@ from courant.sources.tables import first_per_key
 
 SEEN_DAYS = 7
 SEEN_FOR = f"{SEEN_DAYS} days"
+NEVER_LATE = "2262-01-01"
 
 
 def unseen_stream(articles: DataFrame, time: str = "published_at", key: str = "url") -> DataFrame:
@@ -58,13 +59,20 @@ def rate_limit_stream(
 ) -> DataFrame:
     """Attempts with their verdict; state is the allowed times still in the window.
 
-    The state of a key that stays quiet is dropped once the watermark is a
-    window past its last allowed attempt.
+    Verdicts are given on arrival. An attempt behind the watermark, a window
+    behind the newest one, or without a time comes out with a null verdict and
+    counts for nothing. The state of a key that stays quiet is dropped once the
+    watermark is a window past its last allowed attempt.
     """
     window = window_seconds * 1_000_000
     timed = attempts.withColumn("_at", F.unix_micros(F.col(time).cast("timestamp"))).withColumn(
         "_event", F.col(time).cast("timestamp")
     ).withWatermark("_event", f"{window_seconds} seconds")
+    # Spark drops rows by the column that carries the watermark's mark before the function sees
+    # them; that column holds a time that is never late, so that late rows come out, too.
+    mark = {"spark.watermarkDelayMs": window // 1000}
+    never = F.greatest("_event", F.lit(NEVER_LATE).cast("timestamp")).alias("_never", metadata=mark)
+    timed = timed.select(*attempts.columns, "_at", never)
     schema = T.StructType([*attempts.schema.fields, T.StructField("allowed", T.BooleanType())])
 
     def decide(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -73,11 +81,18 @@ def rate_limit_stream(
             return
         allowed = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["_at", tie])
-        verdicts = [admit(allowed, at, limit, window) for at in rows["_at"].tolist()]
-        state.update((allowed,))
-        last = (allowed[-1] if allowed else rows["_at"].max()) + window
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows.drop(columns=["_at", "_event"]).assign(allowed=verdicts)
+        watermark = state.getCurrentWatermarkMs()
+        verdicts = []
+        for at in rows["_at"].tolist():
+            if at != at or watermark > 0 and at < watermark * 1000:
+                verdicts.append(None)
+            else:
+                verdicts.append(admit(allowed, int(at), limit, window))
+                allowed.sort()  # an attempt may be older than those of earlier micro-batches
+        if allowed:
+            state.update((allowed,))
+            state.setTimeoutTimestamp(max((allowed[-1] + window) // 1000, watermark + 1))
+        yield rows.drop(columns=["_at", "_never"]).assign(allowed=pd.Series(verdicts, rows.index, object))
 
     return timed.groupBy(key).applyInPandasWithState(
         decide, schema, "allowed array<long>", "append", GroupStateTimeout.EventTimeTimeout

@@ -47,6 +47,19 @@ def test_rate_limit(spark, tmp_path, files):
     assert got == {r.i: r.allowed for r in rate_limit(tries, "key", "at", "i", 3, 20).collect()}
 
 
+@pytest.mark.parametrize("files", [4, 7])
+def test_late_attempts_come_out_without_verdict(spark, tmp_path, files):
+    rnd, late = random.Random(3), {80, 81, 120, 149}
+    rows = [(i, rnd.choice("aab"), T0 + timedelta(seconds=1 if i in late else 2 * i)) for i in range(150)]
+    rows[120] = (120, "only late", rows[120][2])
+    tries = spark.createDataFrame(rows, "i int, key string, at timestamp")
+    stream = jobs.rate_limit_stream(in_files(tries, "i", files, str(tmp_path / "in")), "key", "at", "i", 3, 20)
+    got = {r.i: r.allowed for r in drained(spark, stream, tmp_path).collect()}
+    in_time = tries.where(~F.col("i").isin(*late))
+    want = {r.i: r.allowed for r in rate_limit(in_time, "key", "at", "i", 3, 20).collect()}
+    assert got == want | dict.fromkeys(late)
+
+
 def test_unseen(spark, tmp_path):
     rows = [(f"u{i % 5}", T0 + timedelta(hours=i)) for i in range(20)] + [("u1", T0 + timedelta(days=30)), ("u9", T0 + timedelta(days=30))]
     articles = spark.createDataFrame(rows, "url string, published_at timestamp")
