@@ -79,7 +79,40 @@ SELECT w.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_wor
 FROM w LEFT JOIN base b USING (doc_id) LEFT JOIN matched m USING (doc_id)"""
 
 
+def _group(i: int) -> str:
+    return f"('0x' || substr(h, {8 * i - 7}, 8))::BIGINT"
+
+
+def _joined(pieces: str) -> str:
+    return f"array_to_string({pieces}, '')"
+
+
+# Units by a regular expression, pieces as slices of their list.
+FILL_IN_MIDDLE = f"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), c AS (
+  SELECT *, len(units) AS n, least({_group(1)} % (n + 1), {_group(2)} % (n + 1)) AS a,
+         greatest({_group(1)} % (n + 1), {_group(2)} % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_group(3)} % 100 >= 90
+              THEN 'plain' WHEN {_group(4)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT *, {_joined('units[:a]')} AS prefix, {_joined('units[a + 1:b]')} AS middle, {_joined('units[b + 1:]')} AS suffix
+  FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
 TEXTS = {
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
     "op1_near_dedup": NEAR_DEDUP,
     "op5_embedding_dedup": NEAR_VECTORS,
     "op8_license_scan": license_scan(),

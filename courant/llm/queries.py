@@ -11,6 +11,7 @@ from courant.llm import langid, oracle
 from courant.llm.bpe import decode, encode
 from courant.llm.common import batched, table, tokenizer_path
 from courant.llm.embeddings import near_vectors
+from courant.llm.fim import fill_in_middle, restored
 from courant.llm.hnsw import search
 from courant.llm.licenses import scan
 from courant.llm.line_dedup import dedup_lines
@@ -160,3 +161,17 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = write_tokens(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
     found = read_tokens(spark, files)
     return found.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32")
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fim_digests(fill_in_middle(table(spark, folder, "documents")))
+
+
+def fim_digests(rows: DataFrame) -> DataFrame:
+    """Lengths of the pieces, hashes of each output and of the text rebuilt from it."""
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"),
+    )
