@@ -111,7 +111,41 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 FROM p"""
 
 
+def centroid_clusters(clusters: int = 8, rounds: int = 10) -> str:
+    """Each round as two tables; products of integers below 2^53 are exact in double precision."""
+
+    def assigned(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.vec_id, m.c, (list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, m.x) + list_dot_product(m.x, m.x))::BIGINT AS d
+    FROM v, m{i} m) GROUP BY vec_id
+)"""
+
+    def moved(i: int) -> str:
+        return f"""m{i + 1} AS MATERIALIZED (
+  SELECT m.c, coalesce(mean, m.x) AS x FROM m{i} m LEFT JOIN (
+    SELECT c, list(s ORDER BY k) AS mean FROM (
+      SELECT c, k, ((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*))::DOUBLE AS s
+      FROM (SELECT a.c, unnest(v.x)::BIGINT AS e, generate_subscripts(v.x, 1) AS k FROM a{i} a JOIN v USING (vec_id))
+      GROUP BY c, k) GROUP BY c) USING (c)
+)"""
+
+    steps = ", ".join(f"{assigned(i)}, {moved(i)}" for i in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: isfinite(e))) = 64
+), m0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, x FROM v ORDER BY sha256('3:' || vec_id) LIMIT {clusters}
+), {steps}, {assigned(rounds)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(m.x, lambda e: e::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM a{rounds} JOIN m{rounds} m USING (c)"""
+
+
 TEXTS = {
+    "op13_centroid_clusters": centroid_clusters(),
     "op11_fill_in_middle": FILL_IN_MIDDLE,
     "op1_near_dedup": NEAR_DEDUP,
     "op5_embedding_dedup": NEAR_VECTORS,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courant.llm import langid, oracle
 from courant.llm.bpe import decode, encode
+from courant.llm.clusters import cluster
 from courant.llm.common import batched, table, tokenizer_path
 from courant.llm.embeddings import near_vectors
 from courant.llm.fim import fill_in_middle, restored
@@ -175,3 +176,8 @@ def fim_digests(rows: DataFrame) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"),
     )
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster(table(spark, folder, "embeddings")).drop("embedding", "label")
