@@ -144,7 +144,32 @@ SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c
 FROM a{rounds} JOIN m{rounds} m USING (c)"""
 
 
+# Lengths of the formatted texts by running sums; digests straight from the turns.
+_ESCAPED = (
+    "regexp_replace({}, '([<\\[])(\\\\*)(\\|turn\\|>|\\|says\\|>|\\|end\\|>|s>|/s>|INST\\]|/INST\\]|<SYS>>|</SYS>>"
+    "|\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>)', '\\1\\\\\\2\\3', 'g')"
+)
+CHAT_FORMAT = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), s AS (
+  SELECT *, sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + 23)
+           OVER (PARTITION BY conv_id, turn // 32 ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto,
+         row_number() OVER (PARTITION BY conv_id, turn // 32 ORDER BY turn DESC, role DESC, text DESC) = 1 AS ends
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       coalesce(sum(upto) FILTER (role = 'assistant' OR ends), 0)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id"""
+
+
 TEXTS = {
+    "op12_chat_format": CHAT_FORMAT,
     "op13_centroid_clusters": centroid_clusters(),
     "op11_fill_in_middle": FILL_IN_MIDDLE,
     "op1_near_dedup": NEAR_DEDUP,

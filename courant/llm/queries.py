@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courant.llm import langid, oracle
+from courant.llm import chat, langid, oracle
 from courant.llm.bpe import decode, encode
 from courant.llm.clusters import cluster
 from courant.llm.common import batched, table, tokenizer_path
@@ -181,3 +181,40 @@ def fim_digests(rows: DataFrame) -> DataFrame:
 @query
 def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return cluster(table(spark, folder, "embeddings")).drop("embedding", "label")
+
+
+#: A conversation whose texts are made of control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"),
+    )
+    return chat_digests(chat.expand(turns.unionByName(more)))
+
+
+def chat_digests(rows: DataFrame) -> DataFrame:
+    """Turns and replies read back from the formatted texts, a row for each conversation."""
+    said = chat.turns_of(F.col("text"))
+    parts = rows.select(
+        "conv_id", "block", F.length("text").alias("n"),
+        F.when(F.col("whole_block"), said).alias("turns"),
+        chat.reply(F.col("text"), F.col("loss_start"), F.col("loss_end")).alias("reply"),
+    )
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    found = parts.groupBy("conv_id").agg(
+        F.sum(F.size("turns")).cast("long").alias("n_turns"),
+        F.array_join(F.sort_array(F.collect_list(
+            F.when(F.col("turns").isNotNull(), F.struct("block", lines.alias("s")))))["s"], "").alias("turns"),
+        F.array_join(F.sort_array(F.collect_list(
+            F.when(F.col("reply").isNotNull(), F.struct("block", "n", F.col("reply").alias("s")))))["s"], "").alias("loss"),
+        F.sum("n").cast("long").alias("formatted_chars"),
+    )
+    return found.select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    )
