@@ -3,12 +3,13 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from courant.functions import hygiene as Y
-from courant.operators.ratelimit import admit, rate_limit
+from courant.operators.ratelimit import admit, follow, rate_limit
 
 
 def verdicts(spark, urls, names):
@@ -77,3 +78,46 @@ def test_rate_limit_like_a_loop(spark, limit, window, parts):
     got = rate_limit(df, "key", "at", "i", limit, window)
     assert {r.i: r.allowed for r in got.collect()} == want
     assert not all(want.values()) and re.fullmatch("i,key,at,allowed", ",".join(got.columns))
+
+
+def looped(rows, limit, window):
+    kept, want = {}, {}
+    for i, key, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        micros = int((at - datetime(2024, 1, 1)).total_seconds() * 1e6)
+        want[i] = admit(kept.setdefault(key, []), micros, limit, window * 10**6)
+    return want
+
+
+@pytest.mark.parametrize("limit, step, slots", [(10, 3, 4), (3, 1, 2), (2, 5, 1), (7, 2, 64)])
+def test_rate_limit_of_a_key_that_is_never_quiet(spark, monkeypatch, limit, step, slots):
+    rnd, start = random.Random(limit), datetime(2024, 1, 1)
+    rows = [(i, "one", start + timedelta(seconds=step * i + rnd.random())) for i in range(3000)]
+    rows += [(9000 + i, "one", rows[500][2]) for i in range(40)] + [(9900, None, start), (9901, "two", start)]
+    df = spark.createDataFrame(rows, "i int, key string, at timestamp").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rate_limit(df, "key", "at", "i", limit, 60, slots).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = looped(rows, limit, 60)
+    assert {r.i: r.allowed for r in got} == want
+    assert sum(want.values()) < 2000 or slots == 64
+    assert slots == 64 or len({r.task for r in got if r.key == "one"}) > 1
+
+
+def test_rate_limit_without_time_or_rows(spark):
+    rows = [(1, "a", None), (2, "a", datetime(2024, 1, 1)), (3, None, datetime(2024, 1, 1)), (4, None, datetime(2024, 1, 1))]
+    df = spark.createDataFrame(rows, "i int, key string, at timestamp")
+    got = rate_limit(df, "key", "at", "i", 1, 60)
+    assert {r.i: r.allowed for r in got.collect()} == {1: None, 2: True, 3: True, 4: False}
+    assert rate_limit(df.limit(0), "key", "at", "i").collect() == []
+
+
+def test_follow_jumps(monkeypatch):
+    times, seen = np.sort(np.random.default_rng(1).integers(0, 10**6, 20_000)), []
+    allowed, want = [], []
+    for t in times.tolist():
+        admit(want, t, 5, 1000)
+    monkeypatch.setattr("courant.operators.ratelimit.admit", lambda *a: seen.append(1) or admit(*a))
+    follow(allowed, times, 5, 1000)
+    assert allowed == want and len(seen) < 11_000
