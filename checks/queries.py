@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.views import DAY_LIMIT, PREFERRED, WORDS, Views, as_of
+from checks.views import DAY_LIMIT, LATENESS, PREFERRED, WORDS, Views, as_of
 from courant.functions import answers as A
 from courant.functions import html as H
 from courant.functions import hygiene as Y
@@ -679,14 +679,14 @@ def stream_briefing(v):
 
 @query
 def stream_failures(v):
-    counted = jobs.failure_stream(v.checks_of(v.event_stream))
+    counted = jobs.failure_stream(v.checks_of(v.arriving_events), lateness_seconds=LATENESS)
     return _drained(v, counted, "failures").select("check_id", "source_id", "status", "failures")
 
 
 @query
 def stream_rate_limit(v):
-    tries = v.attempts_of(v.event_stream)
-    decided = jobs.rate_limit_stream(tries, "user_id", "ts", "event_id", DAY_LIMIT, 86400)
+    tries = v.attempts_of(v.arriving_events)
+    decided = jobs.rate_limit_stream(tries, "user_id", "ts", "event_id", DAY_LIMIT, 86400, LATENESS)
     return _drained(v, decided, "attempts").select("event_id", "user_id", "allowed")
 
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courant.functions.html import SUMMARY_CHARS, clip
-from courant.session import configure
+from courant.session import configure, shared_folder
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
 DAY_LIMIT = 3
+ARRIVALS, LATENESS = 6, 8 * 86400  # files of a stream, and seconds that cover a file and two days
 WORDS = {"ri": ["ring"], "bo": ["bolt", "rod"], "gi": ["gizmo", "gear"]}
 PREFERRED = "red"
 
@@ -156,6 +158,22 @@ class Views:
         schema = self.table("events").schema
         return self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.folder)
 
+    @cached_property
+    def arriving_events(self) -> DataFrame:
+        """Events as they might come in: each up to two days after its time, file by file; one more closes the stream."""
+        path = f"{shared_folder(self.spark)}/arriving-{uuid4().hex}"
+        events = self.table("events")
+        came = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86400))
+        first, last, newest = events.agg(F.min(came), F.max(came), F.max("ts")).first()
+        step = (last - first) // ARRIVALS + 1
+        for start in range(first, last + 1, step):
+            events.where((came >= start) & (came < start + step)).write.mode("append").parquet(path)
+        closing = {"ts": F.lit(newest) + F.expr("INTERVAL 60 DAYS")}
+        self.spark.range(1).select(
+            *[closing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]
+        ).write.mode("append").parquet(path)
+        return self.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
     @cached_property
     def checks(self) -> DataFrame:
         return self.checks_of(self.table("events"))

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from courant.operators.ranking import attach_industry, attach_source, score_articles
-from courant.operators.ratelimit import LIMIT, WINDOW_SECONDS, admit
+from courant.operators.ratelimit import LIMIT, WINDOW_SECONDS
 from courant.plans.briefs import ORDER, fresh_links, with_summary
 from courant.sources.tables import first_per_key
+from courant.streaming.inorder import Failures, RateLimit, in_order
 
 SEEN_DAYS = 7
 SEEN_FOR = f"{SEEN_DAYS} days"
-NEVER_LATE = "2262-01-01"
 
 
 def unseen_stream(articles: DataFrame, time: str = "published_at", key: str = "url") -> DataFrame:
@@ -26,77 +22,39 @@ def unseen_stream(articles: DataFrame, time: str = "published_at", key: str = "u
     return articles.withWatermark(time, SEEN_FOR).dropDuplicatesWithinWatermark([key])
 
 
-def next_failures(count: int, status: str) -> int:
-    return count + 1 if status == "error" else 0
+def failure_stream(
+    checks: DataFrame, time: str = "checked_at", tie: str = "check_id", lateness_seconds: int = 3600,
+) -> DataFrame:
+    """Checks with their failures in a row, counted in the order of their times.
 
+    A check comes out once the watermark, `lateness_seconds` behind the newest
+    one, has passed it; until then earlier ones may arrive in any order. One that
+    comes later still has null failures and counts for nothing.
+    """
+    processor = Failures(checks.columns, "failures", tie, _bucket_ms(lateness_seconds))
+    return in_order(checks, "source_id", time, T.StructField("failures", T.LongType()), lateness_seconds, processor)
 
-def failure_stream(checks: DataFrame, time: str = "checked_at", tie: str = "check_id") -> DataFrame:
-    """Checks with their failures in a row; one counter of state per source.
 
-    Checks of a source are taken in time order inside a micro-batch and have to
-    arrive in order from one micro-batch to the next.
-    """
-    schema = T.StructType([*checks.schema.fields, T.StructField("failures", T.LongType())])
-
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values([time, tie])
-        counts = []
-        for status in rows["status"]:
-            failures = next_failures(failures, status)
-            counts.append(failures)
-        state.update((failures,))
-        yield rows.assign(failures=counts)
-
-    return checks.groupBy("source_id").applyInPandasWithState(
-        count, schema, "failures long", "append", GroupStateTimeout.NoTimeout
-    )
+def _bucket_ms(lateness_seconds: int) -> int:
+    """An eighth of the lateness: what a row may wait longer than it has to."""
+    return max(1, lateness_seconds * 125)
 
 
 def rate_limit_stream(
     attempts: DataFrame, key: str, time: str, tie: str,
-    limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS,
+    limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS, lateness_seconds: int | None = None,
 ) -> DataFrame:
-    """Attempts with their verdict; state is the allowed times still in the window.
+    """Attempts with their verdict, given in the order of their times.
 
-    Verdicts are given on arrival. An attempt behind the watermark, a window
-    behind the newest one, or without a time comes out with a null verdict and
-    counts for nothing. The state of a key that stays quiet is dropped once the
-    watermark is a window past its last allowed attempt.
+    Verdicts come out as the watermark passes; it stays `lateness_seconds` (a
+    window, if not given) behind the newest attempt. An attempt behind it, or
+    without a time, has a null verdict and counts for nothing. State is the
+    attempts that wait and the allowed times of the last window, which a timer
+    clears.
     """
-    window = window_seconds * 1_000_000
-    timed = attempts.withColumn("_at", F.unix_micros(F.col(time).cast("timestamp"))).withColumn(
-        "_event", F.col(time).cast("timestamp")
-    ).withWatermark("_event", f"{window_seconds} seconds")
-    # Spark drops rows by the column that carries the watermark's mark before the function sees
-    # them; that column holds a time that is never late, so that late rows come out, too.
-    mark = {"spark.watermarkDelayMs": window // 1000}
-    never = F.greatest("_event", F.lit(NEVER_LATE).cast("timestamp")).alias("_never", metadata=mark)
-    timed = timed.select(*attempts.columns, "_at", never)
-    schema = T.StructType([*attempts.schema.fields, T.StructField("allowed", T.BooleanType())])
-
-    def decide(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        allowed = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["_at", tie])
-        watermark = state.getCurrentWatermarkMs()
-        verdicts = []
-        for at in rows["_at"].tolist():
-            if at != at or watermark > 0 and at < watermark * 1000:
-                verdicts.append(None)
-            else:
-                verdicts.append(admit(allowed, int(at), limit, window))
-                allowed.sort()  # an attempt may be older than those of earlier micro-batches
-        if allowed:
-            state.update((allowed,))
-            state.setTimeoutTimestamp(max((allowed[-1] + window) // 1000, watermark + 1))
-        yield rows.drop(columns=["_at", "_never"]).assign(allowed=pd.Series(verdicts, rows.index, object))
-
-    return timed.groupBy(key).applyInPandasWithState(
-        decide, schema, "allowed array<long>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    lateness = window_seconds if lateness_seconds is None else lateness_seconds
+    processor = RateLimit(attempts.columns, "allowed", tie, _bucket_ms(lateness), limit, window_seconds * 1_000_000)
+    return in_order(attempts, key, time, T.StructField("allowed", T.BooleanType()), lateness, processor)
 
 
 def briefing_stream(

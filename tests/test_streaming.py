@@ -27,24 +27,36 @@ def drained(spark, stream, tmp_path, mode="append"):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@pytest.mark.parametrize("files", [1, 3])
-def test_failures(spark, tmp_path, files):
-    rnd = random.Random(1)
-    rows = [(i, rnd.randrange(4), rnd.choice(["error", "error", "healthy", "warning"]), T0 + timedelta(minutes=i // 2)) for i in range(120)]
-    checks = spark.createDataFrame(rows, "check_id int, source_id int, status string, checked_at timestamp")
-    stream = jobs.failure_stream(in_files(checks, "check_id", files, str(tmp_path / "in")))
-    got = {r.check_id: r.failures for r in drained(spark, stream, tmp_path).collect()}
-    assert got == {r.check_id: r.failures for r in consecutive_failures(checks).collect()}
-
-
-@pytest.mark.parametrize("files", [1, 4])
-def test_rate_limit(spark, tmp_path, files):
+def arriving(rows, columns, spark, seed, delay):
+    """Rows numbered as they arrive, each up to `delay` seconds after its time, then one that closes all before it."""
+    rnd = random.Random(seed)
+    came = sorted(rows, key=lambda r: r[-1] + timedelta(seconds=rnd.uniform(0, delay)))
+    last = (None,) * (len(rows[0]) - 1) + (T0 + timedelta(days=30),)
+    return spark.createDataFrame([(n, *r) for n, r in enumerate([*came, last])], "n int, " + columns)
+
+
+@pytest.mark.parametrize("files, delay", [(2, 0), (7, 600), (7, 7200)])
+def test_failures_in_any_order(spark, tmp_path, files, delay):
+    rnd = random.Random(files)
+    rows = [(i, rnd.randrange(4), rnd.choice(["error", "error", "healthy", "warning"]), T0 + timedelta(minutes=i // 2)) for i in range(160)]
+    columns = "check_id int, source_id int, status string, checked_at timestamp"
+    stream = in_files(arriving(rows, columns, spark, 5, delay), "n", files, str(tmp_path / "in")).drop("n")
+    got = drained(spark, jobs.failure_stream(stream, lateness_seconds=max(60, delay)), tmp_path).collect()
+    want = consecutive_failures(spark.createDataFrame(rows, columns)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("files, delay", [(2, 0), (8, 15), (8, 120)])
+def test_rate_limit_in_any_order(spark, tmp_path, monkeypatch, files, delay):
+    monkeypatch.setattr("courant.streaming.inorder.CHUNK_ROWS", 3)
     rnd = random.Random(2)
-    rows = [(i, rnd.choice("aab"), T0 + timedelta(seconds=2 * i)) for i in range(150)]
-    tries = spark.createDataFrame(rows, "i int, key string, at timestamp")
-    stream = jobs.rate_limit_stream(in_files(tries, "i", files, str(tmp_path / "in")), "key", "at", "i", 3, 20)
-    got = {r.i: r.allowed for r in drained(spark, stream, tmp_path).collect()}
-    assert got == {r.i: r.allowed for r in rate_limit(tries, "key", "at", "i", 3, 20).collect()}
+    rows = [(i, rnd.choice(["a", "a", "b", None]), T0 + timedelta(seconds=i + rnd.random())) for i in range(150)]
+    columns = "i int, key string, at timestamp"
+    stream = in_files(arriving(rows, columns, spark, 6, delay), "n", files, str(tmp_path / "in")).drop("n")
+    decided = jobs.rate_limit_stream(stream, "key", "at", "i", 3, 20, max(20, delay))
+    got = drained(spark, decided, tmp_path).collect()
+    want = rate_limit(spark.createDataFrame(rows, columns), "key", "at", "i", 3, 20).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
 
 
 @pytest.mark.parametrize("files", [4, 7])
@@ -52,12 +64,13 @@ def test_late_attempts_come_out_without_verdict(spark, tmp_path, files):
     rnd, late = random.Random(3), {80, 81, 120, 149}
     rows = [(i, rnd.choice("aab"), T0 + timedelta(seconds=1 if i in late else 2 * i)) for i in range(150)]
     rows[120] = (120, "only late", rows[120][2])
+    rows += [(150, "a", None), (151, None, T0 + timedelta(days=1))]
     tries = spark.createDataFrame(rows, "i int, key string, at timestamp")
     stream = jobs.rate_limit_stream(in_files(tries, "i", files, str(tmp_path / "in")), "key", "at", "i", 3, 20)
     got = {r.i: r.allowed for r in drained(spark, stream, tmp_path).collect()}
-    in_time = tries.where(~F.col("i").isin(*late))
+    in_time = tries.where(~F.col("i").isin(*late, 151))
     want = {r.i: r.allowed for r in rate_limit(in_time, "key", "at", "i", 3, 20).collect()}
-    assert got == want | dict.fromkeys(late)
+    assert got == want | dict.fromkeys([*late, 150])
 
 
 def test_unseen(spark, tmp_path):
