@@ -16,7 +16,7 @@ from courant.functions import keywords as K
 from courant.functions import scores as S
 from courant.functions.display import quote_display
 from courant.operators import dedup, delivery, health, quotes, ranking, retention, schedules
-from courant.operators.links import count_anchors, extract_links, page_texts, paragraph_faults, selectors_of
+from courant.operators.links import count_anchors, extract_links, page_texts, paragraph_faults
 from courant.operators.ratelimit import rate_limit
 from courant.plans import briefs, reports
 from courant.plans.health import health_check as health_check_plan
@@ -154,7 +154,7 @@ def extract_links_by_source(v):
     own = F.when(F.col("page_id") % 4 == 1, "nav a").when(F.col("page_id") % 4 == 2, "div.extra")
     own = own.when(F.col("page_id") % 4 == 3, "div > a")
     chosen = v.pages.withColumn("link_selector", own)
-    return extract_links(chosen, selectors=selectors_of(chosen))
+    return extract_links(chosen, selector_col="link_selector")
 
 
 @query

@@ -9,7 +9,7 @@ entities and `&nbsp;` are decoded.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -21,6 +21,7 @@ from courant.functions.urls import join_parts, let, url_path, url_scheme
 
 _MARK = "\u0001"
 _ATTRS = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
+_ANCHOR = r"(?i:<a)(?=[\s>/])"
 _BLANKS = " \t\n\r\f\x0b\u00a0\u3000"
 
 # Limits and phrases of the paragraph filters.
@@ -249,17 +250,17 @@ def anchors(html: Column, selector: str | None = None) -> Column:
     scope = without_code(html)
     for i, step in enumerate(steps, 1):
         scope = F.array_join(element_blocks(scope, step, outer=not direct and i == len(steps)), "")
-    found = F.filter(
-        _pieces(scope, r"(?i:<a)(?=[\s>/])"), lambda p: p.rlike("^" + last.pattern)
-    )
-    return F.transform(
-        found,
-        lambda p: F.struct(
-            F.regexp_extract(p, rf"^<[aA]({_ATTRS})>", 1).alias("attrs"),
-            F.regexp_replace(
-                F.regexp_replace(p, rf"^<[aA]{_ATTRS}>", ""), r"(?is)</a(?=[\s>]).*$", ""
-            ).alias("inner"),
-        ),
+    found = F.filter(_pieces(scope, _ANCHOR), lambda p: p.rlike("^" + last.pattern))
+    return F.transform(found, anchor_of)
+
+
+def anchor_of(piece: Column) -> Column:
+    """(attrs, inner) of a piece that starts with an anchor's tag."""
+    return F.struct(
+        F.regexp_extract(piece, rf"^<[aA]({_ATTRS})>", 1).alias("attrs"),
+        F.regexp_replace(
+            F.regexp_replace(piece, rf"^<[aA]{_ATTRS}>", ""), r"(?is)</a(?=[\s>]).*$", ""
+        ).alias("inner"),
     )
 
 
@@ -273,32 +274,6 @@ def count_selected(html: Column, selector: str | None = None) -> Column:
     return F.size(F.filter(tags, lambda p: p.rlike("^" + last.pattern)))
 
 
-def supported(selectors: Sequence[str | None]) -> dict[str | None, str | None]:
-    """Per selector, null or what is wrong with it."""
-
-    def fault(selector: str | None) -> str | None:
-        try:
-            parse_selector(selector)
-        except ValueError as e:
-            return str(e)
-        return None
-
-    return {s: fault(s) for s in selectors}
-
-
-def by_selector(which: Column, selectors: Sequence[str | None], value: Callable[[str | None], Column]) -> Column:
-    """`value` for the selector each row names; null where it is not supported.
-
-    Null and the empty text name the default. One scan serves all selectors.
-    """
-    default = value(None)
-    chosen = F.when(F.coalesce(which, F.lit("")) == "", default)
-    for s, fault in supported(selectors).items():
-        if s and fault is None:
-            chosen = chosen.when(which == s, value(s))
-    return chosen
-
-
 def link_targets(found: Column, base: Column) -> Column:
     """Anchors with a usable target: array of (pos, url, title), not yet distinct.
 

@@ -2,51 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courant.functions import html as H
+from courant.functions.selectors import own_anchors, own_count, selector_fault
 from courant.functions.urls import split_base
 
-MAX_SELECTORS = 200
-
-
-def selectors_of(sources: DataFrame, selector_col: str = "link_selector") -> list[str | None]:
-    """The distinct selectors of a configuration; one expression is made for each."""
-    rows = sources.select(F.col(selector_col).alias("s")).distinct().orderBy("s").limit(MAX_SELECTORS + 1).collect()
-    if len(rows) > MAX_SELECTORS:
-        raise ValueError(f"more than {MAX_SELECTORS} different selectors")
-    return [r["s"] for r in rows]
-
 
 def selector_faults(sources: DataFrame, selector_col: str = "link_selector") -> DataFrame:
     """(id, error) of the sources whose selector is not supported: they fail, the others go on."""
-    faults = {s: e for s, e in H.supported(selectors_of(sources, selector_col)).items() if e}
-    error = F.lit(None).cast("string")
-    for s, e in faults.items():
-        error = F.when(F.col(selector_col) == s, e).otherwise(error)
-    return sources.select("id", error.alias("error")).where("error IS NOT NULL")
+    return sources.select("id", selector_fault(F.col(selector_col)).alias("error")).where("error IS NOT NULL")
 
 
 def extract_links(
     pages: DataFrame, selector: str | None = None, base: str = "url", keep: tuple[str, ...] = ("page_id",),
-    selectors: Sequence[str | None] | None = None, selector_col: str = "link_selector",
+    selector_col: str | None = None,
 ) -> DataFrame:
     """One row (page columns, pos, title, url) per article link of each page.
 
-    One selector serves all pages or, with `selectors`, each page names its own
-    one of them; a page with one that is not supported has no links.
+    One selector serves all pages or, with `selector_col`, each page names its
+    own in that column; a page with one that is not supported has no links.
 
     Repeats of a url are dropped before short titles are, so a first occurrence
     with a poor title hides a later good one. Everything happens inside the
     page's row: no shuffle.
     """
     html = F.col("html")
-    found = H.anchors(html, selector) if selectors is None else H.by_selector(
-        F.col(selector_col), selectors, lambda s: H.anchors(html, s)
-    )
+    found = H.anchors(html, selector) if selector_col is None else own_anchors(html, F.col(selector_col))
     staged = pages.select(*keep, split_base(F.col(base)).alias("_base"), found.alias("_a"))
     staged = staged.select(*keep, H.link_targets(F.col("_a"), F.col("_base")).alias("_links"))
     staged = staged.select(*keep, "_links", F.col("_links")["url"].alias("_urls"))
@@ -61,19 +44,14 @@ def extract_links(
     )
 
 
-def count_anchors(
-    pages: DataFrame, selector: str | None = None, selectors: Sequence[str | None] | None = None,
-    selector_col: str = "link_selector",
-) -> DataFrame:
+def count_anchors(pages: DataFrame, selector: str | None = None, selector_col: str | None = None) -> DataFrame:
     """Pages with the number of elements the selector matches, before any link rule.
 
-    With `selectors`, each row's own one counts; null where it is not supported.
+    With `selector_col`, each row's own one counts; null where it is not supported.
     """
     html = F.col("html")
-    if selectors is None:
-        return pages.withColumn("n_links", H.count_selected(html, selector))
-    own = H.by_selector(F.col(selector_col), selectors, lambda s: H.count_selected(html, s))
-    return pages.withColumn("n_links", own)
+    found = H.count_selected(html, selector) if selector_col is None else own_count(html, F.col(selector_col))
+    return pages.withColumn("n_links", found)
 
 
 def page_texts(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:

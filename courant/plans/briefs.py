@@ -14,7 +14,7 @@ from courant.functions import answers as A
 from courant.functions import html as H
 from courant.operators import delivery, quotes as Q, ranking as R
 from courant.operators.dedup import dedup_titles
-from courant.operators.links import extract_links, selector_faults, selectors_of
+from courant.operators.links import extract_links, selector_faults
 from courant.plans import reports
 from courant.session import small_side
 from courant.sources.tables import seen_rows, unseen
@@ -36,7 +36,7 @@ def fresh_links(
     if sources is None:
         return unseen(extract_links(ok, selector, keep=keep), seen)
     own = small_side(sources.select(F.col("id").alias("source_id"), "link_selector"))
-    found = extract_links(ok.join(own, "source_id", "left"), keep=keep, selectors=selectors_of(sources))
+    found = extract_links(ok.join(own, "source_id", "left"), keep=keep, selector_col="link_selector")
     return unseen(found, seen)
 
 

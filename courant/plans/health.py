@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courant.operators import health
-from courant.operators.links import count_anchors, selectors_of
+from courant.operators.links import count_anchors
 
 UNSUPPORTED = "selector not supported"
 
@@ -29,7 +29,7 @@ def health_check(fetched: DataFrame, history: DataFrame, sources: DataFrame, as_
     link_selector; `history` is the log of earlier checks. A source whose
     selector is not supported fails, the others go on.
     """
-    counted = count_anchors(fetched, selectors=selectors_of(fetched))
+    counted = count_anchors(fetched, selector_col="link_selector")
     broken = (F.col("outcome") == "ok") & F.col("n_links").isNull() & F.col("html").isNotNull()
     counted = counted.withColumns({
         "message": F.when(broken, UNSUPPORTED).otherwise(F.col("message")),

@@ -1,3 +1,5 @@
+import random
+import re
 from urllib.parse import urljoin
 
 import pytest
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courant.functions import html as H
 from courant.functions.urls import join_url
-from courant.operators.links import count_anchors, extract_links, selector_faults, selectors_of
+from courant.operators.links import count_anchors, extract_links, selector_faults
 
 BASE = "https://news.example.com"
 
@@ -45,23 +47,90 @@ def test_link_rules(spark, html, want):
 
 
 def test_selectors(spark):
-    html = """<div class="top news-list x"><div><a href="/news/article-in-list">Story in the list</a></div>
-      <a class="big title" href="/news/second">Second story</a></div>
-      <nav id="menu"><a href="/nav/about-page">Navigation link</a></nav>
-      <ul class="article-list"><li><a href="/news/alpha">Story alpha</a></li><li><a href="/news/beta">Story beta</a></li></ul>"""
+    html = """<div class="wide stack x"><div><a href="/read/in-stack">Story in the stack</a></div>
+      <a class="big lead" href="/read/other">The other story</a></div>
+      <nav id="bar"><a href="/bar/who-we-are">Who we are, in the bar</a></nav>
+      <ul class="rows"><li><a href="/read/row-one">Story row one</a></li><li><a href="/read/row-two">Story row two</a></li></ul>"""
     urls = lambda s: [u.rsplit("/", 1)[1] for _, u in links(spark, html, s)]
-    assert urls(".news-list a") == ["article-in-list", "second"]
-    assert urls("div.news-list a.title") == ["second"]
-    assert urls(".article-list li") == ["alpha", "beta"]
-    assert urls("#menu") == ["about-page"]
-    assert urls("nav#menu a") == ["about-page"]
-    assert urls(".list") == []
-    assert urls(None) == ["article-in-list", "second", "about-page", "alpha", "beta"]
+    assert urls(".stack a") == ["in-stack", "other"]
+    assert urls("div.stack a.lead") == ["other"]
+    assert urls(".rows li") == ["row-one", "row-two"]
+    assert urls("#bar") == ["who-we-are"]
+    assert urls("nav#bar a") == ["who-we-are"]
+    assert urls(".row") == []
+    assert urls(None) == ["in-stack", "other", "who-we-are", "row-one", "row-two"]
     for bad in ("a:first-child", "div > a", "a[href]", "*"):
         with pytest.raises(ValueError):
             links(spark, html, bad)
 
 
+class Tree:
+    """A random well-formed page: its text, and for each tag the steps that lead to it."""
+
+    def __init__(self, seed):
+        self.rnd, self.text, self.paths, self.anchors = random.Random(seed), "", [], 0
+        self.grow((), 0)
+
+    def grow(self, path, depth):
+        for _ in range(self.rnd.randrange(1, 4)):
+            tag = self.rnd.choice(["div", "ul", "nav", "p", "a", "span"])
+            kinds = self.rnd.sample(["k0", "k1", "k2", "k3-x"], self.rnd.randrange(3))
+            name = self.rnd.choice(["", "", "i0", "i1"])
+            n = self.anchors
+            self.anchors += tag == "a"
+            self.text += f"<{tag} href='/story/{n}'" + (f' class="{" ".join(kinds)}"' if kinds else "") + (f" id={name}" if name else "") + ">"
+            here = (*path, (tag, kinds, name))
+            self.paths.append((here, n if tag == "a" else None))
+            if depth < 4 and tag != "a" and self.rnd.random() < 0.8:
+                self.grow(here, depth + 1)
+            self.text += f"story text {n}</{tag}>"
+
+    def meets(self, step, tag):
+        m = re.fullmatch(r"(\w*)(?:([.#])([\w-]+))?", step)
+        if not m:
+            attr, value = re.fullmatch(r"\[(class|id)\*='([\w-]+)'\]", step).groups()
+            return value in (" ".join(tag[1]) if attr == "class" else tag[2])
+        return m[1] in ("", tag[0]) and (not m[2] or (m[3] in tag[1] if m[2] == "." else m[3] == tag[2]))
+
+    def selected(self, path, steps):
+        """Whether the last tag of a path is what the steps choose."""
+        rest = iter(path[:-1])
+        return self.meets(steps[-1], path[-1]) and all(any(self.meets(s, t) for t in rest) for s in steps[:-1])
+
+    def count(self, steps):
+        return sum(self.selected(p, steps) for p, _ in self.paths)
+
+    def links(self, steps):
+        if steps[-1].split(".")[0].split("#")[0] == "a":
+            return [n for p, n in self.paths if n is not None and self.selected(p, steps)]
+        return [n for p, n in self.paths if n is not None and any(self.selected(p[:i], steps) for i in range(1, len(p) + 1))]
+
+
+def test_a_thousand_selectors_in_one_pass(spark):
+    rnd, chosen = random.Random(3), {}
+    while len(chosen) < 1000:
+        steps = [rnd.choice(["", "div", "ul", "nav", "p", "span", "a"]) + rnd.choice(["", ".k0", ".k1", ".k2", ".k3-x", "#i0", "#i1"])
+                 for _ in range(rnd.randrange(1, 4))]
+        steps = [s or rnd.choice(["[class*='k3']", "[id*='i']", ".none"]) for s in steps]
+        chosen[rnd.choice([" ", "  "]).join(steps)] = steps
+    trees = [Tree(i) for i in range(25)]
+    rows = [(i, BASE, trees[i % 25].text, s) for i, s in enumerate(chosen)]
+    rows += [(2000, BASE, trees[0].text, "div > a"), (2001, BASE, None, "div a"), (2002, BASE, trees[0].text, "  "), (2003, BASE, "", ".k0 a")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, link_selector string").repartition(4)
+    counted = {r.page_id: r.n_links for r in count_anchors(df, selector_col="link_selector").collect()}
+    found = {}
+    for r in extract_links(df, selector_col="link_selector").orderBy("page_id", "pos").collect():
+        found.setdefault(r.page_id, []).append(int(r.url.rsplit("/", 1)[1]))
+    for i, steps in enumerate(chosen.values()):
+        tree = trees[i % 25]
+        assert counted[i] == tree.count(steps), steps
+        assert found.get(i, []) == tree.links(steps), steps
+    assert counted[2000] is None and counted[2002] == trees[0].anchors and counted[2003] == 0
+    assert 2000 not in found and len(found[2002]) == trees[0].anchors
+    faults = selector_faults(df.withColumnRenamed("page_id", "id")).collect()
+    assert [(r.id, r.error) for r in faults] == [(2000, "selector not supported: >")]
+
+
 def test_count_is_before_the_rules(spark):
     df = spark.createDataFrame([('<a href="#x">x</a><a>y</a><p>',), ("<p>none</p>",)], "html string")
     assert [r.n_links for r in count_anchors(df).collect()] == [2, 0]
@@ -105,10 +174,9 @@ def test_selected_anchors_and_elements(spark):
     assert [u.rsplit("/", 1)[1] for _, u in links(spark, html, ".title")] == ["first", "second"]
     df = spark.createDataFrame([(1, BASE, html, ".title"), (2, BASE, html, "a:hover"), (3, BASE, html, None)],
                                "page_id long, url string, html string, link_selector string")
-    own = selectors_of(df)
-    counted = {r.page_id: r.n_links for r in count_anchors(df, selectors=own).collect()}
+    counted = {r.page_id: r.n_links for r in count_anchors(df, selector_col="link_selector").collect()}
     assert counted == {1: 2, 2: None, 3: 3}
-    assert {r.page_id for r in extract_links(df, selectors=own).collect()} == {1, 3}
+    assert {r.page_id for r in extract_links(df, selector_col="link_selector").collect()} == {1, 3}
     faults = selector_faults(df.select(F.col("page_id").alias("id"), "link_selector")).collect()
     assert [r.id for r in faults] == [2]
     empty = spark.createDataFrame([(1, "<div class='list'><p>x</p></div>")], "page_id long, html string")
