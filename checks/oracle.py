@@ -752,11 +752,20 @@ add("morning_report", """
 add("evening_report", "SELECT * FROM evening")
 add("quote_display", "SELECT item_pos, price_text, change_text, direction, time_text FROM shown")
 DETAIL = {f"d_{k}": re.sub(r"\bt_(clean|area|cut|paras)\b", r"d_t_\1", v) for k, v in texts("details").items()}
-add("morning_brief", """
+BRIEF_ROWS = """
     SELECT industry_id, rank::INT AS rank, source_id, page_id, pos, title, url, summary, round(score, 6) AS score
     FROM (SELECT *, row_number() OVER (PARTITION BY industry_id ORDER BY score DESC, source_id, page_id, pos) AS rank
           FROM brief_scored) WHERE rank <= top_n
-      AND industry_id IN (SELECT industry_id FROM ready_morning WHERE reason IS NULL)""", {
+      AND industry_id IN (SELECT industry_id FROM ready_morning WHERE reason IS NULL)"""
+BRIEF_STEPS = {
+    "brief_first": """SELECT *, row_number() OVER (ORDER BY source_id, page_id, pos) AS id FROM (
+        SELECT *, row_number() OVER (PARTITION BY scope, title ORDER BY source_id, page_id, pos) AS nth FROM known)
+        WHERE nth = 1""",
+    **greedy(title_edges("brief_first", 0.85, "scope")),
+    "brief_once": "SELECT * FROM brief_first WHERE id NOT IN (SELECT id FROM gone)",
+    **{("brief_" + k): v.replace("FROM judged", "FROM brief_judged") for k, v in judged("brief_once").items()},
+}
+add("morning_brief", BRIEF_ROWS, {
     **FRESH,
     "details": "SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY 1",
     **DETAIL,
@@ -764,12 +773,31 @@ add("morning_brief", """
     "known": f"""SELECT f.source_id, f.page_id, f.pos, f.title, f.url, coalesce(summary, '') AS summary,
         {AS_OF} AS published_at, s.industry_id AS scope
         FROM fresh f JOIN v_sources s ON s.id = f.source_id LEFT JOIN summaries m ON m.url = f.url""",
-    "brief_first": """SELECT *, row_number() OVER (ORDER BY source_id, page_id, pos) AS id FROM (
-        SELECT *, row_number() OVER (PARTITION BY scope, title ORDER BY source_id, page_id, pos) AS nth FROM known)
-        WHERE nth = 1""",
-    **greedy(title_edges("brief_first", 0.85, "scope")),
-    "brief_once": "SELECT * FROM brief_first WHERE id NOT IN (SELECT id FROM gone)",
-    **{("brief_" + k): v.replace("FROM judged", "FROM brief_judged") for k, v in judged("brief_once").items()},
+    **BRIEF_STEPS,
+})
+OWN_SCOPE = (
+    "CASE WHEN source_id % 4 = 1 THEN " + scoped(r"(?is)<nav[\s>].*?</nav\s*>") + " WHEN source_id % 4 = 2 THEN "
+    + scoped(r'(?is)<div class="extra">.*?</div>') + " WHEN source_id = 7 THEN '' ELSE clean END"
+)
+OWN_FRESH = {**links("v_pages", OWN_SCOPE), "fresh": FRESH["fresh"]}
+ASKED = {
+    **OWN_FRESH, "details": "SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY 1", **DETAIL,
+    "texts": f"SELECT url, {SUMMARY} AS summary, {ARTICLE} AS art FROM d_t_paras",
+    "answered": f"""
+        SELECT f.*, s.industry_id AS scope, coalesce(t.summary, '') AS extracted, n % 2 = 1 AS en,
+               coalesce(length(art) >= CASE WHEN n % 2 = 0 THEN 100 ELSE 50 END, false) AS asks, f.title LIKE '%3' AS fails,
+               {clip(f"trim(split_part({head_tail('art')}, '.', 1), {BLANKS})")} AS answer
+        FROM fresh f JOIN (SELECT *, id AS n FROM v_sources) s ON s.id = f.source_id LEFT JOIN texts t ON t.url = f.url""",
+}
+add("morning_brief_errors", """
+    SELECT source_id, page_id, pos, 'ValueError: cannot read ' || title AS error FROM answered WHERE asks AND fails
+    UNION ALL SELECT id, NULL, NULL, 'selector not supported: >' FROM v_sources WHERE id = 7""", ASKED)
+add("morning_brief_summarized", BRIEF_ROWS, {
+    **ASKED,
+    "known": f"""SELECT source_id, page_id, pos, CASE WHEN en AND asks AND NOT fails THEN 'AI ' || title ELSE title END AS title,
+        url, coalesce(nullif(CASE WHEN asks AND NOT fails THEN answer END, ''), extracted) AS summary,
+        {AS_OF} AS published_at, scope FROM answered""",
+    **BRIEF_STEPS,
 })
 add("evening_brief", log_of("quoted", "evening", "scheduler"))
 
@@ -798,13 +826,18 @@ add("stream_failures", "SELECT check_id, source_id, status, failures FROM counte
 ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]
 
 add("stream_unseen", "SELECT DISTINCT 'https://e.example/' || user_id AS url FROM events")
-add("stream_briefing", """
-    SELECT industry_id, source_id, page_id, pos, title, url, summary, round(score, 6) AS score FROM stream_scored""", {
-    **FRESH, "details": "SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY 1", **DETAIL,
+STREAM_STEPS = {
+    "details": "SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY 1", **DETAIL,
     "summaries": f"SELECT url, {SUMMARY} AS summary FROM d_t_paras",
     "stream_first": f"""SELECT f.source_id, f.page_id, f.pos, f.title, f.url, coalesce(summary, '') AS summary,
         {AS_OF} AS published_at
         FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_id, page_id, pos) AS turn FROM fresh) f
         LEFT JOIN summaries m ON m.url = f.url WHERE turn = 1""",
     **{("stream_" + k): v.replace("FROM judged", "FROM stream_judged") for k, v in judged("stream_first").items()},
-})
+}
+add("stream_briefing", """
+    SELECT industry_id, source_id, page_id, pos, title, url, summary, round(score, 6) AS score FROM stream_scored""",
+    {**FRESH, **STREAM_STEPS})
+add("stream_briefing_by_source", """
+    SELECT industry_id, source_id, page_id, pos, url, round(score, 6) AS score FROM stream_scored""",
+    {**OWN_FRESH, **STREAM_STEPS})

@@ -606,6 +606,38 @@ def morning_brief(v):
     return brief.rows.select("industry_id", "rank", "source_id", "page_id", "pos", "title", "url", "summary", r6("score"))
 
 
+def failing_summarizer(lang, title, text):
+    """The first sentence, with a title of its own in English; fails where a title ends in 3."""
+    bad = [t for t in title if t.endswith("3")]
+    if bad:
+        raise ValueError(f"cannot read {bad[0]}")
+    lead = [t.split(".")[0] for t in text]
+    return [f"AI {t}|{s}" if code == "en" else s for code, t, s in zip(lang, title, lead)]
+
+
+def _summarized_brief(v):
+    return briefs.morning_brief(
+        v.pages, v.details, v.seen, v.selecting_sources, v.industries, v.recipients, v.smtp, as_of(),
+        summarizer=failing_summarizer,
+    )
+
+
+@query
+def morning_brief_summarized(v):
+    return _summarized_brief(v).rows.select(
+        "industry_id", "rank", "source_id", "page_id", "pos", "title", "url", "summary", r6("score")
+    )
+
+
+@query
+def morning_brief_errors(v):
+    brief = _summarized_brief(v)
+    nothing = F.lit(None)
+    return brief.unanswered.select("source_id", "page_id", "pos", "error").unionByName(
+        brief.failed.select(F.col("id").alias("source_id"), nothing.cast("long").alias("page_id"),
+                            nothing.cast("int").alias("pos"), "error"))
+
+
 @query
 def evening_brief(v):
     brief = briefs.evening_brief(
@@ -677,6 +709,16 @@ def stream_briefing(v):
     return rows.select("industry_id", "source_id", "page_id", "pos", "title", "url", "summary", r6("score"))
 
 
+@query
+def stream_briefing_by_source(v):
+    folder = f"{shared_folder(v.spark)}/briefing-{uuid4().hex}"
+    writer = jobs.briefing_stream(
+        v.page_stream, v.details, v.seen, v.selecting_sources, v.industries, as_of(), f"{folder}/rows"
+    )
+    writer.option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    return v.spark.read.parquet(f"{folder}/rows").select("industry_id", "source_id", "page_id", "pos", "url", r6("score"))
+
+
 @query
 def stream_failures(v):
     counted = jobs.failure_stream(v.checks_of(v.arriving_events), lateness_seconds=LATENESS)

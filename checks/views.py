@@ -61,6 +61,12 @@ class Views:
             F.when(n % 2 == 0, "zh").otherwise("en").alias("language"),
         )
 
+    @cached_property
+    def selecting_sources(self) -> DataFrame:
+        """Sources with selectors of their own: a path, a class on containers, one not supported."""
+        own = F.when(F.col("id") % 4 == 1, "nav a").when(F.col("id") % 4 == 2, "div.extra").when(F.col("id") == 7, "div > a")
+        return self.sources.withColumn("link_selector", own)
+
     @cached_property
     def industries(self) -> DataFrame:
         return self.spark.createDataFrame(INDUSTRIES, "id int, name string, top_n int, keywords string")

@@ -16,7 +16,7 @@ from courant.operators import delivery, quotes as Q, ranking as R
 from courant.operators.dedup import dedup_titles
 from courant.operators.links import extract_links, selector_faults
 from courant.plans import reports
-from courant.session import small_side
+from courant.session import checkpointed, small_side
 from courant.sources.tables import seen_rows, unseen
 
 ORDER = ["source_id", "page_id", "pos"]
@@ -43,26 +43,60 @@ def fresh_links(
 def with_summary(links: DataFrame, details: DataFrame) -> DataFrame:
     """Add the extracted summary of each link's own page, the empty text if it has none.
 
-    `details` holds one row per url. Its pages are cut down to their summaries
-    before the join, so that the join moves a line of text and not a page.
+    `details` holds one row per url. Only the pages of these links are read; they
+    are cut down to their summaries before the join, so that the join moves a
+    line of text and not a page.
     """
-    pages = details.select("url", H.extract_summary(F.col("html")).alias("_summary"))
+    wanted = details.join(links.select("url").distinct(), "url", "left_semi")
+    pages = wanted.select("url", H.extract_summary(F.col("html")).alias("_summary"))
     given = F.lit(None).cast("string")
     return links.join(pages, "url", "left").withColumn(
         "summary", A.or_extract(given, F.col("_summary"))
     ).drop("_summary")
 
 
+def with_answers(
+    links: DataFrame, details: DataFrame, sources: DataFrame, summarizer: Callable, default_lang: str = "zh"
+) -> DataFrame:
+    """Links with title, `summary` and `error` as the summarizer and the source's language make them.
+
+    A page is asked about once for each title and language it is linked with. What
+    was answered is written to the shared folder: a summarizer is dear and need
+    not say the same twice, so nothing that reads the result calls it again.
+    """
+    lang = sources.select(F.col("id").alias("source_id"), F.coalesce("language", F.lit(default_lang)).alias("lang"))
+    routed = links.join(small_side(lang), "source_id")
+    asked = routed.select("url", "lang", "title").distinct()
+    wanted = details.join(asked.select("url").distinct(), "url", "left_semi")
+    texts = wanted.select(
+        "url", H.extract_article_text(F.col("html")).alias("article_text"),
+        H.extract_summary(F.col("html")).alias("extracted"),
+    )
+    answered = checkpointed(
+        summarize_with(asked.withColumn("asked", F.col("title")).join(texts, "url"), summarizer)
+        .select("url", "lang", "asked", F.col("title").alias("_title"), "summary", "error")
+    )
+    return (
+        routed.withColumnRenamed("title", "asked").join(answered, ["url", "lang", "asked"], "left")
+        .withColumns({"title": F.coalesce("_title", "asked"), "summary": F.coalesce("summary", F.lit(""))})
+        .select(*links.columns, "summary", "error")
+    )
+
+
 def _answers(summarizer: Callable, rows: pd.DataFrame) -> tuple[list[str | None], list[str | None]]:
-    """Answers and errors of a batch; the rows of a failing one are tried one by one."""
+    """Answers and errors of a batch; a failing one is halved until its bad rows stand alone."""
     if rows.empty:
         return [], []
     try:
-        return list(summarizer(rows["lang"], rows["title"], rows["_body"])), [None] * len(rows)
+        answers = list(summarizer(rows["lang"], rows["title"], rows["_body"]))
+        if len(answers) != len(rows):
+            raise ValueError(f"{len(answers)} answers to {len(rows)} texts")
+        return answers, [None] * len(rows)
     except Exception as e:  # any failure of the user's function is reported with its row
         if len(rows) == 1:
             return [None], [f"{type(e).__name__}: {e}"]
-    parts = [_answers(summarizer, rows.iloc[i : i + 1]) for i in range(len(rows))]
+    half = len(rows) // 2
+    parts = [_answers(summarizer, part) for part in (rows.iloc[:half], rows.iloc[half:])]
     return [a for p, _ in parts for a in p], [e for _, q in parts for e in q]
 
 
@@ -73,8 +107,8 @@ def summarize_with(
 ) -> DataFrame:
     """Run a summarizer over `article_text`, batch by batch, and read its answers.
 
-    Where a batch fails, its rows are tried one by one, so that a bad row costs
-    its own answer only, whatever the size of a batch. `error` says why a row failed.
+    Where a batch fails, its halves are tried, so that a bad row costs its own
+    answer only and some calls more, two for each halving. `error` says why a row failed.
 
     `articles` has title, lang, article_text and extracted (the fallback). The
     function gets (lang, title, text) as Series and returns one answer per row,
@@ -112,13 +146,14 @@ def summarize_with(
 
 @dataclass
 class Brief:
-    """What a brief yields: ranked rows, mails, log rows, rows to remember, failed sources."""
+    """What a brief yields: ranked rows, mails, log rows, rows to remember, failed sources and summaries."""
 
     rows: DataFrame
     reports: DataFrame
     log: DataFrame
     seen: DataFrame | None = None
     failed: DataFrame | None = None  # sources that could not be read, and why
+    unanswered: DataFrame | None = None  # links whose summarizer failed, and why
 
 
 def rank_articles(
@@ -143,20 +178,31 @@ def morning_brief(
     pages: DataFrame, details: DataFrame, seen: DataFrame, sources: DataFrame,
     industries: DataFrame, recipients: DataFrame, smtp: DataFrame, as_of: Column,
     selector: str | None = None, triggered_by: str = "scheduler", errors: DataFrame | None = None,
+    summarizer: Callable | None = None,
 ) -> Brief:
     """Pages to mails. One snapshot of what was seen serves all industries of a run.
 
+    Where `sources` has `link_selector`, each source is read with its own. With a
+    `summarizer` (as in `summarize_with`), titles and summaries are its answers,
+    by the `language` of the source; titles are deduplicated after that.
     `errors` (industry_id, message) tells which mails could not be sent, so that the log says so.
     """
     ready = delivery.readiness(industries, sources, recipients, smtp, "morning")
     able = ready.where("reason IS NULL").select(F.col("industry_id").alias("id"))
     configured = sources if "link_selector" in sources.columns else None
-    links = with_summary(fresh_links(pages, seen, selector, configured), details).withColumn("published_at", as_of)
+    fresh = fresh_links(pages, seen, selector, configured)
+    if summarizer is None:
+        links, unanswered = with_summary(fresh, details), None
+    else:
+        links = with_answers(fresh, details, sources, summarizer)
+        unanswered = links.where("error IS NOT NULL").select(*ORDER, "url", "error")
+        links = links.drop("error")
+    links = links.withColumn("published_at", as_of)
     top = rank_articles(links, sources, industries.join(able, "id"), as_of)
     mails = reports.morning_report(top, smtp)
     log = delivery.log_rows(delivery.outcomes(ready, top, errors), mails, as_of, triggered_by)
     failed = None if configured is None else selector_faults(configured)
-    return Brief(top, mails, log, seen_rows(top, seen, ["industry_id", "rank"], as_of), failed)
+    return Brief(top, mails, log, seen_rows(top, seen, ["industry_id", "rank"], as_of), failed, unanswered)
 
 
 def evening_brief(

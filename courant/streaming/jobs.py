@@ -63,6 +63,8 @@ def briefing_stream(
 ) -> DataStreamWriter:
     """Scored fresh articles of each micro-batch of pages, appended under `out`.
 
+    Where `sources` has `link_selector`, each source's pages are read with its own.
+
     What earlier micro-batches wrote in the last seven days counts as seen; only
     the url column of those days' folders is read. A micro-batch writes its own
     folder, so one that is run again after a failure replaces its rows.
@@ -88,7 +90,8 @@ def scored_articles(
     as_of: Column, selector: str | None = None,
 ) -> DataFrame:
     """The batch form: one row per fresh url that passes the keywords, with its score."""
-    links = first_per_key(fresh_links(pages, seen, selector), ["url"], ORDER)
+    configured = sources if "link_selector" in sources.columns else None
+    links = first_per_key(fresh_links(pages, seen, selector, configured), ["url"], ORDER)
     articles = with_summary(links, details).withColumn("published_at", as_of)
     return score_articles(attach_industry(attach_source(articles, sources), industries), as_of).select(
         "industry_id", *ORDER, "title", "url", "summary", "score"

@@ -2,7 +2,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from courant.functions import answers as A
-from courant.plans.briefs import summarize_with
+from courant.plans.briefs import _answers, summarize_with, with_answers
 
 LONG = "a single line that is longer than thirty characters"
 
@@ -75,3 +75,41 @@ def test_summarize_falls_back(spark):
     for fn in (broken, silent):
         got = {r.title: r.summary for r in summarize_with(articles(spark), fn).collect()}
         assert got == {"T1": "ext1", "T2": "ext2", "T3": "ext3"}
+
+
+def test_a_bad_row_costs_two_calls_for_each_halving():
+    rows = pd.DataFrame({"lang": "zh", "title": [str(i) for i in range(4096)], "_body": "text"})
+    calls = []
+
+    def picky(lang, title, text):
+        calls.append(len(title))
+        if "1234" in list(title):
+            raise RuntimeError("bad")
+        return ["x"] * len(title)
+
+    answers, errors = _answers(picky, rows)
+    assert [i for i, e in enumerate(errors) if e] == [1234] and answers.count("x") == 4095
+    assert len(calls) == 2 * 12 + 1
+    assert _answers(lambda *_: ["one"], rows.iloc[:2]) == (["one", "one"], [None, None])
+    assert _answers(lambda *_: [], rows.iloc[:1])[1] == ["ValueError: 0 answers to 1 texts"]
+
+
+def test_answers_by_language_of_the_source(spark):
+    links = spark.createDataFrame(
+        [(1, 1, 0, "Same title", "u1"), (2, 2, 0, "Same title", "u1"), (2, 2, 1, "No page", "u2"), (3, 3, 0, "Bad", "u3"),
+         (4, 4, 0, "No language", "u1"), (9, 9, 0, "No source", "u1")],
+        "source_id int, page_id long, pos int, title string, url string")
+    details = spark.createDataFrame(
+        [(u, f"<article><p>{'a long text that goes on. ' * 8}</p></article>") for u in ("u1", "u3", "u9")], "url string, html string")
+    sources = spark.createDataFrame([(1, "en"), (2, "zh"), (3, "zh"), (4, None)], "id int, language string")
+
+    def answer(lang, title, text):
+        assert len(set(zip(lang, title))) == len(title)
+        if "Bad" in list(title):
+            raise RuntimeError("no")
+        return ["New|Short" if code == "en" else "Kurz" for code in lang]
+
+    got = {(r.source_id, r.pos): (r.title, r.summary[:6], r.error) for r in with_answers(links, details, sources, answer).collect()}
+    assert got == {
+        (1, 0): ("New", "Short", None), (2, 0): ("Same title", "Kurz", None), (2, 1): ("No page", "", None),
+        (3, 0): ("Bad", "a long", "RuntimeError: no"), (4, 0): ("No language", "Kurz", None)}
