@@ -9,7 +9,13 @@ chance of missing a pair at the threshold below MISS.
 A bucket is never paired with itself as a whole. Its smallest and its largest id
 are compared with every member. What is not yet in one component is compared
 once more, where two members of a bucket share one of their rarest shingles.
-Links are confirmed on the full shingle sets of the texts.
+
+Before a pair is confirmed on the full shingle sets of its texts, their parity
+bitmaps must allow it: every shingle turns one of BITS bits over, so two bitmaps
+differ in at most as many bits as the sets in members, and a pair whose bitmaps
+differ in more than a link may have cannot be one. No link is lost by that,
+whatever the sizes, and families of copies that each were changed too much to be
+links are never confirmed pair by pair.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courant.llm.common import U64, WordHashes, mix, written
@@ -30,6 +36,7 @@ from courant.llm.components import components
 SYMBOLS = 4  # of 16 bits, in a chunk; one of them may differ
 MISS = 1e-7  # bound on the chance that a pair at the threshold meets in no bucket
 SLAB = 1 << 18  # shingles hashed at a time
+BITS = 2048  # of a parity bitmap, a power of two
 _RANDOM = np.random.default_rng(20240501)
 _PLACES = _RANDOM.integers(1, 1 << 63, 64, dtype=U64) * U64(2) + U64(1)
 _XORS = _RANDOM.integers(0, 1 << 63, 256, dtype=U64)
@@ -83,6 +90,17 @@ def signatures(sets: list[np.ndarray], symbols: int) -> np.ndarray:
     return (mix(out) >> U64(48)).astype(np.uint16)
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set, as 64-bit words: which bits an odd number of members fall on."""
+    places = (items * U64(0x9E3779B97F4A7C15)) >> U64(65 - BITS.bit_length())
+    odd = np.bincount(places.astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def unequal_bits(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
 def chunk_keys(signature: np.ndarray) -> np.ndarray:
     """Bucket keys of each row: every chunk with every one of its symbols left out."""
     rows, symbols = signature.shape
@@ -107,15 +125,17 @@ def _sketch(size: int, symbols: int):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 signs: list = [None] * len(sets)
                 keys: list = [None] * len(sets)
+                bits: list = [None] * len(sets)
                 for i, row in zip(full, signatures([sets[i] for i in full], symbols)):
                     signs[i] = row.tobytes()
                     keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
+                    bits[i] = parity(sets[i])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(keys, pa.binary()), pa.array(signs, pa.binary()),
+                        pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(bits, pa.list_(pa.int64())),
                     ],
-                    ["id", "n", "set_key", "sign"],
+                    ["id", "n", "set_key", "sign", "bits"],
                 )
 
     return run
@@ -233,24 +253,28 @@ def near_duplicates(
     symbols = chunks * SYMBOLS
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = written(
-        texts.mapInArrow(_sketch(size, symbols), "id long, n long, set_key binary, sign binary"), "sketch"
+        texts.mapInArrow(_sketch(size, symbols), "id long, n long, set_key binary, sign binary, bits array<long>"),
+        "sketch",
     )
     full = sketch.where("id IS NOT NULL AND n > 0")
     classes = written(full.groupBy("set_key").agg(F.min("id").alias("id"), F.min("sign").alias("sign"),
-                                                  F.min("n").alias("n")), "classes")
+                                                  F.min("n").alias("n"), F.min("bits").alias("bits")), "classes")
     entries = classes.select("id", "sign").mapInArrow(_keys(symbols), "id long, key long")
     heads = entries.groupBy("key").agg(
         F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("held")
     ).where("low < high")
     members = written(entries.join(heads, "key"), "members")
     length = f"least(na, nb) * {limit.denominator} >= greatest(na, nb) * {limit.numerator}"
-    sizes = classes.select("id", "n")
+    facts = classes.select("id", "n", "bits")
+    # A link leaves at most (na + nb) * (1 - limit) / (1 + limit) members that are not common.
+    close = unequal_bits(F.col("bits_a"), F.col("bits_b")) * (limit.denominator + limit.numerator) <= (
+        F.col("na") + F.col("nb")) * (limit.denominator - limit.numerator)
 
-    def long_enough(pairs: DataFrame) -> DataFrame:
+    def may_link(pairs: DataFrame) -> DataFrame:
         return (
-            pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-            .where(length).select("a", "b")
+            pairs.join(facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
+            .join(facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
+            .where(length).where(close).select("a", "b")
         )
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -261,11 +285,11 @@ def near_duplicates(
     sets = written(
         texts.join(ids, "id", "left_semi").mapInArrow(_full_sets(size), "id long, items binary"), "sets"
     )
-    first = long_enough(
+    first = may_link(
         with_head.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    first = written(_compared(first, sets), "first")
-    found = linked(first).select("a", "b")
+    first = written(first, "first")
+    found = written(linked(_compared(first, sets)).select("a", "b"), "found")
     label = components(found)
     # Buckets whose members are not in one component yet.
     placed = members.where("held > 2").join(label, "id", "left").withColumn(
@@ -275,18 +299,18 @@ def near_duplicates(
     placed = placed.join(open_keys.where("c1 < c2").select("key"), "key", "left_semi")
     nodes = written(
         placed.groupBy("id").agg(F.min("component").alias("component"), F.collect_list("key").alias("keys"))
-        .join(sizes, "id"), "open",
+        .join(facts, "id"), "open",
     )
     rest = _share_prefix(sets, nodes, limit).where(length)
     for side in "ab":
-        rest = rest.join(nodes.select(F.col("id").alias(side), F.col("keys").alias(f"keys_{side}")), side)
-    rest = rest.where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b").join(
-        first.select("a", "b"), ["a", "b"], "left_anti"
+        rest = rest.join(nodes.select(
+            F.col("id").alias(side), F.col("keys").alias(f"keys_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    rest = rest.where(close).where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b").join(
+        first, ["a", "b"], "left_anti"
     )
-    rest = written(rest, "rest")
-    if not rest.isEmpty():
-        found = found.unionByName(linked(_compared(rest, sets)).select("a", "b"))
-        label = components(found)
+    more = written(linked(_compared(written(rest, "rest"), sets)).select("a", "b"), "more")
+    if not more.isEmpty():
+        label = components(found.unionByName(more))
     placed = written(
         classes.join(label, "id", "left")
         .select("set_key", F.coalesce("component", "id").alias("component")), "class-components",

@@ -63,3 +63,39 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 20 for i in range(21, 61)} | {100: 7, 300: 7}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_parity_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n, changed in [(1, 0), (200, 10), (200, 200), (9000, 700)]:
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)])
+        unequal = int(np.bitwise_count((N.parity(a) ^ N.parity(b)).view(np.uint64)).sum())
+        assert unequal <= 2 * changed and (changed > N.BITS / 8 or unequal >= 1.5 * changed)
+
+
+@pytest.mark.parametrize("count", [200, 2000])
+def test_a_family_of_loose_copies_is_not_confirmed_pair_by_pair(spark, monkeypatch, count):
+    """Copies of a text with three words changed each: alike, but none a link."""
+    rnd = random.Random(1)
+    base = [f"w{i}" for i in range(200)]
+
+    def copy(i):
+        words = list(base)
+        for k, at in enumerate(rnd.sample(range(0, 200, 10), 3)):
+            words[at + 4] = f"new{i}-{k}"
+        return " ".join(words)
+
+    texts = [copy(i) for i in range(count)]
+    confirmed, compared = [], N._compared
+
+    def counted(pairs, sets):
+        confirmed.append(pairs.count())
+        return compared(pairs, sets)
+
+    monkeypatch.setattr(N, "_compared", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = N.near_duplicates(df, threshold=0.85).collect()
+    want, _ = near_components(list(enumerate(texts[:200])), 85, 100)
+    assert count > 200 or {r.doc_id: r.component_id for r in got} == want
+    assert sum(confirmed) <= count
