@@ -23,6 +23,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +34,7 @@ from courant.operators.topk import top_per_group
 from courant.session import checkpointed, small_side
 from courant.sources.tables import first_per_key
 
-Similar = Callable[[Column, Column], Column]
+Similar = Callable[[DataFrame, DataFrame], DataFrame]
 
 THRESHOLD = 0.85
 # Buckets up to SHORT_ROWS are compared in full. The head of a longer one starts
@@ -40,11 +42,14 @@ THRESHOLD = 0.85
 SHORT_ROWS, FIRST_HEAD_ROWS, HEAD_GROWTH, HEAD_ROWS = 32, 4, 8, 256
 SLICE_ROWS = 1024
 # Buckets of titles and vectors are rarely long, so more of them is compared at once.
-FULL_ROWS = 1024
+FULL_ROWS, RING_ROWS = 1024, 4096
 GRAM_CHARS = 3
 BITMAP_WORDS = 4
-# Blocking of vectors misses a pair at the threshold with at most MAX_MISS.
-MAX_MISS = 1e-6
+# Grams are ordered by how often grams of their cell occur; the counts of all cells are one small value.
+GRAM_CELLS = 1 << 15
+# Vectors are cut into cells around PIVOTS vectors, chosen among PIVOT_SAMPLE; angles are rounded by less than ANGLE_SLACK.
+PIVOTS, PIVOT_SAMPLE, ANGLE_SLACK = 16, 512, 1e-6
+# Blocking by signs instead, where a chance to miss a pair is allowed.
 BITS, MAX_BANDS = 12, 256
 
 
@@ -70,26 +75,35 @@ def _head(entries: DataFrame, short: int, head_rows: int) -> DataFrame:
     return entries.where(F.col("n") <= short).unionByName(long)
 
 
-def _edges(entries: DataFrame, head: DataFrame, similar: Similar) -> DataFrame:
-    """(first, later) for each entry and each similar earlier head row of its bucket.
+def _edges(entries: DataFrame, head: DataFrame, similar: Similar, leads: Callable[[Column], Column]) -> DataFrame:
+    """(first, later) for each entry and each similar earlier head row of its bucket that leads there.
 
-    The comparison is part of the join, so pairs that fail it are never rows.
-    Long buckets are cut into slices, each with a copy of the (short) head.
+    Long buckets are cut into slices, each with a copy of the (short) head;
+    `similar` gives the pairs of slices and heads, which share bucket and slice.
     """
     slices = F.ceil(F.col("n") / SLICE_ROWS)
     left = entries.select(
         "bucket", F.pmod(F.xxhash64("ord"), slices).alias("slice"), "n",
         F.col("ord").alias("later"), F.col("payload").alias("_b"),
     )
-    right = head.select(
+    right = head.where(leads(F.col("payload"))).select(
         "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("slice"), "n",
         F.col("ord").alias("first"), F.col("payload").alias("_a"),
     )
-    other = right.drop("n").withColumnsRenamed({"bucket": "_bucket", "slice": "_slice"})
-    same = (F.col("bucket") == F.col("_bucket")) & (F.col("slice") == F.col("_slice"))
-    return left.join(
-        other, same & (F.col("first") < F.col("later")) & similar(F.col("_a"), F.col("_b"))
-    ).select("first", "later").distinct()
+    return similar(left.drop("n"), right.drop("n")).distinct()
+
+
+def joined_where(alike: Callable[[Column, Column], Column]) -> Similar:
+    """Pairs by a join that compares, so that those that fail are never rows."""
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        other = right.withColumnsRenamed({"bucket": "_bucket", "slice": "_slice"})
+        same = (F.col("bucket") == F.col("_bucket")) & (F.col("slice") == F.col("_slice"))
+        return left.join(
+            other, same & (F.col("first") < F.col("later")) & alike(F.col("_a"), F.col("_b"))
+        ).select("first", "later")
+
+    return pairs
 
 
 def _settle(edges: DataFrame, unready: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
@@ -122,22 +136,28 @@ def keep_first(
     short_rows: int = SHORT_ROWS,
     head_rows: int = HEAD_ROWS,
     verify: Callable[[DataFrame], DataFrame] | None = None,
+    leads: Callable[[Column], Column] = lambda payload: F.lit(True),
 ) -> DataFrame:
     """The `ord` of the rows that are dropped.
 
     `nodes` has `ord` (unique, sortable: the input order) and `payload` (what
     `similar` compares); `buckets` has (bucket, ord), one row per bucket a node
-    is in. Where the payload is only a sketch, `verify` keeps the truly similar of the (first, later) pairs found.
+    is in, and may have `there`, what `similar` is told of the node in that bucket beside its payload.
+    Where the payload is only a sketch, `verify` keeps the truly similar of the (first, later) pairs found.
+    `leads` says of a payload whether the row is compared as the first of a pair in that bucket.
     """
     all_dropped = [nodes.select("ord").limit(0)]
     # Most rows share no bucket with any other; only the rest carry their payload on.
-    entries = checkpointed(_shared_buckets(buckets).join(nodes.select("ord", "payload"), "ord"))
+    entries = _shared_buckets(buckets).join(nodes.select("ord", "payload"), "ord")
+    if "there" in buckets.columns:
+        entries = entries.withColumn("payload", F.struct("payload.*", "there.*")).drop("there")
+    entries = checkpointed(entries)
     size = FIRST_HEAD_ROWS
     while not entries.isEmpty():
         size = min(size, head_rows)
         short = max(short_rows, size)
         head = _head(entries, short, size)
-        found = _edges(entries, head, similar)
+        found = _edges(entries, head, similar, leads)
         edges = checkpointed(verify(found) if verify else found)
         big = entries.where(F.col("n") > short)
         unready = None
@@ -178,22 +198,27 @@ def jaccard_at_least(a: Column, b: Column, threshold: float) -> Column:
     return close & (common / (F.size(a) + F.size(b) - common) >= threshold)
 
 
-def rarest_grams(sets: DataFrame, threshold: float) -> DataFrame:
-    """(scope, ord, gram): the grams of each set that any similar set must meet.
+def gram_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(scope, ord, gram, pos): the grams of each set that any similar set must meet.
 
     Two sets with a Jaccard similarity of at least t share one of the first
-    n - ceil(t * n) + 1 members of either, in any one order; rarest first, few
-    sets have them. A gram that only one set has is left out.
+    n - ceil(t * n) + 1 members of either, in any one order. The order is that of
+    the counts of cells of grams, so that mostly rare grams come first; the
+    counts are a value of GRAM_CELLS numbers, and no gram is shuffled for it.
     """
-    each = sets.select("scope", "ord", F.explode("payload").alias("gram"))
-    counts = each.groupBy("scope", "gram").agg(F.count("*").alias("sets"))
-    n = F.size("grams")
-    taken = n - F.ceil(n * threshold - 1e-9) + 1
+    cell = lambda g: F.pmod(g, F.lit(GRAM_CELLS)).cast("int")
+    counts = sets.select(F.explode("payload").alias("gram")).groupBy(cell(F.col("gram")).alias("cell")).agg(
+        F.count("*").alias("n"))
+    every = sets.sparkSession.range(GRAM_CELLS).select(F.col("id").cast("int").alias("cell"))
+    often = every.join(counts, "cell", "left").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("cell", F.coalesce("n", F.lit(0)).alias("n")))), lambda c: c["n"]))
+    n = F.size("payload")
+    taken = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
+    ordered = F.sort_array(F.transform("payload", lambda g: F.struct(F.get(F.col("often"), cell(g)).alias("n"), g.alias("gram"))))
     return (
-        each.join(counts, ["scope", "gram"])
-        .groupBy("scope", "ord").agg(F.sort_array(F.collect_list(F.struct("sets", "gram"))).alias("grams"))
-        .select("scope", "ord", F.explode(F.slice("grams", F.lit(1), taken.cast("int"))).alias("gram"))
-        .where("gram.sets > 1").select("scope", "ord", "gram.gram")
+        sets.withColumn("often", often.scalar())
+        .select("scope", "ord", F.posexplode(F.slice(ordered, F.lit(1), taken)).alias("pos", "g"))
+        .select("scope", "ord", "g.gram", "pos")
     )
 
 
@@ -232,20 +257,25 @@ def dedup_titles(
     sets = checkpointed(
         once.select(F.struct(*order).alias("ord"), scope.alias("scope"), grams(F.col(title)).alias("payload"))
     )
-    buckets = rarest_grams(sets, threshold).select(F.xxhash64("scope", "gram").alias("bucket"), "ord")
+    buckets = gram_prefixes(sets, threshold).select(
+        F.xxhash64("scope", "gram").alias("bucket"), "ord", F.struct("pos").alias("there"))
     sketch = F.struct("scope", F.size("payload").alias("size"), gram_bits(F.col("payload")).alias("bits"))
     first = sets.select(F.col("ord").alias("first"), F.col("payload").alias("_a"))
     later = sets.select(F.col("ord").alias("later"), F.col("payload").alias("_b"))
 
     def similar(a: Column, b: Column) -> Column:
-        return (a["scope"] == b["scope"]) & may_be_similar(a, b, threshold)
+        # Sizes, then what both can still share from here on, then the bitmaps.
+        near = F.least(a["size"], b["size"]) >= threshold * F.greatest(a["size"], b["size"]) - 1e-9
+        left = F.least(a["size"] - a["pos"], b["size"] - b["pos"])
+        enough = left >= (a["size"] + b["size"]) * (threshold / (1 + threshold)) - 1e-6
+        return near & enough & (a["scope"] == b["scope"]) & may_be_similar(a, b, threshold)
 
     def verify(pairs: DataFrame) -> DataFrame:
         alike = jaccard_at_least(F.col("_a"), F.col("_b"), threshold)
         return pairs.join(first, "first").join(later, "later").where(alike).select("first", "later")
 
     nodes = sets.select("ord", sketch.alias("payload"))
-    dropped = keep_first(nodes, buckets, similar, short_rows, head_rows, verify=verify)
+    dropped = keep_first(nodes, buckets, joined_where(similar), short_rows, head_rows, verify=verify)
     return _without(once, dropped, order)
 
 
@@ -269,24 +299,62 @@ def unit(vector: Column) -> Column:
     return F.transform(doubles, lambda x: F.try_divide(x, norm))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def close_pairs(threshold: float, dim: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """(first, later) of slices and heads whose vectors are close, block by block in double precision.
 
+    A group is one slice of a bucket with the bucket's head, so its size is bounded
+    whatever the bucket holds.
+    """
 
-def choose_bands(threshold: float, max_miss: float = MAX_MISS) -> int:
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        late, early = left.column("later").combine_chunks(), right.column("first").combine_chunks()
+        b, a = left.column("_b").combine_chunks(), right.column("_a").combine_chunks()
+        vectors = [np.asarray(p.field("v").flatten()).reshape(-1, dim) for p in (a, b)]
+        found = [np.zeros((2, 0), np.int64)]
+        for i in range(0, len(a), SLICE_ROWS):
+            for j in range(0, len(b), SLICE_ROWS):
+                near = vectors[0][i : i + SLICE_ROWS] @ vectors[1][j : j + SLICE_ROWS].T >= threshold
+                found.append(np.stack(np.nonzero(near)) + np.array([[i], [j]]))
+        x, y = np.concatenate(found, axis=1)
+        keep = np.ones(len(x), bool)
+        here = [f.name for f in a.type if f.name not in ("v", "own", "home")]
+        for name in here:  # what the bucket stands for, should two have one hash
+            keep &= np.asarray(a.field(name))[x] == np.asarray(b.field(name))[y]
+        if "own" in [f.name for f in a.type]:
+            own = [np.asarray(p.field("own").cast(pa.int8())).astype(bool) for p in (a, b)]
+            keep &= own[0][x] | own[1][y]
+        x, y = x[keep], y[keep]
+        parts = [pa.concat_arrays([early.field(k), late.field(k)]) for k in range(early.type.num_fields)]
+        both = pa.table(parts, names=[str(k) for k in range(len(parts))])
+        rank = np.empty(both.num_rows, np.int64)
+        rank[np.asarray(pc.sort_indices(both, [(n, "ascending") for n in both.column_names], null_placement="at_start"))] = (
+            np.arange(both.num_rows))
+        before = rank[x] < rank[y + len(a)]
+        x, y = pa.array(x[before]), pa.array(y[before])
+        pairs = pa.table([early.take(x), late.take(y)], names=["first", "later"])
+        same = [pc.fill_null(pc.equal(early.field(k).take(x), late.field(k).take(y)), False) for k in range(early.type.num_fields)]
+        return pairs.filter(pc.invert(reduce(pc.and_, same)))
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        schema = T.StructType([
+            T.StructField("first", right.schema["first"].dataType), T.StructField("later", left.schema["later"].dataType)])
+        keys = ["bucket", "slice"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, schema)
+
+    return pairs
+
+
+def choose_bands(threshold: float, max_miss: float) -> int | None:
     """How many bands of BITS signs miss a pair at the threshold with at most `max_miss`.
 
     Two vectors at the threshold agree on one random hyperplane with
     probability p; all bands miss them with probability (1 - p^BITS)^bands.
-    The answer depends on the threshold alone. One that needs more than
-    MAX_BANDS cannot be blocked and is refused.
+    The answer depends on the threshold alone; None is more than MAX_BANDS.
     """
-    p = 1 - math.acos(min(1.0, threshold)) / math.pi
+    p = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
     agree = p**BITS
     bands = 1 if agree >= 1 else math.ceil(math.log(max_miss) / math.log1p(-agree))
-    if threshold <= 0 or bands > MAX_BANDS:
-        raise ValueError(f"a cosine threshold of {threshold} is too low to be blocked")
-    return bands
+    return bands if bands <= MAX_BANDS else None
 
 
 def sign_buckets(vector: Column, dim: int, bands: int, seed: int = 7) -> Column:
@@ -305,6 +373,55 @@ def sign_buckets(vector: Column, dim: int, bands: int, seed: int = 7) -> Column:
     return keys(vector)
 
 
+def choose_pivots(units: DataFrame, dim: int) -> np.ndarray:
+    """PIVOTS vectors far from each other, out of a sample of PIVOT_SAMPLE by hash.
+
+    Which ones they are decides how much is compared, never what is found.
+    """
+    rows = units.select("v").orderBy(F.xxhash64("v"), "v").limit(PIVOT_SAMPLE).collect()
+    sample = np.array([r["v"] for r in rows]).reshape(-1, dim)
+    chosen, nearest = [], np.full(len(sample), np.inf)
+    while len(chosen) < min(PIVOTS, len(sample)):
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, np.arccos(np.clip(sample @ sample[chosen[-1]], -1, 1)))
+        if not nearest.max() > ANGLE_SLACK:
+            break
+    return sample[chosen]
+
+
+def angles_to(vector: Column, pivots: np.ndarray) -> Column:
+    @F.pandas_udf("array<double>")
+    def angles(batch: pd.Series) -> pd.Series:
+        found = []
+        for at in range(0, len(batch), SLICE_ROWS):
+            found += list(np.arccos(np.clip(np.stack(batch.iloc[at : at + SLICE_ROWS].to_numpy()) @ pivots.T, -1, 1)))
+        return pd.Series(found, dtype=object)
+
+    return angles(vector)
+
+
+def ring_buckets(nodes: DataFrame, theta: float) -> DataFrame:
+    """(bucket, ord, there): cells of pivots, cut into rings, such that all vectors within `theta` meet.
+
+    A vector is at home with its nearest pivot and visits any other that is at
+    most 2 theta further: whoever is within theta of it is then in its home
+    cell, by the triangle inequality. Inside a cell angles to the pivot differ by
+    theta at most, so neighbouring rings of that width are enough.
+    """
+    angles = F.col("angles")
+    cells = nodes.select(
+        "ord", "scope", F.array_min(angles).alias("nearest"), F.posexplode(angles).alias("cell", "angle")
+    ).where(F.col("angle") <= F.col("nearest") + 2 * theta)
+    ring = F.floor(F.col("angle") / theta)
+    return cells.select(
+        "ord", "scope", "cell", (F.col("angle") == F.col("nearest")).alias("home"), ring.alias("ring"),
+        F.explode(F.array(ring, ring + 1)).alias("shown"),
+    ).select(
+        F.xxhash64("scope", "cell", "shown").alias("bucket"), "ord",
+        F.struct("home", "cell", (F.col("ring") == F.col("shown")).alias("own"), "shown").alias("there"),
+    )
+
+
 def dedup_vectors(
     df: DataFrame,
     order: Sequence[str],
@@ -312,29 +429,45 @@ def dedup_vectors(
     vector: str = "vector",
     within: Sequence[str] = (),
     threshold: float = THRESHOLD,
-    short_rows: int = FULL_ROWS,
-    head_rows: int = FULL_ROWS,
+    short_rows: int = RING_ROWS,
+    head_rows: int = RING_ROWS,
+    max_miss: float = 0.0,
 ) -> DataFrame:
     """Rows left after removing those whose vector is close to a kept earlier one.
 
+    Exact at any threshold: pivots and the triangle inequality leave out only
+    pairs that cannot be close. What they save depends on how the vectors lie; where
+    a chance of `max_miss` to miss a pair at the threshold is allowed, buckets
+    of signs, whose size does not depend on that, take their place if they can keep it.
+
     Rows whose vector is null, zero, of another length or not finite are kept
     and rule nothing out.
     """
     scope = F.xxhash64(*within) if within else F.lit(0).cast("bigint")
-    bands = choose_bands(threshold)
-    nodes = checkpointed(df.where(usable(F.col(vector), dim)).select(
-        F.struct(*order).alias("ord"),
-        F.struct(scope.alias("scope"), unit(F.col(vector)).alias("v")).alias("payload"),
-    ))
-    keys = sign_buckets(F.col("payload.v"), dim, bands)
-    buckets = nodes.select("ord", "payload.scope", F.explode(keys).alias("_key")).select(
-        F.xxhash64("scope", "_key").alias("bucket"), "ord"
-    )
-
-    def similar(a: Column, b: Column) -> Column:
-        return (a["scope"] == b["scope"]) & (dot(a["v"], b["v"]) >= threshold)
+    fit = df.where(usable(F.col(vector), dim)).select(
+        F.struct(*order).alias("ord"), scope.alias("scope"), unit(F.col(vector)).alias("v"))
+    bands = choose_bands(threshold, max_miss) if max_miss > 0 else None
+    if bands is not None:
+        nodes = checkpointed(fit.select("ord", F.struct("scope", "v").alias("payload")))
+        keys = sign_buckets(F.col("payload.v"), dim, bands)
+        buckets = nodes.select("ord", "payload.scope", F.explode(keys).alias("_key")).select(
+            F.xxhash64("scope", "_key").alias("bucket"), "ord"
+        )
 
-    return _without(df, keep_first(nodes, buckets, similar, short_rows, head_rows), order)
+        return _without(df, keep_first(nodes, buckets, close_pairs(threshold, dim), short_rows, head_rows), order)
+
+    fit = checkpointed(fit)
+    pivots = choose_pivots(fit, dim)
+    if not len(pivots):
+        return df
+    theta = math.acos(max(-1.0, min(1.0, threshold))) + ANGLE_SLACK
+    nodes = checkpointed(fit.withColumn("angles", angles_to(F.col("v"), pivots)))
+    buckets = ring_buckets(nodes, theta)
+    nodes = nodes.select("ord", F.struct("scope", "v").alias("payload"))
+    # Of all cells and rings that two vectors share, the first one's home and the outer ring is theirs.
+    dropped = keep_first(
+        nodes, buckets, close_pairs(threshold, dim), short_rows, head_rows, leads=lambda payload: payload["home"])
+    return _without(df, dropped, order)
 
 
 def dedup_with_fallback(

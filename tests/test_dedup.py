@@ -65,22 +65,53 @@ def vectors(seed, count, dim):
     return picks + 0.35 * rng.standard_normal((count, dim))
 
 
-@pytest.mark.parametrize("threshold, head", [(0.85, 2048), (0.85, 4), (0.95, 16)])
-def test_vectors_like_brute_force(spark, threshold, head):
+@pytest.mark.parametrize("threshold, head, miss", [
+    (0.85, 2048, 0), (0.85, 4, 0), (0.7, 16, 0), (0.4, 2048, 0), (0.4, 8, 0), (-0.2, 64, 0), (1.0, 4, 0), (0.95, 16, 1e-6),
+    (0.4, 64, 1e-6)])
+def test_vectors_like_brute_force(spark, threshold, head, miss):
     v = vectors(5, 240, 16)
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = greedy(list(enumerate(u)), lambda a, b: float(a[1] @ b[1]) >= threshold)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "n int, vector array<double>")
-    got = D.dedup_vectors(df.repartition(7), ["n"], 16, threshold=threshold, short_rows=head, head_rows=head)
+    got = D.dedup_vectors(df.repartition(7), ["n"], 16, threshold=threshold, short_rows=head, head_rows=head, max_miss=miss)
     assert sorted(r.n for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("threshold", [0.4, 0.7, 0.85])
+def test_a_hot_ring_is_split(spark, monkeypatch, threshold):
+    """Half of all vectors lie in one ring; slices of it are joined with its head in tasks of their own."""
+    monkeypatch.setattr(D, "SLICE_ROWS", 16)
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((300, 16))
+    v[:150] = v[0] + 0.4 * rng.standard_normal((150, 16))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = greedy(list(enumerate(u)), lambda a, b: float(a[1] @ b[1]) >= threshold)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "n int, vector array<double>")
+    slices = []
+    edges = D._edges
+    monkeypatch.setattr(D, "_edges", lambda e, *a: slices.append(e.agg(F.max(F.ceil(F.col("n") / 16))).first()[0]) or edges(e, *a))
+    got = D.dedup_vectors(df, ["n"], 16, threshold=threshold, short_rows=8, head_rows=8)
+    assert sorted(r.n for r in got.collect()) == want
+    assert slices[0] > 4
+
+
+def test_rings_leave_out_what_is_far(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((8, 32))
+    v = centres[rng.integers(0, 8, 400)] + 0.05 * rng.standard_normal((400, 32))
+    fit = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "n int, vector array<double>").select(
+        F.struct("n").alias("ord"), F.lit(0).alias("scope"), D.unit(F.col("vector")).alias("v"))
+    pivots = D.choose_pivots(fit, 32)
+    nodes = fit.withColumn("angles", D.angles_to(F.col("v"), pivots))
+    theta = float(np.arccos(0.95))
+    sizes = [r["count"] for r in D.ring_buckets(nodes, theta).groupBy("bucket").count().collect()]
+    assert len(pivots) == D.PIVOTS and sum(n * n for n in sizes) < 400 * 400
+
+
 def test_choose_bands():
     p = 1 - np.arccos(0.85) / np.pi
-    assert (1 - p**D.BITS) ** D.choose_bands(0.85) <= D.MAX_MISS
-    assert D.choose_bands(1.0) == 1
-    with pytest.raises(ValueError):
-        D.choose_bands(0.4)
+    assert (1 - p**D.BITS) ** D.choose_bands(0.85, 1e-6) <= 1e-6
+    assert D.choose_bands(1.0, 1e-6) == 1 and D.choose_bands(0.4, 1e-6) is None
 
 
 def test_rounds_do_not_grow_with_unlike_titles(spark, monkeypatch):
