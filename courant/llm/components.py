@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from courant.session import checkpointed
 
 
+#: Links in a partition: few links are not dealt out over the partitions of a large shuffle.
+PART_LINKS = 200_000
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return row["n"], row["x"]
@@ -28,13 +32,14 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while (state := _state(edges)) != before and state[0]:
         before = state
+        edges = edges.coalesce(1 + state[0] // PART_LINKS)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (
             both.where("b > a").join(least, "a")
             .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         )
-        large = checkpointed(large)
+        large = checkpointed(large.coalesce(1 + 2 * state[0] // PART_LINKS))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

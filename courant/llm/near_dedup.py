@@ -209,7 +209,7 @@ def _share_prefix(sets: DataFrame, nodes: DataFrame, limit: Fraction) -> DataFra
     rarest first, copies that each were changed a lot have prefixes of their own.
     """
     wanted = sets.join(nodes.select("id"), "id", "left_semi").select("id", "items")
-    items = wanted.mapInArrow(_items, "id long, item long")
+    items = written(wanted.mapInArrow(_items, "id long, item long"), "items")
     ranks = items.join(items.groupBy("item").agg(F.count("*").alias("docs")), "item")
     rarest = ranks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("docs", "item"))).alias("items"))
     prefix = (
@@ -221,6 +221,7 @@ def _share_prefix(sets: DataFrame, nodes: DataFrame, limit: Fraction) -> DataFra
         .where("col.docs > 1")
         .select("id", "component", "n", (F.col("n") - F.col("pos")).alias("left"), F.col("col.item").alias("item"))
     )
+    prefix = written(prefix, "prefix")  # both sides of the join below read it
     x, y = (
         prefix.select("item", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "left")])
         for side in "ab"
