@@ -80,7 +80,7 @@ VIEWS: dict[str, str] = {
                CAST(CASE WHEN (p_partkey // 20) % 7 = 0 THEN p_partkey + 1000000000 ELSE p_partkey END AS VARCHAR)
                  AS symbol,
                CASE p_partkey % 3 WHEN 0 THEN 'stock' WHEN 1 THEN 'stock_hk' ELSE 'futures' END AS item_type
-        FROM part WHERE p_partkey % 20 = 0
+        FROM part
         UNION ALL
         SELECT a::BIGINT, b, c, d, 'futures' FROM {values(FUTURES)} t(a, b, c, d)""",
     "v_checks": """
@@ -699,6 +699,7 @@ add("health_alerts", """SELECT check_id, source_id, failures, '【告警】新
 add("health_rollup", """SELECT count(*) FILTER (status = 'healthy') AS healthy, count(*) FILTER (status = 'warning') AS warning,
     count(*) FILTER (status = 'error') AS error FROM v_checks""")
 add("latest_health", "SELECT * FROM last_health")
+ORACLE["health_states_by_step"] = ORACLE["latest_health"]
 RUN = {
     "new_checks": f"SELECT 1000000000 + page_id AS check_id, page_id % 40 AS source_id, {AS_OF} AS checked_at, status, error"
                   f" FROM ({CLASSIFIED})",
@@ -725,6 +726,7 @@ add("push_alerts", """SELECT l.id, streak, '【告警】' || i.name || ' ' || CA
 add("prune_seen", f"SELECT url, first_seen_at FROM v_seen WHERE first_seen_at >= {AS_OF} - INTERVAL 7 DAY")
 add("expire_snapshots", f"SELECT id, CASE WHEN created_at >= {AS_OF} - INTERVAL 3 DAY THEN html_snapshot END AS html_snapshot FROM v_push_log")
 add("prune_push_log", f"SELECT id, created_at FROM v_push_log WHERE created_at >= {AS_OF} - INTERVAL 30 DAY")
+ORACLE["prune_laid_out"], ORACLE["unseen_laid_out"] = ORACLE["prune_seen"], ORACLE["unseen_articles"]
 add("cleanup_report", f"""SELECT (SELECT count(*) FROM v_seen WHERE first_seen_at < {AS_OF} - INTERVAL 7 DAY) AS seen_deleted,
     (SELECT count(*) FROM v_push_log WHERE created_at < {AS_OF} - INTERVAL 3 DAY AND html_snapshot IS NOT NULL) AS snapshots_cleared,
     (SELECT count(*) FROM v_push_log WHERE created_at < {AS_OF} - INTERVAL 30 DAY) AS log_deleted""")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime, timedelta
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.views import DAY_LIMIT, LATENESS, PREFERRED, WORDS, Views, as_of
+from checks.views import AS_OF_TEXT, DAY_LIMIT, LATENESS, PREFERRED, WORDS, Views, as_of
 from courant.functions import answers as A
 from courant.functions import html as H
 from courant.functions import hygiene as Y
@@ -19,9 +20,9 @@ from courant.operators import dedup, delivery, health, quotes, ranking, retentio
 from courant.operators.links import count_anchors, extract_links, page_texts, paragraph_faults
 from courant.operators.ratelimit import rate_limit
 from courant.plans import briefs, reports
-from courant.plans.health import health_check as health_check_plan
-from courant.session import shared_folder
-from courant.sources import schemas, tables
+from courant.plans import health as health_plan
+from courant.session import checkpointed, shared_folder
+from courant.sources import history, schemas, tables
 from courant.streaming import jobs
 
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
@@ -466,7 +467,7 @@ def health_labels(v):
 def _health_run(v):
     source = (F.col("page_id") % 40).alias("source_id")
     fetched = v.fetched.select("*", (F.col("page_id") + 1_000_000_000).alias("check_id"), source)
-    return health_check_plan(fetched, v.checks, v.check_sources, as_of())
+    return health_plan.health_check(fetched, v.checks, v.check_sources, as_of())
 
 
 @query
@@ -482,6 +483,19 @@ def health_check_states(v):
     return _health_run(v).states
 
 
+@query
+def health_states_by_step(v):
+    """The log taken in spans of four days, each from the state the one before it stored."""
+    day = F.to_date("checked_at")
+    first, last = v.checks.agg(F.min(day), F.max(day)).first()
+    state = v.checks.select(*health_plan.COLUMNS, F.lit(0).cast("long").alias("failures")).limit(0)
+    for start in range(0, (last - first).days + 1, 4):
+        since = F.datediff(day, F.lit(first))
+        span = v.checks.select(*health_plan.COLUMNS).where((since >= start) & (since < start + 4))
+        state = checkpointed(health.next_state(state, span)[1])
+    return health.state_of(state, v.check_sources)
+
+
 # --- delivery ----------------------------------------------------------------------
 
 
@@ -524,6 +538,28 @@ def prune_seen(v):
     return retention.prune_seen(v.seen, as_of()).select("url", "first_seen_at")
 
 
+def _laid_out_seen(v):
+    name = f"seen_{uuid4().hex}"
+    history.store_days(v.seen, name, F.col("first_seen_at"), "url", buckets=8)
+    return name
+
+
+@query
+def unseen_laid_out(v):
+    """As `unseen_articles`, against the history in days and buckets."""
+    name = _laid_out_seen(v)
+    return history.unseen_since(v.articles, name, date(1970, 1, 1)).select("doc_id", "url")
+
+
+@query
+def prune_laid_out(v):
+    """As `prune_seen`: old days are dropped as a whole, of what is left one is read with a filter."""
+    name = _laid_out_seen(v)
+    cutoff = datetime.fromisoformat(AS_OF_TEXT) - timedelta(days=retention.SEEN_DAYS)
+    history.drop_days(v.spark, name, cutoff.date())
+    return retention.prune_seen(history.since(v.spark, name, cutoff.date()), as_of()).select("url", "first_seen_at")
+
+
 @query
 def expire_snapshots(v):
     return retention.expire_snapshots(v.push_log, as_of()).select("id", "html_snapshot")

@@ -96,6 +96,40 @@ def latest(checks: DataFrame, sources: DataFrame, tie: str = "check_id") -> Data
     )
 
 
+def next_state(state: DataFrame, new: DataFrame, tie: str = "check_id", **chunking) -> tuple[DataFrame, DataFrame]:
+    """(counted, state): new checks with their failures in a row, and the state after them.
+
+    `state` has source_id, checked_at, the tie, status, error and failures of the
+    last check of each source; it stands for the whole log. All checks of `new`
+    are later than those. Nothing but the state and the new checks is read: a
+    streak without a break since the first new check goes on from the stored one.
+    """
+    is_error = F.col("status") == "error"
+    order = ["source_id"], "checked_at", tie
+    local = running_streak(new, *order, add=is_error, reset=~is_error, name="_run", **chunking)
+    local = running_streak(local, *order, add=F.lit(True), reset=F.lit(False), name="_nth", **chunking)
+    before = state.select(F.col("source_id").alias("_source"), F.col("failures").alias("_failures"))
+    unbroken = F.col("_run") == F.col("_nth")
+    counted = local.join(before, F.col("source_id") == F.col("_source"), "left").withColumn(
+        "failures", F.col("_run") + F.when(unbroken, F.coalesce("_failures", F.lit(0))).otherwise(0)
+    ).drop("_run", "_nth", "_source", "_failures")
+    columns = ["checked_at", tie, "status", "error", "failures"]
+    both = state.select("source_id", *columns).unionByName(counted.select("source_id", *columns))
+    last = both.groupBy("source_id").agg(F.max(F.struct(*columns)).alias("_last"))
+    return counted, last.select("source_id", "_last.*")
+
+
+def state_of(state: DataFrame, sources: DataFrame) -> DataFrame:
+    """A stored state as `latest` gives it: a row for each source, one never checked is unknown."""
+    return (
+        sources.select(F.col("id").alias("source_id"), "name").join(state, "source_id", "left").select(
+            "source_id", "name", F.coalesce("status", F.lit("unknown")).alias("health_status"),
+            F.col("checked_at").alias("last_check_at"), F.col("error").alias("last_error"),
+            F.coalesce("failures", F.lit(0)).alias("consecutive_failures"),
+        )
+    )
+
+
 def status_label(status: Column) -> Column:
     label = F.lit(None).cast("string")
     for value, text in LABELS.items():

@@ -11,6 +11,7 @@ from courant.operators import health
 from courant.operators.links import count_anchors
 
 UNSUPPORTED = "selector not supported"
+COLUMNS = ["check_id", "source_id", "checked_at", "status", "error"]
 
 
 @dataclass
@@ -22,6 +23,17 @@ class HealthRun:
     states: DataFrame
 
 
+def classified(fetched: DataFrame, as_of: Column) -> DataFrame:
+    """The checks of what was fetched, as rows of the log."""
+    counted = count_anchors(fetched, selector_col="link_selector")
+    broken = (F.col("outcome") == "ok") & F.col("n_links").isNull() & F.col("html").isNotNull()
+    counted = counted.withColumns({
+        "message": F.when(broken, UNSUPPORTED).otherwise(F.col("message")),
+        "outcome": F.when(broken, "other").otherwise(F.col("outcome")),
+    })
+    return health.classify(counted).withColumn("checked_at", as_of).select(*COLUMNS)
+
+
 def health_check(fetched: DataFrame, history: DataFrame, sources: DataFrame, as_of: Column) -> HealthRun:
     """Classify what was fetched and carry the history of each source on.
 
@@ -29,14 +41,13 @@ def health_check(fetched: DataFrame, history: DataFrame, sources: DataFrame, as_
     link_selector; `history` is the log of earlier checks. A source whose
     selector is not supported fails, the others go on.
     """
-    counted = count_anchors(fetched, selector_col="link_selector")
-    broken = (F.col("outcome") == "ok") & F.col("n_links").isNull() & F.col("html").isNotNull()
-    counted = counted.withColumns({
-        "message": F.when(broken, UNSUPPORTED).otherwise(F.col("message")),
-        "outcome": F.when(broken, "other").otherwise(F.col("outcome")),
-    })
-    columns = ["check_id", "source_id", "checked_at", "status", "error"]
-    new = health.classify(counted).withColumn("checked_at", as_of).select(*columns)
-    every = history.select(*columns, F.lit(False).alias("_new")).unionByName(new.withColumn("_new", F.lit(True)))
+    new = classified(fetched, as_of)
+    every = history.select(*COLUMNS, F.lit(False).alias("_new")).unionByName(new.withColumn("_new", F.lit(True)))
     failures = health.consecutive_failures(every).where("_new").drop("_new")
     return HealthRun(failures, health.alerts(failures, sources), health.latest(every.drop("_new"), sources))
+
+
+def health_step(fetched: DataFrame, state: DataFrame, sources: DataFrame, as_of: Column) -> tuple[HealthRun, DataFrame]:
+    """As `health_check`, from the stored state of each source instead of the log; also the state to store next."""
+    counted, after = health.next_state(state, classified(fetched, as_of))
+    return HealthRun(counted, health.alerts(counted, sources), health.state_of(after, sources)), after
