@@ -7,6 +7,9 @@ be null or empty; what each operator does then stands in its docstring.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +23,23 @@ from courant.llm.queries import WEIGHTS
 from courant.session import configure
 
 TOKENIZER = "byte_bpe_50k.json"
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def any_columns(stage: Stage) -> Stage:
+    """A stage that carries further columns of any name: inside they have names that clash with nothing."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inside = [c if c in DOCUMENT else f"further_column_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*inside), sf_dir).toDF(*docs.columns)
+
+    return run
 
 
+@any_columns
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; a missing `lang` is filled with it."""
     batched(configure(spark))
@@ -30,6 +48,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("lang", F.coalesce("lang", "found.lang_pred")).select(*docs.columns)
 
 
+@any_columns
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand elsewhere before; those left without a line go."""
     configure(spark)
@@ -37,6 +56,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@any_columns
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates."""
     batched(configure(spark))
@@ -44,6 +64,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
+@any_columns
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix, across and within the files written."""
     configure(spark)
