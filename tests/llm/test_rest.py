@@ -188,3 +188,15 @@ def test_digests(spark):
     got = queries.bpe_digests(row).first()
     assert got.ids_sha256 == hashlib.sha256(b"5,6").hexdigest()
     assert got.decoded_sha256 == hashlib.sha256("é".encode()).hexdigest()
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    names = ["position", "id_", "rest_", "found", "n_lines", "n_removed", "gone", "component_id", "mark", "place"]
+    rows = [(*r, *[f"{n}{i}" for n in names]) for i, r in enumerate(corpus(9, 40))]
+    docs = spark.createDataFrame(rows, COLUMNS + "".join(f", {n} string" for n in names))
+    given = {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(all(r[n] == given[r.doc_id][n] for n in names) for r in got), name
