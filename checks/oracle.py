@@ -752,6 +752,13 @@ add("morning_report", """
                ORDER BY rank) || '</ol><p class="contact">' || any_value(c.contact) || '</p>' AS body
     FROM topped, contact c GROUP BY 1""")
 add("evening_report", "SELECT * FROM evening")
+add("evening_report_lines", f"""
+    SELECT industry_id, section, 1 AS part, item_pos, line FROM lines
+    UNION ALL SELECT DISTINCT industry_id, section, 0, NULL::BIGINT, '<h2>' || CASE section WHEN 0 THEN '{P.STOCK_HEADING}'
+        ELSE '{P.FUTURES_HEADING}' END || '</h2><table>' FROM lines
+    UNION ALL SELECT DISTINCT industry_id, section, 2, NULL, '</table>' FROM lines
+    UNION ALL SELECT DISTINCT industry_id, 2, 0, NULL, '<p class="contact">' || contact || '</p>' FROM lines, contact""")
+add("evening_report_totals", "SELECT industry_id, subject, n_items, length(body) AS n_chars FROM evening")
 add("quote_display", "SELECT item_pos, price_text, change_text, direction, time_text FROM shown")
 DETAIL = {f"d_{k}": re.sub(r"\bt_(clean|area|cut|paras)\b", r"d_t_\1", v) for k, v in texts("details").items()}
 BRIEF_ROWS = """

@@ -642,6 +642,16 @@ def morning_brief(v):
     return brief.rows.select("industry_id", "rank", "source_id", "page_id", "pos", "title", "url", "summary", r6("score"))
 
 
+@query
+def evening_report_lines(v):
+    return reports.evening_lines(_quotes(v), v.industries, v.smtp)
+
+
+@query
+def evening_report_totals(v):
+    return reports.evening_totals(reports.evening_lines(_quotes(v), v.industries, v.smtp), v.industries)
+
+
 def failing_summarizer(lang, title, text):
     """The first sentence, with a title of its own in English; fails where a title ends in 3."""
     bad = [t for t in title if t.endswith("3")]

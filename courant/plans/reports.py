@@ -65,7 +65,7 @@ def evening_report(quotes: DataFrame, industries: DataFrame, smtp: DataFrame) ->
     """Per industry with quotes, one whole body: a table of stocks, then one of futures.
 
     A mail is one value, so the lines of an industry come together here; whoever
-    needs them as rows takes `report_lines`.
+    needs them as rows, of any number, takes `evening_lines`.
     """
     names = industries.select(F.col("id").alias("industry_id"), F.col("name").alias("industry_name"))
 
@@ -90,3 +90,44 @@ def evening_report(quotes: DataFrame, industries: DataFrame, smtp: DataFrame) ->
         )
     )
     return _footer(bodies, smtp).select("industry_id", "subject", "n_items", "contact", "body")
+
+
+LINE_ORDER = ["industry_id", "section", "part", "item_pos"]
+
+
+def evening_lines(quotes: DataFrame, industries: DataFrame, smtp: DataFrame) -> DataFrame:
+    """All evening bodies as one ordered table: (industry_id, section, part, item_pos, line).
+
+    Read in order, the lines of an industry are its body: each section has its
+    heading (part 0), its quotes (part 1) and its end (part 2), then comes the
+    contact (section 2). Ranges of rows are sorted in tasks of their own, so an
+    industry may have any number of lines; no value holds them all.
+    """
+    known = industries.select(F.col("id").alias("industry_id"))
+    quoted = report_lines(quotes).join(small_side(known), "industry_id", "left_semi").select(
+        "industry_id", "section", F.lit(1).alias("part"), "item_pos", "line")
+    none = F.lit(None).cast(quoted.schema["item_pos"].dataType).alias("item_pos")
+    heading = F.when(F.col("section") == 0, STOCK_HEADING).otherwise(FUTURES_HEADING)
+    frame = quoted.select("industry_id", "section").distinct().select("industry_id", "section", F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.concat(F.lit("<h2>"), heading, F.lit("</h2><table>")).alias("line")),
+        F.struct(F.lit(2).alias("part"), F.lit("</table>").alias("line")),
+    )).alias("f")).select("industry_id", "section", "f.part", none, "f.line")
+    footer = quoted.select("industry_id").distinct().select(
+        "industry_id", F.lit(2).alias("section"), F.lit(0).alias("part"), none,
+        F.concat(F.lit('<p class="contact">'), contact(smtp), F.lit("</p>")).alias("line"))
+    return quoted.unionByName(frame).unionByName(footer).repartitionByRange(*LINE_ORDER).sortWithinPartitions(*LINE_ORDER)
+
+
+def evening_totals(lines: DataFrame, industries: DataFrame) -> DataFrame:
+    """Per industry: subject, quotes and characters of its body, added up in part before the shuffle."""
+    names = industries.select(F.col("id").alias("industry_id"), F.format_string(EVENING_SUBJECT, "name").alias("subject"))
+    totals = lines.groupBy("industry_id").agg(
+        F.count_if((F.col("part") == 1) & (F.col("section") < 2)).alias("n_items"),
+        F.sum(F.length("line")).alias("n_chars"),
+    )
+    return totals.join(small_side(names), "industry_id").select("industry_id", "subject", "n_items", "n_chars")
+
+
+def body_lines(lines: DataFrame, industry_id: int) -> DataFrame:
+    """The lines of one mail in order, for a sender that writes them out as they come."""
+    return lines.where(F.col("industry_id") == industry_id).orderBy(*LINE_ORDER).select("line")

@@ -68,6 +68,11 @@ def test_evening_report(spark):
     whole = reports.evening_report(quotes, industries, smtp).collect()
     assert len(whole) == 1 and whole[0].n_items == 6 and whole[0].contact == "u1"
     body = whole[0].body
+    lines = reports.evening_lines(quotes, industries, smtp)
+    assert "".join(r.line for r in reports.body_lines(lines, 1).collect()) == body
+    assert "".join(r.line for r in lines.collect()) == body  # as it is stored
+    totals = reports.evening_totals(lines, industries).collect()
+    assert [(r.industry_id, r.n_items, r.n_chars) for r in totals] == [(1, 6, len(body))]
     assert body.index(reports.STOCK_HEADING) < body.index("00700") < body.index(reports.FUTURES_HEADING) < body.index("cu2606")
 
 
