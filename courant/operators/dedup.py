@@ -40,9 +40,9 @@ THRESHOLD = 0.85
 # Buckets up to SHORT_ROWS are compared in full. The head of a longer one starts
 # at FIRST_HEAD_ROWS and grows by HEAD_GROWTH a round, up to HEAD_ROWS.
 SHORT_ROWS, FIRST_HEAD_ROWS, HEAD_GROWTH, HEAD_ROWS = 32, 4, 8, 256
-SLICE_ROWS = 1024
+SLICE_ROWS, RING_GROWTH = 1024, 64
 # Buckets of titles and vectors are rarely long, so more of them is compared at once.
-FULL_ROWS, RING_ROWS = 1024, 4096
+FULL_ROWS, RING_ROWS = 1024, 8192
 GRAM_CHARS = 3
 BITMAP_WORDS = 4
 # Grams are ordered by how often grams of their cell occur; the counts of all cells are one small value.
@@ -75,13 +75,15 @@ def _head(entries: DataFrame, short: int, head_rows: int) -> DataFrame:
     return entries.where(F.col("n") <= short).unionByName(long)
 
 
-def _edges(entries: DataFrame, head: DataFrame, similar: Similar, leads: Callable[[Column], Column]) -> DataFrame:
+def _edges(
+    entries: DataFrame, head: DataFrame, similar: Similar, leads: Callable[[Column], Column], slice_rows: int
+) -> DataFrame:
     """(first, later) for each entry and each similar earlier head row of its bucket that leads there.
 
     Long buckets are cut into slices, each with a copy of the (short) head;
     `similar` gives the pairs of slices and heads, which share bucket and slice.
     """
-    slices = F.ceil(F.col("n") / SLICE_ROWS)
+    slices = F.ceil(F.col("n") / slice_rows)
     left = entries.select(
         "bucket", F.pmod(F.xxhash64("ord"), slices).alias("slice"), "n",
         F.col("ord").alias("later"), F.col("payload").alias("_b"),
@@ -137,6 +139,8 @@ def keep_first(
     head_rows: int = HEAD_ROWS,
     verify: Callable[[DataFrame], DataFrame] | None = None,
     leads: Callable[[Column], Column] = lambda payload: F.lit(True),
+    slice_rows: int = SLICE_ROWS,
+    growth: int = HEAD_GROWTH,
 ) -> DataFrame:
     """The `ord` of the rows that are dropped.
 
@@ -157,7 +161,7 @@ def keep_first(
         size = min(size, head_rows)
         short = max(short_rows, size)
         head = _head(entries, short, size)
-        found = _edges(entries, head, similar, leads)
+        found = _edges(entries, head, similar, leads, slice_rows)
         edges = checkpointed(verify(found) if verify else found)
         big = entries.where(F.col("n") > short)
         unready = None
@@ -175,7 +179,7 @@ def keep_first(
         if gone is not None:
             open_rows = open_rows.join(gone, "ord", "left_anti")
         entries = checkpointed(_shared_buckets(entries.join(open_rows, "ord", "left_semi")))
-        size *= HEAD_GROWTH
+        size *= growth
     return reduce(DataFrame.unionByName, all_dropped)
 
 
@@ -373,10 +377,12 @@ def sign_buckets(vector: Column, dim: int, bands: int, seed: int = 7) -> Column:
     return keys(vector)
 
 
-def choose_pivots(units: DataFrame, dim: int) -> np.ndarray:
-    """PIVOTS vectors far from each other, out of a sample of PIVOT_SAMPLE by hash.
+def choose_pivots(units: DataFrame, dim: int, theta: float) -> np.ndarray:
+    """At most PIVOTS vectors far from each other, out of a sample of PIVOT_SAMPLE by hash.
 
-    Which ones they are decides how much is compared, never what is found.
+    As many as make least of the cells a vector visits times the pairs compared,
+    both in the sample: one, where vectors are spread so that cells tell nothing
+    apart. The choice decides how much is compared, never what is found.
     """
     rows = units.select("v").orderBy(F.xxhash64("v"), "v").limit(PIVOT_SAMPLE).collect()
     sample = np.array([r["v"] for r in rows]).reshape(-1, dim)
@@ -386,7 +392,16 @@ def choose_pivots(units: DataFrame, dim: int) -> np.ndarray:
         nearest = np.minimum(nearest, np.arccos(np.clip(sample @ sample[chosen[-1]], -1, 1)))
         if not nearest.max() > ANGLE_SLACK:
             break
-    return sample[chosen]
+    angles = np.arccos(np.clip(sample @ sample[chosen].T, -1, 1))
+
+    def cost(count: int) -> float:
+        here = angles[:, :count]
+        visits = here <= here.min(axis=1, keepdims=True) + 2 * theta
+        home = np.bincount(here.argmin(axis=1), minlength=count)
+        return visits.sum() * float(home @ visits.sum(axis=0))
+
+    best = min(range(1, len(chosen) + 1), key=cost) if chosen else 0
+    return sample[chosen[:best]]
 
 
 def angles_to(vector: Column, pivots: np.ndarray) -> Column:
@@ -457,16 +472,17 @@ def dedup_vectors(
         return _without(df, keep_first(nodes, buckets, close_pairs(threshold, dim), short_rows, head_rows), order)
 
     fit = checkpointed(fit)
-    pivots = choose_pivots(fit, dim)
+    theta = math.acos(max(-1.0, min(1.0, threshold))) + ANGLE_SLACK
+    pivots = choose_pivots(fit, dim, theta)
     if not len(pivots):
         return df
-    theta = math.acos(max(-1.0, min(1.0, threshold))) + ANGLE_SLACK
     nodes = checkpointed(fit.withColumn("angles", angles_to(F.col("v"), pivots)))
     buckets = ring_buckets(nodes, theta)
     nodes = nodes.select("ord", F.struct("scope", "v").alias("payload"))
     # Of all cells and rings that two vectors share, the first one's home and the outer ring is theirs.
     dropped = keep_first(
-        nodes, buckets, close_pairs(threshold, dim), short_rows, head_rows, leads=lambda payload: payload["home"])
+        nodes, buckets, close_pairs(threshold, dim), short_rows, head_rows,
+        leads=lambda payload: payload["home"], slice_rows=RING_ROWS, growth=RING_GROWTH)
     return _without(df, dropped, order)
 
 

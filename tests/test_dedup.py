@@ -79,6 +79,7 @@ def test_vectors_like_brute_force(spark, threshold, head, miss):
 @pytest.mark.parametrize("threshold", [0.4, 0.7, 0.85])
 def test_a_hot_ring_is_split(spark, monkeypatch, threshold):
     """Half of all vectors lie in one ring; slices of it are joined with its head in tasks of their own."""
+    monkeypatch.setattr(D, "RING_ROWS", 16)
     monkeypatch.setattr(D, "SLICE_ROWS", 16)
     rng = np.random.default_rng(9)
     v = rng.standard_normal((300, 16))
@@ -100,11 +101,13 @@ def test_rings_leave_out_what_is_far(spark):
     v = centres[rng.integers(0, 8, 400)] + 0.05 * rng.standard_normal((400, 32))
     fit = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "n int, vector array<double>").select(
         F.struct("n").alias("ord"), F.lit(0).alias("scope"), D.unit(F.col("vector")).alias("v"))
-    pivots = D.choose_pivots(fit, 32)
-    nodes = fit.withColumn("angles", D.angles_to(F.col("v"), pivots))
     theta = float(np.arccos(0.95))
+    pivots = D.choose_pivots(fit, 32, theta)
+    nodes = fit.withColumn("angles", D.angles_to(F.col("v"), pivots))
     sizes = [r["count"] for r in D.ring_buckets(nodes, theta).groupBy("bucket").count().collect()]
-    assert len(pivots) == D.PIVOTS and sum(n * n for n in sizes) < 400 * 400
+    assert len(pivots) >= 8 and sum(n * n for n in sizes) < 400 * 400
+    spread = D.choose_pivots(fit, 32, float(np.arccos(-0.5)))
+    assert len(spread) == 1
 
 
 def test_choose_bands():
