@@ -57,7 +57,7 @@ def test_search_recall(spark, monkeypatch):
     assert set(found) == set(range(0, 600, 20))
     for q, answers in found.items():
         answers.sort()
-        assert [a[0] for a in answers] == list(range(1, 11))
+        assert [a[0] for a in answers] == list(range(1, 14))
         scores = (d * d[q]).sum(axis=1)
         assert all(a[1] != q and abs(a[2] - scores[a[1]]) < 1e-12 for a in answers)
         assert sorted(answers, key=lambda a: (-a[2], a[1])) == answers
@@ -134,7 +134,7 @@ def test_mix_limits(spark):
 
 
 def test_queries_cover_the_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
 
 
