@@ -1,97 +1,88 @@
 """Removal of passages of several lines that repeat anywhere in a corpus, without Python.
 
-Lines are hashed, and a hash over the last two line hashes decides after which
-lines a chunk ends: on average every CUT-th, at the same places in any text
-that has the same lines there, however the passage is shifted. A chunk of two
-or more lines with text is kept where it stands first (by id, then by place)
-and removed elsewhere. Chunks are found by a hash of 64 bits; before anything
-is removed their bytes are compared. A chunk reaches over the ends of a short passage, so
-`dedup_passages` takes every two neighbouring lines with text instead of chunks:
-it misses no passage, and indexes one row per line.
+Lines with text are hashed, and a rolling hash over two neighbouring ones decides
+whether a border lies on the second: the same borders in any text that has the
+same lines there, however the passage is shifted. A chunk reaches from border to
+border and holds the border lines on both sides. A passage rarely starts and ends
+on borders, so the heads and tails of a chunk are indexed as well: what a passage
+has before its first border is a tail of a chunk, what it has after its last one a
+head. A passage is missed only where no border lies on its second line or later.
+
+A piece stays where it stands first (by id, then by place) and goes elsewhere.
+Pieces are found by a hash of 64 bits; before anything is removed their bytes are
+compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courant.functions.urls import let
 from courant.llm.common import written
 
-MIN_LINES = 2
-#: A chunk ends where the first hex digit of the rolling hash is below this one: a quarter of the lines.
-CUT_BELOW = "4"
+#: A border lies where the first hex digit of the rolling hash is below this one: seven of eight lines.
+CUT_BELOW = "e"
+#: Where so many lines had no border, one is set; so a chunk stays short where lines repeat within a text.
+LONGEST = 8
 
 
-def chunks(text: Column) -> Column:
-    """array(struct(text, lines, filled)): the content-defined chunks of a text, in order."""
+def _with_text(lines: Column) -> Column:
+    """The places of the lines that are not blank."""
+    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"\S"))
 
-    def ends(hashes: Column) -> Column:
-        def rolling(h: Column, i: Column) -> Column:
-            return F.md5(F.concat(F.coalesce(F.get(hashes, i - 1), F.lit("")), h))
 
-        return F.transform(hashes, lambda h, i: F.substring(rolling(h, i), 1, 1) < CUT_BELOW)
+def borders(hashes: Column) -> Column:
+    """For each two neighbours among the hashes of lines: whether a border lies on the second."""
 
-    def starts(cut: Column) -> Column:
-        return F.filter(
-            F.sequence(F.lit(0), F.size(cut) - 1), lambda i: (i == 0) | F.coalesce(F.get(cut, i - 1), F.lit(False))
-        )
+    def rolling(h: Column) -> Column:
+        return F.transform(F.slice(h, 2, F.size(h)), lambda x, k: F.md5(F.concat(F.get(h, k), x)))
 
-    def parts(lines: Column) -> Column:
-        return let(
-            let(let(F.transform(lines, lambda x: F.md5(x)), ends), starts),
-            lambda at: F.transform(
-                at,
-                lambda s, k: let(
-                    F.slice(lines, s + 1, F.coalesce(F.get(at, k + 1), F.size(lines)) - s),
-                    lambda own: F.struct(
-                        F.array_join(own, "\n").alias("text"), F.size(own).alias("lines"),
-                        F.size(F.filter(own, lambda x: F.trim(x) != "")).alias("filled"),
-                    ),
-                ),
-            ),
-        )
+    def bounded(cut: Column) -> Column:
+        def long(k: Column) -> Column:
+            before = F.slice(cut, F.greatest(k - (LONGEST - 2), F.lit(1)), LONGEST - 1)
+            return (k % LONGEST == LONGEST - 1) & ~F.exists(before, lambda x: x)
 
-    return let(F.split(text, "\n", -1), parts)
+        return F.transform(cut, lambda x, k: x | long(k))
 
+    return let(F.transform(rolling(hashes), lambda r: F.substring(r, 1, 1) < CUT_BELOW), bounded)
 
-def without_chunks(text: Column, gone: Column) -> Column:
-    """struct(text, removed): a text without the chunks at `gone`, and the lines they had."""
-    return let(chunks(text), lambda c: F.struct(
-        F.array_join(
-            F.transform(F.filter(c, lambda p, i: ~F.array_contains(gone, i)), lambda p: p["text"]), "\n"
-        ).alias("text"),
-        F.aggregate(F.filter(c, lambda p, i: F.array_contains(gone, i)), F.lit(0),
-                    lambda n, p: n + p["lines"]).alias("removed"),
-    ))
 
+def pieces(lines: Column) -> Column:
+    """array(struct(start, end)): the chunks, their heads and their tails, as line numbers, the end exclusive."""
 
-def _with_text(lines: Column) -> Column:
-    """The places of the lines that are not blank."""
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"\S"))
+    def of(at: Column, ends: Column) -> Column:
+        def piece(first: Column, last: Column) -> Column:
+            return F.struct(F.get(at, first).alias("start"), (F.get(at, last + 1) + 1).alias("end"))
 
+        def chunk(s: Column, e: Column) -> Column:
+            own = F.sequence(s, e)
+            return F.concat(
+                F.transform(own, lambda k: piece(s, k)),
+                F.transform(F.filter(own, lambda k: k > s), lambda k: piece(k, e)),
+            )
 
-def pairs(text: Column) -> Column:
-    """array(struct(text, filled)): each line with text up to the next such line, blank ones between included."""
+        return F.flatten(F.transform(ends, lambda e, j: let(
+            F.when(j == 0, 0).otherwise(F.get(ends, j - 1) + 1), lambda s: chunk(s, e)
+        )))
 
-    def parts(lines: Column) -> Column:
-        return let(_with_text(lines), lambda at: F.transform(
-            F.slice(at, 2, F.size(at)),
-            lambda end, k: let(F.get(at, k), lambda s: F.struct(
-                F.array_join(F.slice(lines, s + 1, end - s + 1), "\n").alias("text"), F.lit(2).alias("filled"),
-            )),
-        ))
+    def ends(cut: Column) -> Column:
+        return F.filter(F.transform(cut, lambda _, k: k), lambda k: F.get(cut, k) | (k == F.size(cut) - 1))
 
-    return let(F.split(text, "\n", -1), parts)
+    return let(_with_text(lines), lambda at: let(
+        let(borders(F.transform(at, lambda i: F.md5(F.get(lines, i)))), ends), lambda e: of(at, e)
+    ))
+
+
+def _text(lines: Column, place: Column) -> Column:
+    return F.array_join(F.slice(lines, place["start"] + 1, place["end"] - place["start"]), "\n")
 
 
-def without_pairs(text: Column, gone: Column) -> Column:
-    """struct(text, removed): a text without the lines of the pairs at `gone`; blank lines do not stay alone."""
+def _without(text: Column, gone: Column) -> Column:
+    """struct(text, removed): a text without the lines of the pieces `gone`; blank lines do not stay alone."""
 
     def left(lines: Column, at: Column) -> Column:
-        lost = F.flatten(F.transform(gone, lambda k: F.sequence(F.get(at, k), F.get(at, k + 1))))
+        lost = F.flatten(F.transform(gone, lambda p: F.sequence(p["start"], p["end"] - 1)))
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
         bare = F.size(F.array_except(at, lost)) == 0
         return let(F.when(bare, F.slice(kept, 1, 0)).otherwise(kept), lambda kept: F.struct(
@@ -102,25 +93,14 @@ def without_pairs(text: Column, gone: Column) -> Column:
     return let(F.split(text, "\n", -1), lambda lines: let(_with_text(lines), lambda at: left(lines, at)))
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As `dedup_lines`, for every passage of two or more lines with text, wherever it starts and ends.
-
-    A line goes where it stands in a pair of neighbouring lines that stands
-    elsewhere before. The first place of a line is always kept. A text with no
-    line with text left is empty.
-    """
-    return dedup_lines(docs, id_col, text_col, pairs, without_pairs)
-
-
-def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    chunks: Callable[[Column], Column] = chunks, without: Callable[[Column, Column], Column] = without_chunks,
-) -> DataFrame:
-    """The rows of `docs` with repeated chunks taken out of the text, plus n_lines and n_removed.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with repeated passages taken out of the text, plus n_lines and n_removed.
 
+    A line goes where it stands in a piece of two or more lines with text that stands
+    elsewhere before; blank lines between them go, too. The first place of a line is always kept.
     Rows equal in id and text count as one document, and each keeps what the
     others keep. A null text stays null with null counts; an empty one is one empty line. A
-    text of which nothing is left is empty. A null id comes before all others. Where
+    text with no line with text left is empty. A null id comes before all others. Where
     different texts share a hash, nothing is removed. Columns of `docs` named
     n_lines or n_removed are replaced.
     """
@@ -130,9 +110,11 @@ def dedup_lines(
     doc_id, text = f"c{own.index(id_col)}", f"c{own.index(text_col)}"
     rows = rows.withColumn("mark", F.xxhash64(text))
     key = [doc_id, "mark"]
-    parts = rows.where(f"{text} IS NOT NULL").select(*key, F.posexplode(chunks(F.col(text))).alias("at", "part"))
-    seen = parts.where(f"part.filled >= {MIN_LINES}").select(*key, "at", F.xxhash64("part.text").alias("hash"))
-    seen = written(seen, "chunks")
+    found = let(F.split(text, "\n", -1), lambda lines: F.transform(
+        pieces(lines), lambda p: F.struct(p.alias("at"), F.xxhash64(_text(lines, p)).alias("hash"))
+    ))
+    seen = rows.where(f"{text} IS NOT NULL").select(*key, F.explode(found).alias("part"))
+    seen = written(seen.select(*key, "part.at", "part.hash"), "pieces")
     often = seen.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     repeated = written(seen.join(often, "hash"), "repeated")
 
@@ -150,8 +132,8 @@ def dedup_lines(
     texts = (
         rows.join(wanted, same(rows, wanted))
         .select(*key, F.xxhash64(*every).alias("row"), let(
-            chunks(F.col(text)),
-            lambda c: F.transform(F.col("wanted"), lambda i: F.struct(i.alias("at"), F.get(c, i)["text"].alias("text"))),
+            F.split(text, "\n", -1),
+            lambda lines: F.transform(F.col("wanted"), lambda p: F.struct(p.alias("at"), _text(lines, p).alias("text"))),
         ).alias("found"))
         .select(*key, "row", F.explode("found").alias("found"))
         .select(F.struct(doc_id, "mark", "found.at", "row").alias("place"), F.col("found.text").alias("text"))
@@ -173,7 +155,7 @@ def dedup_lines(
     kept = full.withColumn(
         "done",
         F.when(F.col("gone").isNull(), F.struct(F.col(text).alias("text"), F.lit(0).alias("removed"))).otherwise(
-            without(F.col(text), F.col("gone"))
+            _without(F.col(text), F.col("gone"))
         ),
     )
     out = [
@@ -185,3 +167,7 @@ def dedup_lines(
         F.when(given, F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"),
         F.when(given, F.col("done.removed")).cast("long").alias("n_removed"),
     )
+
+
+#: The name that the pipeline calls it by.
+dedup_passages = dedup_lines

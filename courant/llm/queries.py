@@ -70,31 +70,43 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
-# Chunks and what is left of each text; {docs} is the table that is read.
-LINES_SQL = """
+# Pieces of the texts and the lines that are left; {docs} is the table that is read.
+LINES_SQL = r"""
 l0 AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM {docs} WHERE text IS NOT NULL
 ), l1 AS (
-  SELECT *, coalesce(lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i), '') AS before FROM l0
-), l2 AS (
-  SELECT *, CASE WHEN left(md5(before || md5(line)), 1) < '4' THEN 1 ELSE 0 END AS cut FROM l1
-), l3 AS (
-  SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
-  FROM l2
-), c0 AS (
-  SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS chunk_text, count(*) AS lines,
-         count(*) FILTER (trim(line) <> '') AS filled
-  FROM l3 GROUP BY doc_id, chunk
-), c1 AS (
-  SELECT *, filled >= 2 AND row_number() OVER (PARTITION BY chunk_text, filled >= 2 ORDER BY doc_id, chunk) > 1 AS gone
-  FROM c0
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k
+  FROM l0 WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')
+), p0 AS (
+  SELECT doc_id, k, i AS s, lead(i) OVER w AS e, left(md5(md5(line) || md5(lead(line) OVER w)), 1) < 'e' AS rolled
+  FROM l1 WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), p1 AS (
+  SELECT *, rolled OR (k % 8 = 7 AND NOT bool_or(rolled) OVER (
+    PARTITION BY doc_id ORDER BY k ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) AS cut
+  FROM p0 WHERE e IS NOT NULL
+), p2 AS (
+  SELECT *, coalesce(sum(cut::INT) OVER (
+    PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM p1
+), p3 AS (
+  SELECT *, min(s) OVER c AS chunk_s, max(e) OVER c AS chunk_e FROM p2 WINDOW c AS (PARTITION BY doc_id, chunk)
+), p4 AS (
+  SELECT doc_id, chunk_s AS s, e FROM p3 UNION SELECT doc_id, s, chunk_e FROM p3
+), p5 AS (
+  SELECT p4.*, row_number() OVER (
+    PARTITION BY array_to_string(string_split(text, chr(10))[s:e], chr(10)) ORDER BY doc_id, s, e) > 1 AS gone
+  FROM p4 JOIN {docs} USING (doc_id)
+), lost AS (
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i, TRUE AS lost FROM p5 WHERE gone
+), bare AS (
+  SELECT doc_id, bool_and(lost IS NOT NULL) AS bare FROM l1 LEFT JOIN lost USING (doc_id, i) GROUP BY doc_id
 ), lines_left AS (
-  SELECT doc_id, cast(sum(lines) AS BIGINT) AS n_lines,
-         cast(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS n_removed,
-         coalesce(string_agg(chunk_text, chr(10) ORDER BY chunk) FILTER (NOT gone), '') AS new_text
-  FROM c1 GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_lines,
+         count(*) FILTER (coalesce(bare, FALSE) OR lost IS NOT NULL) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY i)
+                  FILTER (NOT coalesce(bare, FALSE) AND lost IS NULL), '') AS new_text
+  FROM l0 LEFT JOIN lost USING (doc_id, i) LEFT JOIN bare USING (doc_id) GROUP BY doc_id
 )"""
 ORACLE["op3_line_dedup"] = (
     "WITH " + LINES_SQL.format(docs="documents")
