@@ -167,7 +167,3 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.when(given, F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"),
         F.when(given, F.col("done.removed")).cast("long").alias("n_removed"),
     )
-
-
-#: The name that the pipeline calls it by.
-dedup_passages = dedup_lines
