@@ -26,6 +26,17 @@ KINDS = ("email", "ip", "card", "phone")
 # Letters that look like Latin ones and have no compatibility form.
 _LOOKALIKES = dict(zip("аеорсухіјѕԁһӏАВЕКМНОРСТХІЅЈαοινρυκΑΒΕΗΙΚΜΝΟΡΤΥΧΖ", "aeopcyxijsdhlABEKMHOPCTXISJaoivpukABEHIKMNOPTYXZ"))
 _DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
+# Hyphens and dashes that stand for "-" between digits.
+_DASHES = "‐‑‒–−"
+# Endings of a host name that a bare "at" may lead to.
+_ENDINGS = frozenset("com org net edu gov mil int info biz io dev app co uk de fr es nl ch eu ru cn jp kr br ca au".split())
+# Words that stand before "at" in prose, so that none of them is taken as a name.
+_BEFORE_AT = frozenset(
+    "me you him her us them it be is am are was were been being look looks looked looking meet meets met see sees"
+    " saw seen stay stays stayed live lives lived work works worked working available found out up down here there"
+    " read more online home arrive arrives arrived start starts started aim aims aimed good bad only not and or"
+    " stop stops stopped sit sits sat stand stands stood shop shops visit buy sold hosted not".split()
+)
 _INVISIBLE = dict.fromkeys("­​‌‍⁠﻿", "")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,16 +47,21 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _WORD = "|".join(_DIGITS)
+_DIGIT = rf"(?:[0-9]+|(?:{_WORD})(?![A-Za-z]))"
+# Digits, at least one of them as a word, and dots between: four parts or more, however they are mixed.
 _SPELLED = re.compile(
-    rf"(?<![A-Za-z])(?:plus[ -])?(?:{_WORD})(?:(?: |-|, ?)(?:{_WORD}|dot|point)(?![A-Za-z])){{3,}}", re.I
+    rf"(?<![A-Za-z0-9])(?:plus[ -])?(?=(?:[0-9]+(?: |-|, ?|\.)|(?:dot|point) ){{0,24}}(?:{_WORD})(?![A-Za-z]))"
+    rf"{_DIGIT}(?:(?: |-|, ?|\.)(?:{_DIGIT}|(?:dot|point)(?![A-Za-z]))){{3,}}(?![A-Za-z0-9])", re.I
 )
-_TOKEN = re.compile(r"[A-Za-z]+")
+_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\.")
 _AT = r" ?[\[({<] ?(?:at|@|arroba|arobase) ?[\])}>] ?|&#64;|&commat;|%40"
 _DOT = r" ?[\[({<] ?(?:dot|\.|punkt|punto|point) ?[\])}>] ?|&#46;|&period;"
 _RULES = re.compile(
     rf"(?P<digits>{_SPELLED.pattern})|(?P<at>{_AT})|(?P<dot>{_DOT})"
     r"|(?P<bare_at>(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9]))|(?P<bare_dot>(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9]))", re.I
 )
+_BARE = re.compile(rf"[a-z0-9] at [a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{'|'.join(sorted(_ENDINGS))})(?![a-z0-9-])")
+_DASHED = re.compile(rf"(?<=[0-9])[{_DASHES}](?=[0-9])")
 _BRACKET = re.compile(rf"{_AT}|{_DOT}", re.I)
 
 
@@ -146,7 +162,8 @@ def characters(text: str) -> tuple[str, Written]:
     out, done = Written(), 0
     if not text.isascii():
         for m in re.finditer(r"[^\x00-\x7f]", text):
-            to = _CHARACTERS[m.group()]
+            dash = m.group() in _DASHES and _DASHED.match(text, m.start())
+            to = "-" if dash else _CHARACTERS[m.group()]
             if to != m.group():
                 out.copy(text, None, done, m.start())
                 out.put(to, m.start(), m.end(), "character")
@@ -163,6 +180,9 @@ def words(text: str, of: Written) -> tuple[str, Written]:
         if kind == "digits":
             for token in _TOKEN.finditer(text, m.start(), m.end()):
                 word = token.group().lower()
+                if not word.isalpha():
+                    out.copy(text, of, token.start(), token.end())
+                    continue
                 to = _DIGITS.get(word, "+" if word == "plus" else ".")
                 out.put(to, of.starts[token.start()], of.ends[token.end() - 1], kind)
         else:
@@ -172,20 +192,32 @@ def words(text: str, of: Written) -> tuple[str, Written]:
     return "".join(out.parts), out
 
 
-# A run of spelled digits has one with a separator on both sides; cheap to look for.
-_INNER = [f"{a}{w}{b}" for w in _DIGITS for a, b in ("  ", " ,", "--", ",,")]
+# In a run of digits one that is spelled has another, a number or a dot beside it; cheap to look for.
+_BESIDE = re.compile(rf"(?:[0-9]|\b(?:dot|point|{_WORD}))[ ,.-] ?(?:{_WORD})\b|\b(?:{_WORD})[ ,.-] ?(?:[0-9]|dot\b|point\b)")
 
 
 def _suspect(text: str) -> bool:
     """Whether a transducer would change the text in a way that can matter."""
-    if not text.isascii() and any(_CHARACTERS[c] != c for c in set(text)):
-        return True
+    if not text.isascii():
+        used = set(text)
+        if any(_CHARACTERS[c] != c for c in used) or (not used.isdisjoint(_DASHES) and _DASHED.search(text)):
+            return True
     low = text.lower()
     if " dot " in low and (" at " in low or "@" in low or any(c in low for c in "0123456789")):
         return True
     if any(c in low for c in ("[", "(", "{", "<", "&", "%40")) and _BRACKET.search(text):
         return True
-    return any(w in low for w in _INNER) and _SPELLED.search(text) is not None
+    if " at " in low and _BARE.search(low):
+        return True
+    return any(w in low for w in _DIGITS) and _BESIDE.search(low) is not None and _SPELLED.search(text) is not None
+
+
+def _address(normal: str, changed: list[str]) -> bool:
+    """Whether a bare "at" in a find stands for @: by the name before it and the ending after it."""
+    name, host = normal.rsplit("@", 1)
+    ending = host.rsplit(".", 1)[1].lower()
+    spelled = any(c.endswith("dot") for c in changed)
+    return name.lower() not in _BEFORE_AT and (ending in _ENDINGS or (spelled and ending.isalpha() and len(ending) == 2))
 
 
 def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -200,8 +232,7 @@ def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
             changed = where.changed[s:e]
             if not any(changed):
                 continue
-            # "at" between two words means an address only where a dot is spelled out, too.
-            if "bare_at" in changed and not any(c.endswith("dot") for c in changed):
+            if "bare_at" in changed and not _address(normal[s:e], changed):
                 continue
             start, end = where.starts[s], where.ends[e - 1]
             # A plain find may be a fragment of the real one, which is then added beside it.

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -247,6 +248,12 @@ def test_plain_finders_like_the_patterns():
     ("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
     ("a​b@c​.de", "email", "a​b@c​.de"),
     ("٤١١١١١١١١١١١١١١١ x", "card", "٤١١١١١١١١١١١١١١١"),
+    ("ask name at example.com today", "email", "name at example.com"),
+    ("ask name at mail.example.co.uk.", "email", "name at mail.example.co.uk"),
+    ("ring +1 four one five 555 two six seven one, please", "phone", "+1 four one five 555 two six seven one"),
+    ("host 192 dot 168 dot one dot one is down", "ip", "192 dot 168 dot one dot one"),
+    ("host one nine two.168.0.one is down", "ip", "one nine two.168.0.one"),
+    ("pay 4111-1111–1111-1111 now", "card", "4111-1111–1111-1111"),
 ])
 def test_disguises_map_back(text, kind, found):
     base = pii.plain(text)
@@ -266,11 +273,61 @@ def test_whole_find_beside_a_plain_part(text, kind, part):
     assert pii.disguised(f"see {text} now", base) == [(kind, 4, 4 + len(text))]
 
 
-@pytest.mark.parametrize("text", ["look at example.com", "we were at home dot", "one two three four", "plain (at) home", "a@b.de"])
+@pytest.mark.parametrize("text", ["look at example.com", "we were at home dot", "one two three four", "plain (at) home", "a@b.de",
+    "meet me at noon dot com", "we arrived at 5.30 today", "He looked at Mr.Smith", "in 1990–1995 one 2 or 3", "the one 5 of two",
+    "chapters 1, 2, 3 and one", "see me—bob@example.com"])
 def test_nothing_added(text):
     assert pii.disguised(text, pii.plain(text)) == []
 
 
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def passes_luhn(digits):
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + k % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def test_cards_and_phones_like_the_patterns():
+    rnd, hits = random.Random(6), Counter()
+    for _ in range(20_000):
+        text = "".join(rnd.choice("0123456789012345678901234567890 -+(.x)") for _ in range(rnd.randrange(60)))
+        want = [("card", *m.span()) for m in CARD.finditer(text)
+                if 13 <= len(d := re.sub("[^0-9]", "", m.group())) <= 19 and passes_luhn(d)]
+        want += [("phone", *m.span()) for m in PHONE.finditer(text)
+                 if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+        assert [s for s in pii.plain(text) if s[0] in ("card", "phone")] == want, text
+        hits.update(s[0] for s in want)
+    assert min(hits["card"], hits["phone"]) > 200
+
+
+def test_disguised_by_rule_come_back():
+    """Identifiers disguised at random, put into prose: the spans are those of the disguised forms."""
+    rnd = random.Random(8)
+    spelled = dict(zip("0123456789", pii._DIGITS))
+    for _ in range(3_000):
+        kind = rnd.choice(["email", "ip", "phone"])
+        if kind == "email":
+            name = "".join(rnd.choices("bcdfghklmnpqrstvwxz", k=7))
+            hidden = name + rnd.choice([" at ", " [at] ", "(at)", "@"]) + "example" + rnd.choice([" dot ", "[.]", " (dot) "]) + "org"
+        elif kind == "ip":
+            parts = [str(rnd.randrange(256)) for _ in range(4)]
+            k = rnd.randrange(4)
+            parts[k] = " ".join(spelled[d] for d in parts[k])
+            hidden = " dot ".join(parts)
+        else:
+            digits = "".join(rnd.choices("123456789", k=11))
+            at = rnd.randrange(2, 9)
+            hidden = f"+{digits[:at]} " + " ".join(spelled[d] for d in digits[at:])
+        text = f"Please note: {hidden}; thanks."
+        found = [(k, text[s:e]) for k, s, e in pii.disguised(text, pii.plain(text))]
+        assert (kind, hidden) in found, (text, found)
+
+
 def test_personal_data_rows(spark):
     rows = [(1, "x a@b.de y 1.2.3.4"), (2, None), (None, "a@b.de"), (1, "q" * 200_000 + " a at b dot de"), (5, "")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, base int")
