@@ -7,7 +7,9 @@ are trained together by stochastic gradient descent, one text a step, on a
 bounded sample (at most SAMPLE rows, chosen by a hash of text and label;
 a row is at most BUCKETS pairs of numbers). A fifth of the sample is held back:
 it sets the temperature of the softmax and the score below which an answer
-is rejected.
+is rejected. A softmax is sure of texts in languages it never saw, too; so the
+mean log frequency that a text's subwords have in the sample is measured as
+well, and a text far below any of those held back is rejected.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ SAMPLE, EPOCHS, RATE, SEED = 3000, 6, 8.0, 7
 #: An answer is rejected below this score, or lower still if that would reject
 #: more than one in a thousand of the right answers held back.
 REJECT_SCORE, REJECT_SHARE = 0.35, 0.001
+#: A text is unlike the sample if its subwords are less frequent there than those of the
+#: least usual text held back, by this share of that text's distance from the median.
+UNLIKE = 0.5
 UNKNOWN = "und"
 _SPACED = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
 _ODD = 0x9E3779B1
@@ -76,6 +81,8 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     reject_below: float
+    frequency: np.ndarray  # logarithm, by bucket
+    unlike_below: float
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         return _softmax(counts @ self.weights / max(1, counts.sum()) + self.bias)
@@ -83,14 +90,17 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not self.languages or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
-        scores = self.scores(buckets(text))
+        counts = buckets(text)
+        scores = self.scores(counts)
         best = int(scores.argmax())
-        return self.languages[best], float(scores[best]), bool(scores[best] < self.reject_below)
+        unlike = counts @ self.frequency / max(1, counts.sum()) < self.unlike_below
+        return self.languages[best], float(scores[best]), bool(unlike or scores[best] < self.reject_below)
 
     def column(self, text: Column | str) -> Column:
         """struct(lang_pred, score, rejected) of a text column.
 
-        `und` with score 0, rejected, for null and for texts without a letter.
+        `und` with score 0, rejected, for null and for texts without a letter. Each row is
+        judged by its text alone, so repeated rows get the same, whatever other columns there are.
         """
         sent = F.col(text).alias("text") if isinstance(text, str) else text
         held = _session().sparkContext.broadcast(self)
@@ -152,8 +162,14 @@ def train(labels: list[str], hits: list[np.ndarray], counts: list[np.ndarray]) -
             emb[hits[i]] -= rate * np.outer(share, back)
             step += 1
     weights = emb @ out
+    times = np.ones(BUCKETS)
+    for i in used:
+        times[hits[i]] += counts[i]
+    frequency = np.log(times / times.sum())
     if not len(held):
-        return Model(languages, weights, bias, REJECT_SCORE if languages else 1.0)
+        return Model(languages, weights, bias, REJECT_SCORE if languages else 1.0, frequency, -math.inf)
+    usual = np.array([counts[i] @ frequency[hits[i]] / counts[i].sum() for i in held])
+    unlike = float(usual.min() - UNLIKE * (np.median(usual) - usual.min()))
     logits = np.array([counts[i] @ weights[hits[i]] / counts[i].sum() + bias for i in held])
     right = np.array([goal[labels[i]] for i in held])
     loss = {
@@ -164,4 +180,4 @@ def train(labels: list[str], hits: list[np.ndarray], counts: list[np.ndarray]) -
     scores = _softmax(logits / heat)
     sure = scores.max(axis=1)[scores.argmax(axis=1) == right]
     limit = min(REJECT_SCORE, float(np.quantile(sure, REJECT_SHARE))) if len(sure) else REJECT_SCORE
-    return Model(languages, weights / heat, bias / heat, limit)
+    return Model(languages, weights / heat, bias / heat, limit, frequency, unlike)

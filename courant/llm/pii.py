@@ -50,7 +50,7 @@ _WORD = "|".join(_DIGITS)
 _DIGIT = rf"(?:[0-9]+|(?:{_WORD})(?![A-Za-z]))"
 # Digits, at least one of them as a word, and dots between: four parts or more, however they are mixed.
 _SPELLED = re.compile(
-    rf"(?<![A-Za-z0-9])(?:plus[ -])?(?=(?:[0-9]+(?: |-|, ?|\.)|(?:dot|point) ){{0,24}}(?:{_WORD})(?![A-Za-z]))"
+    rf"(?<![A-Za-z0-9])(?:plus[ -])?(?=(?:[0-9]+(?: |-|, ?|\.)|(?:dot|point) ){{0,8}}(?:{_WORD})(?![A-Za-z]))"
     rf"{_DIGIT}(?:(?: |-|, ?|\.)(?:{_DIGIT}|(?:dot|point)(?![A-Za-z]))){{3,}}(?![A-Za-z0-9])", re.I
 )
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\.")

@@ -216,6 +216,22 @@ def test_language_held_out(spark):
     assert model.predict("the " * 50_000)[0] == "en"
 
 
+def test_unlearned_languages_are_rejected(spark):
+    rnd = random.Random(4)
+    rows = [(i, speech(rnd, lang, rnd.randrange(3, 60)), lang) for i, lang in enumerate(list(STEMS) * 120)]
+    rows += rows[:5]  # repeated rows
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
+    model = langid.fit(df.repartition(4))
+    foreign = {"ru": "при ста ние ого".split(), "pl": "szcz rzy ów kę wał".split(), "zh": "的 新闻 中国 市场".split()}
+    for stems in foreign.values():
+        texts = [" ".join("".join(rnd.choices(stems, k=rnd.randrange(1, 4))) for _ in range(rnd.randrange(5, 60))) for _ in range(60)]
+        assert np.mean([model.predict(t)[2] for t in texts]) >= 0.95
+    known = [speech(rnd, lang, rnd.randrange(3, 60)) for lang in list(STEMS) * 200]
+    assert np.mean([model.predict(t)[2] for t in known]) <= 0.005
+    got = df.select("doc_id", model.column("text").alias("f")).collect()
+    assert len({(r.doc_id, r.f) for r in got}) == len(got) - 5
+
+
 def test_language_without_labels(spark):
     empty = spark.createDataFrame([(1, None, "en"), (2, "12", "en"), (3, "abc", None)], "doc_id long, text string, lang string")
     model = langid.fit(empty)
