@@ -4,13 +4,8 @@ from __future__ import annotations
 
 import re
 
+from checks import fixed as K
 from checks.views import AS_OF_TEXT, BLOCK, DAY_LIMIT, FUTURES, INDUSTRIES, PREFERRED, WORDS
-from courant.functions import answers as A
-from courant.functions import html as H
-from courant.functions import hygiene as Y
-from courant.operators import delivery as D
-from courant.operators import health as HE
-from courant.plans import reports as P
 
 AS_OF = f"TIMESTAMP '{AS_OF_TEXT}'"
 
@@ -97,7 +92,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_type = 'error' THEN 'failed'
                     WHEN event_type IN ('signup', 'purchase') THEN 'skipped' ELSE 'success' END AS status,
                CASE event_type WHEN 'error' THEN 'error ' || event_id || ' ' || repeat('x', event_id % 700)
-                    WHEN 'signup' THEN '{D.NO_RECIPIENTS}' WHEN 'purchase' THEN '{D.NO_NEWS}' END AS error_msg,
+                    WHEN 'signup' THEN '{K.NO_RECIPIENTS}' WHEN 'purchase' THEN '{K.NO_NEWS}' END AS error_msg,
                CASE WHEN event_type NOT IN ('error', 'signup', 'purchase') THEN '<html>' || event_id END
                  AS html_snapshot,
                ts - to_days(CAST(event_id % 10 AS INT)) AS created_at
@@ -295,15 +290,15 @@ def texts(pages: str) -> dict[str, str]:
     return {
         "t_clean": f"SELECT *, {no_comments('html')} AS clean FROM {pages}",
         "t_area": f"SELECT *, {inner} AS area FROM t_clean",
-        "t_cut": f"""SELECT *, {noise('area', H.SUMMARY_NOISE)} AS area_s, {noise('area', H.ARTICLE_NOISE)} AS area_a
+        "t_cut": f"""SELECT *, {noise('area', K.SUMMARY_NOISE)} AS area_s, {noise('area', K.ARTICLE_NOISE)} AS area_a
                      FROM t_area""",
         "t_paras": f"SELECT *, {paras('area_s')} AS ps, {paras('area_a')} AS pa FROM t_cut",
     }
 
 
 def fault(text: str, for_summary: bool) -> str:
-    shortest = H.SUMMARY_MIN_PARAGRAPH if for_summary else H.ARTICLE_MIN_PARAGRAPH
-    phrases = H.SUMMARY_PHRASES if for_summary else H.ARTICLE_PHRASES
+    shortest = K.SUMMARY_MIN_PARAGRAPH if for_summary else K.ARTICLE_MIN_PARAGRAPH
+    phrases = K.SUMMARY_PHRASES if for_summary else K.ARTICLE_PHRASES
     bars = f"length({text}) - length(replace({text}, '|', '')) >= 3"
     if not for_summary:
         bars += f" OR length({text}) - length(replace({text}, '>>', '')) >= 4"
@@ -426,7 +421,7 @@ def table(section: int, heading: str) -> str:
 VIEWS["evening"] = f"""
     SELECT l.industry_id, '【' || any_value(i.name) || '】行业晚报 - 今日行情' AS subject,
            count(*) AS n_items, any_value(c.contact) AS contact,
-           {table(0, P.STOCK_HEADING)} || {table(1, P.FUTURES_HEADING)}
+           {table(0, K.STOCK_HEADING)} || {table(1, K.FUTURES_HEADING)}
              || '<p class="contact">' || any_value(c.contact) || '</p>' AS body
     FROM lines l JOIN v_industries i ON i.id = l.industry_id, contact c GROUP BY 1"""
 
@@ -436,13 +431,13 @@ def ready(kind: str, inputs: str, none: str) -> str:
     SELECT i.id AS industry_id, i.name AS industry_name, '{kind}' AS push_type,
            (SELECT count(*) FROM v_recipients r WHERE r.industry_id = i.id) AS n_recipients,
            CASE WHEN (SELECT count(*) FROM {inputs} s WHERE s.industry_id = i.id) = 0 THEN '{none}'
-                WHEN (SELECT count(*) FROM v_recipients r WHERE r.industry_id = i.id) = 0 THEN '{D.NO_RECIPIENTS}'
-                WHEN (SELECT count(*) FROM v_smtp) = 0 THEN '{D.NO_SMTP}' END AS reason
+                WHEN (SELECT count(*) FROM v_recipients r WHERE r.industry_id = i.id) = 0 THEN '{K.NO_RECIPIENTS}'
+                WHEN (SELECT count(*) FROM v_smtp) = 0 THEN '{K.NO_SMTP}' END AS reason
     FROM v_industries i"""
 
 
-VIEWS["ready_morning"] = ready("morning", "v_sources", D.NO_SOURCES)
-VIEWS["ready_evening"] = ready("evening", "v_items", D.NO_ITEMS)
+VIEWS["ready_morning"] = ready("morning", "v_sources", K.NO_SOURCES)
+VIEWS["ready_evening"] = ready("evening", "v_items", K.NO_ITEMS)
 
 
 def outcome(ready_: str, rows: str, errors: str, nothing: str) -> str:
@@ -465,7 +460,7 @@ def log_of(found: str, evening: str, trigger: str) -> str:
     return f"""
     SELECT o.*, CASE WHEN status = 'success' THEN length(body) END AS html_snapshot,
            '{trigger}' AS triggered_by, {AS_OF} AS created_at
-    FROM ({outcome('ready_evening', found, NO_ERRORS, D.NO_QUOTES)}) o
+    FROM ({outcome('ready_evening', found, NO_ERRORS, K.NO_QUOTES)}) o
     LEFT JOIN {evening} e USING (industry_id)"""
 
 
@@ -479,7 +474,7 @@ def streak(source: str, keys: str, time: str, tie: str, add: str, reset: str, na
 
 VIEWS["counted"] = streak("v_checks", "source_id", "checked_at", "check_id",
                           "status = 'error'", "status <> 'error'", "failures")
-CONFIG = ", ".join(q(x) for x in (D.NO_SOURCES, D.NO_ITEMS, D.NO_RECIPIENTS, D.NO_SMTP))
+CONFIG = ", ".join(q(x) for x in (K.NO_SOURCES, K.NO_ITEMS, K.NO_RECIPIENTS, K.NO_SMTP))
 VIEWS["log_counted"] = streak(
     "v_push_log", "industry_id, push_type", "created_at", "id", "status = 'failed'",
     f"status <> 'failed' AND NOT (status = 'skipped' AND error_msg IN ({CONFIG}))", "streak",
@@ -505,7 +500,7 @@ VIEWS["jobs"] = """
 def first_prefix(column: str) -> str:
     cases = " ".join(
         f"WHEN starts_with({column}, {q(p)}) THEN trim(substr({column}, {len(p) + 1}), {BLANKS})"
-        for p in A.TITLE_PREFIXES
+        for p in K.TITLE_PREFIXES
     )
     return f"CASE {cases} ELSE {column} END"
 
@@ -513,7 +508,7 @@ def first_prefix(column: str) -> str:
 def each_prefix(source: str, column: str) -> str:
     """A chain of sub-selects, one per prefix."""
     sql = f"SELECT *, {column} AS s0 FROM {source}"
-    for i, p in enumerate(A.SUMMARY_PREFIXES):
+    for i, p in enumerate(K.SUMMARY_PREFIXES):
         sql = (f"SELECT *, CASE WHEN starts_with(s{i}, {q(p)}) THEN trim(substr(s{i}, {len(p) + 1}), {BLANKS})"
                f" ELSE s{i} END AS s{i + 1} FROM ({sql})")
     return sql
@@ -537,18 +532,18 @@ def clip(column: str) -> str:
 
 
 def head_tail(column: str) -> str:
-    return (f"CASE WHEN length({column}) > 5000 THEN substr({column}, 1, 2500) || {q(A.OMITTED)}"
+    return (f"CASE WHEN length({column}) > 5000 THEN substr({column}, 1, 2500) || {q(K.OMITTED)}"
             f" || right({column}, 2500) ELSE {column} END")
 
 
 def masked(column: str) -> str:
-    for pattern, cover, _ in Y.MASKS:
+    for pattern, cover in K.MASKS:
         column = f"regexp_replace({column}, {q(pattern)}, {q(cover.replace('$1', chr(92) + '1'))}, 'g')"
     return column
 
 
 def prompt(lang: str) -> str:
-    first, middle, last = A.PROMPTS[lang].replace("{n}", "140").split("%s")
+    first, middle, last = K.PROMPTS[lang].replace("{n}", "140").split("%s")
     return f"{q(first)} || a.title || {q(middle)} || {head_tail('d.text')} || {q(last)}"
 
 
@@ -687,9 +682,9 @@ add("quotes_missing", "SELECT item_pos, symbol FROM v_items WHERE item_pos NOT I
 
 CLASSIFIED = f"""
     SELECT page_id, CASE WHEN outcome <> 'ok' THEN 'error' WHEN n > 0 THEN 'healthy' ELSE 'warning' END AS status,
-           CASE outcome WHEN 'timeout' THEN '{HE.TIMED_OUT}' WHEN 'http' THEN 'HTTP ' || http_status
+           CASE outcome WHEN 'timeout' THEN '{K.TIMED_OUT}' WHEN 'http' THEN 'HTTP ' || http_status
                 WHEN 'other' THEN substr(message, 1, 200)
-                ELSE CASE WHEN n = 0 THEN '{HE.NO_LINKS.replace('%s', 'nav a')}' END END AS error
+                ELSE CASE WHEN n = 0 THEN '{K.NO_LINKS.replace('%s', 'nav a')}' END END AS error
     FROM (SELECT *, len({pieces(scoped('(?is)<nav[\\s>].*?</nav' + chr(92) + 's*>'), 'a')}) AS n
           FROM (SELECT *, {no_comments('html')} AS clean FROM v_fetched))"""
 add("classify_health", CLASSIFIED)
@@ -711,13 +706,13 @@ add("health_check", """SELECT check_id, source_id, status, error, failures, CASE
     AND s.id IS NOT NULL THEN '【告警】新闻源「' || name || '」已连续检查失败 ' || failures || ' 次' END AS subject
     FROM every_counted c LEFT JOIN v_check_sources s ON s.id = source_id WHERE check_id >= 1000000000""", RUN)
 add("health_check_states", VIEWS["last_health"].replace("FROM counted", "FROM every_counted"), RUN)
-LABEL = "CASE health_status " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in HE.LABELS.items()) + " END"
+LABEL = "CASE health_status " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in K.LABELS.items()) + " END"
 add("health_labels", f"SELECT source_id, name || ': ' || {LABEL} || coalesce('（' || nullif(last_error, '') || '）', '') AS line FROM last_health")
 
 READY_COLS = "SELECT industry_id, push_type, n_recipients, reason FROM"
 add("push_readiness", f"{READY_COLS} ready_morning UNION ALL {READY_COLS} ready_evening")
 add("push_outcome", outcome("ready_morning", "topped", """SELECT industry_id, arg_max(error_msg, id) AS message
-    FROM v_push_log WHERE status = 'failed' AND industry_id = 1 GROUP BY 1""", D.NO_NEWS))
+    FROM v_push_log WHERE status = 'failed' AND industry_id = 1 GROUP BY 1""", K.NO_NEWS))
 add("push_failure_streak", "SELECT id, industry_id, push_type, status, streak FROM log_counted")
 add("push_alerts", """SELECT l.id, streak, '【告警】' || i.name || ' ' || CASE push_type WHEN 'morning' THEN '早报' ELSE '晚报' END
     || '已连续失败 ' || streak || ' 次' AS subject, substr(error_msg, 1, 500) AS error
@@ -754,8 +749,8 @@ add("morning_report", """
 add("evening_report", "SELECT * FROM evening")
 add("evening_report_lines", f"""
     SELECT industry_id, section, 1 AS part, item_pos, line FROM lines
-    UNION ALL SELECT DISTINCT industry_id, section, 0, NULL::BIGINT, '<h2>' || CASE section WHEN 0 THEN '{P.STOCK_HEADING}'
-        ELSE '{P.FUTURES_HEADING}' END || '</h2><table>' FROM lines
+    UNION ALL SELECT DISTINCT industry_id, section, 0, NULL::BIGINT, '<h2>' || CASE section WHEN 0 THEN '{K.STOCK_HEADING}'
+        ELSE '{K.FUTURES_HEADING}' END || '</h2><table>' FROM lines
     UNION ALL SELECT DISTINCT industry_id, section, 2, NULL, '</table>' FROM lines
     UNION ALL SELECT DISTINCT industry_id, 2, 0, NULL, '<p class="contact">' || contact || '</p>' FROM lines, contact""")
 add("evening_report_totals", "SELECT industry_id, subject, n_items, length(body) AS n_chars FROM evening")
