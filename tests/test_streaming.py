@@ -4,6 +4,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import registered
+from checks.views import Views
 from courant.operators.health import consecutive_failures
 from courant.operators.ratelimit import rate_limit
 from courant.streaming import jobs
@@ -107,3 +109,24 @@ def test_briefing(spark, tmp_path, files):
     batch = jobs.scored_articles(pages, details, seen, sources, industries, now)
     assert got == sorted((r.url, r.summary, round(r.score, 6)) for r in batch.collect())
     assert len(got) == 9 and got[1] == ("https://s0.example/story/1", "The text of story one", 0.7)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_read_tables_in_one_file_or_many(spark, tmp_path, files):
+    pages = spark.range(30).selectExpr(
+        "id AS page_id", "concat('https://p.example/', id) AS url", "'<body><p>text</p></body>' AS html", "'en' AS lang")
+    documents = spark.range(4).selectExpr("id AS doc_id", "concat('src', id) AS source", "'en' AS lang", "'a title' AS text")
+    for name, df in (("pages", pages), ("documents", documents)):
+        df.repartition(files).write.parquet(str(tmp_path / f"{name}.parquet"))
+    views = Views(spark, str(tmp_path))
+    want = jobs.scored_articles(
+        views.pages, views.details, views.seen, views.sources, views.industries, F.to_timestamp(F.lit("2024-01-31")))
+    urls = {r.url for r in want.collect()}
+    for name in ("stream_briefing", "stream_briefing_by_source"):
+        got = registered()[name](spark, str(tmp_path)).collect()
+        assert got and {r.url for r in got} <= urls
+        if name == "stream_briefing":
+            assert {r.url for r in got} == urls
+    events = spark.range(9).selectExpr("id AS event_id", "id % 3 AS user_id", "timestamp'2024-01-01' AS ts")
+    events.repartition(files).write.parquet(str(tmp_path / "events.parquet"))
+    assert registered()["stream_unseen"](spark, str(tmp_path)).count() == 3
