@@ -31,7 +31,7 @@ def failure_stream(
     one, has passed it; until then earlier ones may arrive in any order. One that
     comes later still has null failures and counts for nothing.
     """
-    processor = Failures(checks.columns, "failures", tie, _bucket_ms(lateness_seconds))
+    processor = Failures(checks.columns, "failures", "source_id", tie, _bucket_ms(lateness_seconds))
     return in_order(checks, "source_id", time, T.StructField("failures", T.LongType()), lateness_seconds, processor)
 
 
@@ -53,7 +53,7 @@ def rate_limit_stream(
     clears.
     """
     lateness = window_seconds if lateness_seconds is None else lateness_seconds
-    processor = RateLimit(attempts.columns, "allowed", tie, _bucket_ms(lateness), limit, window_seconds * 1_000_000)
+    processor = RateLimit(attempts.columns, "allowed", key, tie, _bucket_ms(lateness), limit, window_seconds * 1_000_000)
     return in_order(attempts, key, time, T.StructField("allowed", T.BooleanType()), lateness, processor)
 
 

@@ -1,5 +1,6 @@
 import random
 from datetime import datetime, timedelta
+from glob import glob
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from checks.queries import registered
 from checks.views import Views
 from courant.operators.health import consecutive_failures
 from courant.operators.ratelimit import rate_limit
+from courant.session import shared_folder
 from courant.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -130,3 +132,14 @@ def test_streams_read_tables_in_one_file_or_many(spark, tmp_path, files):
     events = spark.range(9).selectExpr("id AS event_id", "id % 3 AS user_id", "timestamp'2024-01-01' AS ts")
     events.repartition(files).write.parquet(str(tmp_path / "events.parquet"))
     assert registered()["stream_unseen"](spark, str(tmp_path)).count() == 3
+
+
+def test_a_span_of_events_is_one_micro_batch(spark, tmp_path):
+    spark.range(0, 300, 1, 4).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01' + make_dt_interval(0, id * 2) AS ts", "id % 5 AS user_id",
+        "'view' AS event_type", "1.0 AS value", "'' AS props",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    commits = f"{shared_folder(spark).removeprefix('file:')}/attempts-*/state/commits/[0-9]*"
+    before = len(glob(commits))
+    assert registered()["stream_rate_limit"](spark, str(tmp_path)).where("allowed IS NOT NULL").count() == 300
+    assert len(glob(commits)) - before <= 10  # six spans, one that closes, and what follows without new rows
