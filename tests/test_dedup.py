@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -147,3 +148,28 @@ def test_fallback_without_vectors(spark):
     rows = [(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.01]), (3, "c", None), (4, "c", [1.0, 0.0]), (5, "d", None)]
     df = spark.createDataFrame(rows, "n int, title string, vector array<double>")
     assert sorted(r.n for r in D.dedup_with_fallback(df, ["n"], 2).collect()) == [1, 3, 5]
+
+
+def test_grams_of_a_long_title_take_time_in_proportion(spark):
+    began = time.monotonic()
+    n = spark.range(1).select(F.size(D.grams(F.repeat(F.lit("wörter é "), 60_000)))).first()[0]
+    assert n == 9 and time.monotonic() - began < 30
+    texts = ["", "a", "Ab", "abc", "a😀bé", None, "Many Words here"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    by_place = F.expr("array_distinct(transform(sequence(1, greatest(length(t) - 2, 1)), i -> xxhash64(substr(lower(t), i, 3))))")
+    for r in rows.select(D.grams(F.col("t")).alias("got"), by_place.alias("want")).collect():
+        assert r.got == r.want
+
+
+def test_unlike_long_titles_are_not_compared_by_all_their_grams(spark):
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2500))) for i in range(12)]
+    rows += [(12, rows[3][1] + "abc"), (13, None)]
+    df = spark.createDataFrame(rows, "doc_id int, title string")
+    assert sorted(r.doc_id for r in D.dedup_titles(df, ["doc_id"]).collect()) == [*range(12), 13]
+    grams = df.select("doc_id", D.grams("title").alias("g")).localCheckpoint()
+    sets = grams.select(
+        "doc_id", F.struct(F.size("g").alias("size"), D.wide_bits("g").alias("bits")).alias("s")).localCheckpoint()
+    likely = sets.alias("a").join(sets.alias("b"), F.col("a.doc_id") < F.col("b.doc_id")).where(
+        D.may_be_similar(F.col("a.s"), F.col("b.s"), 0.85, D.WIDE_WORDS))
+    assert [tuple(r) for r in likely.select("a.doc_id", "b.doc_id").collect()] == [(3, 12)]
