@@ -174,6 +174,21 @@ def rank_articles(
     return R.top_articles(scored, list(order), R.largest_top_n(industries))
 
 
+def read_links(
+    pages: DataFrame, details: DataFrame, seen: DataFrame, sources: DataFrame,
+    selector: str | None = None, summarizer: Callable | None = None,
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Fresh links with their summaries; links whose summarizer failed and why; sources that could not be read and why."""
+    configured = sources if "link_selector" in sources.columns else None
+    fresh = fresh_links(pages, seen, selector, configured)
+    failed = None if configured is None else selector_faults(configured)
+    if summarizer is None:
+        return with_summary(fresh, details), None, failed
+    links = with_answers(fresh, details, sources, summarizer)
+    unanswered = links.where("error IS NOT NULL").select(*ORDER, "url", "error")
+    return links.drop("error"), unanswered, failed
+
+
 def morning_brief(
     pages: DataFrame, details: DataFrame, seen: DataFrame, sources: DataFrame,
     industries: DataFrame, recipients: DataFrame, smtp: DataFrame, as_of: Column,
@@ -189,19 +204,11 @@ def morning_brief(
     """
     ready = delivery.readiness(industries, sources, recipients, smtp, "morning")
     able = ready.where("reason IS NULL").select(F.col("industry_id").alias("id"))
-    configured = sources if "link_selector" in sources.columns else None
-    fresh = fresh_links(pages, seen, selector, configured)
-    if summarizer is None:
-        links, unanswered = with_summary(fresh, details), None
-    else:
-        links = with_answers(fresh, details, sources, summarizer)
-        unanswered = links.where("error IS NOT NULL").select(*ORDER, "url", "error")
-        links = links.drop("error")
+    links, unanswered, failed = read_links(pages, details, seen, sources, selector, summarizer)
     links = links.withColumn("published_at", as_of)
     top = rank_articles(links, sources, industries.join(able, "id"), as_of)
     mails = reports.morning_report(top, smtp)
     log = delivery.log_rows(delivery.outcomes(ready, top, errors), mails, as_of, triggered_by)
-    failed = None if configured is None else selector_faults(configured)
     return Brief(top, mails, log, seen_rows(top, seen, ["industry_id", "rank"], as_of), failed, unanswered)
 
 
