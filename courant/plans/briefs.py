@@ -73,7 +73,7 @@ def with_answers(
         H.extract_summary(F.col("html")).alias("extracted"),
     )
     answered = checkpointed(
-        summarize_with(asked.withColumn("asked", F.col("title")).join(texts, "url"), summarizer)
+        summarize_with(asked.withColumn("asked", F.col("title")).join(texts, "url"), summarizer, keep_text=False)
         .select("url", "lang", "asked", F.col("title").alias("_title"), "summary", "error")
     )
     return (
@@ -104,6 +104,7 @@ def summarize_with(
     articles: DataFrame,
     summarizer: Callable[[pd.Series, pd.Series, pd.Series], Sequence[str | None]],
     limit: int = H.SUMMARY_CHARS,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Run a summarizer over `article_text`, batch by batch, and read its answers.
 
@@ -114,10 +115,13 @@ def summarize_with(
     function gets (lang, title, text) as Series and returns one answer per row,
     or None where it failed. Texts too short to summarize are not passed on. A
     row without an answer keeps its title and gets the extracted summary.
+    Without `keep_text` the result has no article_text, and no whole text goes to Python.
     """
     ready = articles.withColumn("_body", F.when(
         A.long_enough(F.col("article_text"), F.col("lang")), A.head_and_tail(F.col("article_text"))
     ))
+    if not keep_text:
+        articles, ready = articles.drop("article_text"), ready.drop("article_text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -113,3 +113,9 @@ def test_answers_by_language_of_the_source(spark):
     assert got == {
         (1, 0): ("New", "Short", None), (2, 0): ("Same title", "Kurz", None), (2, 1): ("No page", "", None),
         (3, 0): ("Bad", "a long", "RuntimeError: no"), (4, 0): ("No language", "Kurz", None)}
+
+
+def test_whole_texts_need_not_go_through_python(spark):
+    rows = spark.createDataFrame([], "title string, lang string, article_text string, extracted string")
+    found = summarize_with(rows, lambda lang, title, text: list(text), keep_text=False)
+    assert found.columns == ["title", "lang", "extracted", "error", "summary"]
