@@ -53,21 +53,6 @@ def buckets(text: str) -> np.ndarray:
     return counts
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 100):
-            part = batch.slice(at, 100)
-            rows = [buckets(t) for t in part.column(1).to_pylist()]
-            hit = [np.flatnonzero(r) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0), pa.array([h.astype(np.int32) for h in hit], pa.list_(pa.int32())),
-                    pa.array([r[h].astype(np.int32) for r, h in zip(rows, hit)], pa.list_(pa.int32())),
-                ],
-                ["label", "bucket", "n"],
-            )
-
-
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -132,11 +117,40 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Mod
     share = min(1.0, 2 * SAMPLE / max(1, rows.count()))
     rows = rows.where(F.pmod(key, F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     chosen = rows.orderBy(key, "label").limit(SAMPLE)
-    sample = chosen.mapInArrow(_features, "label string, bucket array<int>, n array<int>").toArrow()
-    labels = sample.column("label").to_pylist()
-    hits = [np.asarray(v.values) for v in sample.column("bucket")]
-    counts = [np.asarray(v.values) for v in sample.column("n")]
-    return train(labels, hits, counts)
+    # The model is trained where the sample lies, so the driver gets the weights and never the sample.
+    found = chosen.coalesce(1).mapInArrow(_trained, _MODEL).first()
+    if found is None:
+        return train([], [], [])
+    weights, bias, frequency = (np.frombuffer(found[c], np.float64) for c in ("weights", "bias", "frequency"))
+    return Model(tuple(found["languages"]), weights.reshape(BUCKETS, -1), bias, found["reject_below"], frequency, found["unlike_below"])
+
+
+_MODEL = "languages array<string>, weights binary, bias binary, reject_below double, frequency binary, unlike_below double"
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row with the model of all (label, text) rows, if there are any; of a text only its pairs of numbers are kept."""
+    labels, hits, counts = [], [], []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            part = batch.slice(at, 100)
+            for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                row = buckets(text)
+                hit = np.flatnonzero(row)
+                labels.append(label)
+                hits.append(hit.astype(np.int32))
+                counts.append(row[hit].astype(np.int32))
+    if not labels:
+        return
+    model = train(labels, hits, counts)
+    row = {
+        "languages": pa.array([list(model.languages)], pa.list_(pa.string())),
+        "weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": pa.array([model.bias.tobytes()], pa.binary()),
+        "reject_below": pa.array([model.reject_below], pa.float64()),
+        "frequency": pa.array([model.frequency.tobytes()], pa.binary()),
+        "unlike_below": pa.array([model.unlike_below], pa.float64()),
+    }
+    yield pa.RecordBatch.from_arrays(list(row.values()), list(row))
 
 
 def train(labels: list[str], hits: list[np.ndarray], counts: list[np.ndarray]) -> Model:

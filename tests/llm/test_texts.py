@@ -238,6 +238,16 @@ def test_language_without_labels(spark):
     assert model.languages == () and model.predict("abc") == ("und", 0.0, True)
 
 
+def test_the_driver_does_not_train(spark, monkeypatch):
+    def trained_here(*_):
+        raise AssertionError("the sample came to the driver")
+
+    monkeypatch.setattr(langid, "train", trained_here)  # tasks import the module anew
+    rows = [(i, speech(random.Random(i), lang, 20), lang) for i, lang in enumerate(list(STEMS) * 20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert model.languages == ("de", "en", "fr") and model.weights.shape == (langid.BUCKETS, 3)
+
+
 # --- personal data ------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
