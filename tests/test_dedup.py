@@ -96,6 +96,18 @@ def test_a_hot_ring_is_split(spark, monkeypatch, threshold):
     assert slices[0] > 4
 
 
+def test_unlike_vectors_take_few_rounds(spark, monkeypatch):
+    v = np.random.default_rng(6).standard_normal((18_000, 16))
+    v[9000:9100] = v[:100]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "n int, vector array<double>").repartition(4)
+    taken, real = [], D._edges
+    monkeypatch.setattr(D, "_edges", lambda *a: taken.append(1) or real(*a))
+    got = {r.n for r in D.dedup_vectors(df, ["n"], 16, threshold=0.99).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    close = [np.flatnonzero(u[i:] @ u[i] >= 0.99) + i for i in range(100)]
+    assert len(taken) <= 4 and not got & set(range(9000, 9100)) and all(set(c) & got for c in close)
+
+
 def test_rings_leave_out_what_is_far(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((8, 32))
