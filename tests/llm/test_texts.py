@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_helpers import COLUMNS, corpus
 from tokenizers import Tokenizer
@@ -99,6 +101,90 @@ def test_token_files_of_nothing(spark):
     assert token_files.read_tokens(spark, folder).collect() == []
 
 
+def chain(n):
+    """Ids that depend on the two before them, and now and then on nothing."""
+    rng = np.random.default_rng(4)
+    after, noise, free = rng.integers(0, 300, (300, 300)), rng.random(n), rng.zipf(1.5, n) % 30_000
+    out = [0, 0]
+    for i in range(n):
+        out.append(int(after[out[-2] % 300, out[-1] % 300] % 60 if noise[i] < 0.6 else free[i]))
+    return np.array(out[2:], "<u4")
+
+
+def test_range_coder_takes_fewer_bits_than_frequencies_alone():
+    ids = chain(300_000)
+    blocks = [ids[i : i + rangecoder.BLOCK] for i in range(0, len(ids), rangecoder.BLOCK)]
+    coded = rangecoder.encode(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, rangecoder.decode(coded)))
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    taken = 8 * sum(len(c[2]) for c in coded) / len(ids)
+    assert taken < 0.9 * -(share * np.log2(share)).sum()
+    # With the model, which stands in front of the first block, a block can be read alone.
+    assert (rangecoder.decode([coded[0], coded[7]])[1] == blocks[7]).all()
+
+
+def test_range_coder_of_all_ids_and_odd_lengths():
+    rng = np.random.default_rng(5)
+    for blocks in (
+        list(np.arange(1 << 16).reshape(16, -1)), [rng.zipf(1.2, n) % (1 << 16) for n in (4096, 513, 512, 511, 1)],
+        [np.full(4096, 65535), np.zeros(3, int), np.empty(0, int)], [np.empty(0, int)],
+    ):
+        assert [b.tolist() for b in rangecoder.decode(rangecoder.encode(blocks))] == [b.tolist() for b in blocks]
+
+
+def test_range_coder_costs_little():
+    ids = np.tile(chain(250_000), 8)
+    blocks = [ids[i : i + rangecoder.BLOCK] for i in range(0, len(ids), rangecoder.BLOCK)]
+    start, total = time.process_time(), 0
+    for i in ids.tolist():
+        total = (total * 31 + i) & 0xFFFFFFFF
+    plain, start = time.process_time() - start, time.process_time()
+    rangecoder.decode(rangecoder.encode(blocks))
+    assert time.process_time() - start < 4 * plain  # measured: 0.9; with a model of its own in each block 10
+
+
+def test_words_of_texts_like_the_library(monkeypatch):
+    monkeypatch.setattr(token_files._Words, "LIMIT", 50)  # so that words are forgotten and met again
+    words, plain, rnd = token_files._Words(PATH), Tokenizer.from_file(PATH), random.Random(6)
+    assert words.splits
+    signs = [*"aBzé Ø×÷ɏɐ \n\t'.,!*-_^`\\[]{}~|<>$1²ß\x1c\x85\u3000你\u0301\r", "<|endoftext|>", " the", "'s", "ing\n", "  "]
+    for _ in range(60):
+        texts = ["".join(rnd.choices(signs, k=rnd.randrange(30))) for _ in range(40)]
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, sizes = words.of(pa.array(texts))
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w], texts
+
+
+def test_words_are_encoded_once(monkeypatch):
+    words, learned = token_files._Words(PATH), []
+    learn = words.learn
+    monkeypatch.setattr(words, "learn", lambda keys: learned.extend(keys) or learn(keys))
+    texts = pa.array([t or "" for _, t, *_ in corpus(9, 30)])
+    first = words.of(texts)[0]
+    seen = len(learned)
+    assert (words.of(texts)[0] == first).all() and seen > 0
+    assert all("\n" in k or len(k) > words.LONGEST for k in learned[seen:])  # of these the pieces are kept
+    assert token_files._words(PATH) is token_files._words(PATH)  # in later tasks of a process, too
+
+
+@pytest.mark.parametrize("segment, size", [(1 << 22, 8 << 20), (700, 300), (1, 1)])
+def test_segments_end_with_a_document(monkeypatch, segment, size):
+    monkeypatch.setattr(token_files, "SEGMENT", segment)
+    monkeypatch.setattr(token_files, "BYTES", size)
+    rows = [(i, t) for i, t, *_ in corpus(11, 30)] + [(900, None), (901, ""), (None, "x y")]
+    table = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    table = table.append_column("part", pa.array([3] * len(rows), pa.int32()))
+    out = [r for b in token_files._segments(PATH, 2)(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    plain = Tokenizer.from_file(PATH)
+    want = [plain.encode(t or "", add_special_tokens=False).ids + [2] for _, t in rows]
+    assert [d for r in out for d in r["doc_ids"]] == [r[0] for r in rows]
+    assert [n for r in out for n in r["lengths"]] == [len(w) for w in want]
+    assert [(r["part"], r["segment"]) for r in out] == [(3, i) for i in range(len(out))]
+    assert all(r["total"] >= segment and r["total"] - r["lengths"][-1] < segment for r in out[:-1])
+    blocks = [rangecoder.decode([tuple(b.values()) for b in r["blocks"]]) for r in out]
+    assert [i for r in blocks for b in r for i in b.tolist()] == [i for w in want for i in w]
+
+
 # --- lines --------------------------------------------------------------------------
 
 
