@@ -102,3 +102,22 @@ def test_a_long_conversation_grows_linearly(spark):
     out = chat.expand(rows)
     total, longest = out.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
     assert longest <= 32 * 90 and total <= 4000 / 2 * longest
+
+
+def test_the_query_reads_replies_from_whole_examples(spark, tmp_path, monkeypatch):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} says {t} <s>é") for c in (1, 2, None) for t in range(150 if c != 2 else 4)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    made, in_full = [], chat.in_full
+    monkeypatch.setattr(chat, "in_full", lambda df: made.append(in_full(df)) or made[-1])
+    got = {r.conv_id: r for r in queries.QUERIES["op12_chat_format"](spark, str(tmp_path)).collect()}
+    want = by_conversation(rows)
+    assert got.keys() == {*want, -1}
+    for c, turns in want.items():
+        assert (got[c].n_turns, got[c].loss_sha256) == (len(turns), sha("".join(x for _, role, x in turns if role == "assistant")))
+    texts = {(r.conv_id, r.target): (r.text, r.loss_start, r.loss_end) for r in made[0].collect()}
+    assert texts.keys() == {(r[0], r[1]) for r in rows if r[2] == "assistant"} | {(-1, 1)}
+    for c, turns in want.items():
+        parts = [f"<|turn|>{role}<|says|>{x.replace('<s>', '<' + chr(92) + 's>')}<|end|>" for _, role, x in turns]
+        for i in range(1, len(turns), 2):  # all turns before, beyond the block of 32 too
+            text, start, end = texts[c, i]
+            assert text == "".join(parts[: i + 1]) and text[start:end] == parts[i][25:-7]
