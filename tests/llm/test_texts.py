@@ -123,6 +123,38 @@ def test_range_coder_takes_fewer_bits_than_frequencies_alone():
     assert (rangecoder.decode([coded[0], coded[7]])[1] == blocks[7]).all()
 
 
+def test_contexts_of_any_ids_are_mixed():
+    rng = np.random.default_rng(7)
+    after, ids = rng.integers(0, 20_000, (4, 20_000)), [5, 6]  # rules for ids of which none is common
+    for kind, free in zip((rng.random(400_000) < 0.1).tolist(), rng.integers(0, 20_000, 400_000).tolist()):
+        ids.append(free if kind else int(after[ids[-2] % 4, ids[-1]]) % 3000)
+    ids = np.array(ids, "<u4")
+
+    def taken():
+        coded = rangecoder.encode([ids[i : i + 4096] for i in range(0, len(ids), 4096)])
+        assert (np.concatenate(rangecoder.decode(coded)) == ids).all()
+        return 8 * sum(len(c[2]) for c in coded) / len(ids)
+
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert taken() < 0.6 * -(share * np.log2(share)).sum()
+
+
+def test_weights_follow_each_id(monkeypatch):
+    rng = np.random.default_rng(8)
+    rule = np.resize(rng.permutation(500), 200_000)  # after an id always the same one, and stretches of noise
+    ids = np.where(np.arange(200_000) // 4096 % 2 == 0, rule, rng.integers(0, 5000, 200_000)).astype("<u4")
+    blocks = [ids[i : i + 4096] for i in range(0, len(ids), 4096)]
+
+    def taken():
+        coded = rangecoder.encode(blocks)
+        assert (np.concatenate(rangecoder.decode(coded)) == ids).all()
+        return sum(len(c[2]) for c in coded)
+
+    followed = taken()
+    monkeypatch.setattr(rangecoder._Weights, "learn", lambda self, escaped: None)
+    assert followed < 0.99 * taken()
+
+
 def test_range_coder_of_all_ids_and_odd_lengths():
     rng = np.random.default_rng(5)
     for blocks in (
