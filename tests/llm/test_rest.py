@@ -1,6 +1,7 @@
 """Vectors, mixing, queries and the pipeline."""
 
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
@@ -66,6 +67,40 @@ def test_search_recall(spark, monkeypatch):
     assert hits / (10 * len(found)) >= 0.9
 
 
+def test_graphs_of_many_vectors_are_built_and_searched_together():
+    x = unit_rows(14, 6000, 32)
+    start, total = time.thread_time(), 0
+    for i in range(1_000_000):
+        total = (total * 31 + i) & 0xFFFFFFFF
+    plain, start = time.thread_time() - start, time.thread_time()
+    points = hnsw._lifted(x)
+    graph = hnsw.build(points)
+    found = hnsw.nearest(points, graph, np.column_stack([x[:600], np.zeros(600)]), 160)
+    assert time.thread_time() - start < 25 * plain  # node by node: 100 and more
+    exact = np.argsort(-(x[:600] @ x.T), axis=1)[:, :20]
+    assert np.mean([len({*a.tolist()} & {*b.tolist()}) / 20 for a, b in zip(exact, found)]) > 0.98
+    for links in graph["links"]:
+        assert (links < 6000).all() and all(len({*r[r >= 0].tolist()}) == (r >= 0).sum() and i not in r for i, r in enumerate(links))
+
+
+def test_answers_of_several_shards_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 150)
+    monkeypatch.setattr(hnsw, "LEAST_ROWS", 7)
+    x = unit_rows(8, 600).astype(np.float32)
+    x[200:260] = x[0]  # more equal vectors than results
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)] + awkward(9000), VECTORS).repartition(4)
+    found = {}
+    for r in hnsw.search(df, df.where("vec_id % 20 = 0"), k=10, width=200).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    d = x.astype(np.float64)
+    assert set(found) == set(range(0, 600, 20))
+    for q, answers in found.items():
+        scores = (d * d[q]).sum(axis=1)
+        scores[q] = -np.inf
+        want = np.lexsort((np.arange(600), -scores))[:10].tolist()
+        assert sorted(answers) == [(i + 1, v) for i, v in enumerate(want)]
+
+
 def test_search_small(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (20, [0.0, 1.0], 1), (3, [0.5, 0.5], 1)], VECTORS)
     got = [(r.query_id, r["rank"], r.vec_id) for r in hnsw.search(df, df.where("vec_id % 20 = 0")).collect()]
