@@ -185,3 +185,20 @@ def test_unlike_long_titles_are_not_compared_by_all_their_grams(spark):
     likely = sets.alias("a").join(sets.alias("b"), F.col("a.doc_id") < F.col("b.doc_id")).where(
         D.may_be_similar(F.col("a.s"), F.col("b.s"), 0.85, D.WIDE_WORDS))
     assert [tuple(r) for r in likely.select("a.doc_id", "b.doc_id").collect()] == [(3, 12)]
+
+
+def test_wide_bitmaps_are_compared_by_a_short_expression(spark):
+    rnd = random.Random(12)
+    sets = [sorted(rnd.sample(range(1 << 40), rnd.randrange(1, 400))) for _ in range(30)]
+    sets += [s[: len(s) - 3] + [7, 8] for s in sets if len(s) > 3]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i long, s array<long>")
+    bits = F.struct(F.size("s").alias("size"), D.wide_bits(F.col("s")).alias("bits"))
+    a, b = df.select("i", bits.alias("a")), df.select(F.col("i").alias("j"), bits.alias("b"))
+    got = a.crossJoin(b).select(
+        "i", "j", D.may_be_similar(F.col("a"), F.col("b"), 0.85, D.WIDE_WORDS).alias("may"))
+    cells = [{x % (D.WIDE_WORDS * 64) for x in s} for s in sets]
+    for r in got.collect():
+        both = len(sets[r.i]) + len(sets[r.j])
+        assert r.may == (len(cells[r.i] ^ cells[r.j]) <= both * (0.15 / 1.85) + 1e-6)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bit_count") <= D.BITMAP_WORDS  # a term for each word is too long a method to be compiled
